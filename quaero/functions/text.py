@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 # One token per Han, Hiragana or Katakana character, else one per run of letters and digits.
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
-TOKEN_RE = rf"[{_CJK}]|[\p{{L}}\p{{N}}&&[^{_CJK}]]+"
+TOKEN_RE = rf"[\p{{L}}\p{{N}}&&[^{_CJK}]]+|[{_CJK}]"
 SENTENCE_RE = "[^.!?。！？\n]+[.!?。！？]*"
 
 
