@@ -336,11 +336,15 @@ def eval_set(spark, sf):
 
 
 def judge_verdicts(spark, sf):
-    """Judges a baseline that repeats the question, with the reply as its context."""
-    rows = eval_set(spark, sf).select(
-        "request_id", "expected_response", F.col("request").alias("answer"),
-        F.concat_ws(" ", "request", "expected_response").alias("context"))
-    return J.judge(rows).drop("expected_response", "answer", "context")
+    """Judges a baseline that repeats the question, with the chat's opening as its context."""
+    messages = read_table(spark, sf, "conversations")
+    opening = messages.groupBy("conv_id").agg(F.min_by("text", "turn").alias("context"))
+    rows = eval_set(spark, sf).withColumn(
+        "conv_id", F.split_part("request_id", F.lit(":"), F.lit(1)).cast("bigint"))
+    rows = rows.join(opening, "conv_id").select(
+        "request_id", "expected_response", F.col("request").alias("answer"), "context")
+    params = Params(correct_f1=0.2, sufficient_recall=0.3, grounded_share=0.4)
+    return J.judge(rows, params).drop("expected_response", "answer", "context")
 
 
 def evaluate_answers(spark, sf):
