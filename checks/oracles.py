@@ -173,15 +173,25 @@ chunks AS (
 
 # --- search
 
-CORPUS = f"""docs AS (
-  SELECT doc_id AS id, source AS url, text AS content, {terms('text')} AS terms FROM documents),
-postings AS (
+WHOLE_DOCUMENTS = f"""docs AS (
+  SELECT doc_id AS id, source AS url, text AS content, {terms('text')} AS terms FROM documents)"""
+
+DOCUMENT_PASSAGES = f"""{DOCUMENT_CHUNKS},
+passages AS (
+  SELECT {key('doc_id', 'chunk_no', 'content')} AS id, source AS url, content
+  FROM chunks JOIN documents USING (doc_id))"""
+PASSAGES = f"""{DOCUMENT_PASSAGES},
+docs AS (SELECT *, {terms('content')} AS terms FROM passages)"""
+
+POSTINGS = f"""postings AS (
   SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM docs) GROUP BY ALL),
 size AS (SELECT count(*)::double AS n, avg(len(terms)) AS avg_len FROM docs),
 vocab AS (
   SELECT term, df, ln(1 + ((SELECT n FROM size) - df + 0.5::double) / (df + 0.5::double)) AS idf
   FROM (SELECT term, count(*)::double AS df FROM postings GROUP BY term))"""
 
+CORPUS = f"{WHOLE_DOCUMENTS},\n{POSTINGS}"
+
 
 def query_terms(source, text, out):
     """Known distinct terms of source(query_id, text) as out(query_id, term, df, idf)."""
@@ -231,10 +241,11 @@ def vectors(source, id_, terms_, out, dim=64):
 
 def cosines(queries, out):
     """out_raw(query_id, id, cos) for queries(query_id, text) against docs."""
-    return f"""{vectors(queries, 'query_id', terms('text'), 'qv')},
-{vectors('docs', 'id', 'terms', 'dv')},
+    return f"""{vectors(queries, 'query_id', terms('text'), out + '_qv')},
+{vectors('docs', 'id', 'terms', out + '_dv')},
 {out}_dots AS (
-  SELECT q.query_id, d.id, sum(q.w * d.w) AS cos FROM qv q JOIN dv d USING (b) GROUP BY ALL),
+  SELECT q.query_id, d.id, sum(q.w * d.w) AS cos FROM {out}_qv q JOIN {out}_dv d USING (b)
+  GROUP BY ALL),
 {out}_raw AS (
   SELECT q.query_id, d.id, coalesce(x.cos, 0) AS cos
   FROM {queries} q CROSS JOIN docs d LEFT JOIN {out}_dots x
@@ -353,8 +364,8 @@ def bigrams(x):
 def merged_hits(source, out):
     """Dedup of source(query_id, source, variant_no, rank, id, url, content, score)."""
     return f"""{out} AS (
-  SELECT query_id, content, d.id, d.url, d.score FROM (
-    SELECT query_id, content,
+  SELECT query_id, content, place, d.id, d.url, d.score FROM (
+    SELECT query_id, content, min([source, variant_no, rank]::bigint[]) AS place,
       arg_max({{id: id, url: url, score: score}}, [source, variant_no, rank]::bigint[]) AS d
     FROM {source} GROUP BY query_id, content))"""
 
@@ -421,42 +432,52 @@ def extracted(known, hits, out):
       LEFT JOIN {out}_total t ON t.query_id = p.query_id WHERE p.s <> '') WHERE r = 1)"""
 
 
-def answered(source, search, search_first):
+def answered(source, search, corpus=PASSAGES, question=True, rewrite=True, expand=True,
+             rerank=True):
     """The whole chain for source(query_id, text), ending in final(… route, prompt, answer).
 
     ``search(source, out, k)`` gives the CTEs of one search over source(query_id, text).
     """
-    return f"""{CORPUS},
-{routed(source, 'routed')},
-spec AS (SELECT query_id, text FROM routed WHERE route = 'specific'),
-{query_terms('spec', 'text', 'spec_known')},
-{search_first('spec', 'first_hits', 3)},
-{hyde('spec', 'first_hits', 'expanded')},
-{variants('spec', 'spec_known', 'variants')},
-searches AS (
-  SELECT query_id AS question_id, 0 AS source, variant_no,
-         query_id || '/0/' || variant_no AS query_id, variant AS text FROM variants
-  UNION ALL
-  SELECT query_id, 1, 0, query_id || '/1/0', hyde FROM expanded),
-{search('searches', 'found', 20)},
-candidates AS (
+    texts, parts = [], []
+    if rewrite:
+        parts.append(variants("spec", "spec_known", "variants"))
+        texts.append("""SELECT query_id AS question_id, 0 AS source, variant_no,
+    query_id || '/0/' || variant_no AS query_id, variant AS text FROM variants""")
+    elif question:
+        texts.append("""SELECT query_id AS question_id, 0 AS source, 0 AS variant_no,
+    query_id || '/0/0' AS query_id, text FROM spec""")
+    if expand:
+        parts += [search("spec", "first_hits", 3), hyde("spec", "first_hits", "expanded")]
+        texts.append("""SELECT query_id AS question_id, 1 AS source, 0 AS variant_no,
+    query_id || '/1/0' AS query_id, hyde AS text FROM expanded""")
+    by_place = """top AS (
+  SELECT * FROM (
+    SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY place, id))::integer AS rank
+    FROM merged) WHERE rank <= 5)"""
+    return ",\n".join([
+        corpus, POSTINGS, routed(source, "routed"),
+        "spec AS (SELECT query_id, text FROM routed WHERE route = 'specific')",
+        query_terms("spec", "text", "spec_known"), *parts,
+        f"searches AS ({' UNION ALL '.join(texts)})",
+        search("searches", "found", 20),
+        """candidates AS (
   SELECT s.question_id AS query_id, s.source, s.variant_no, f.rank, f.id, d.url, d.content, f.score
-  FROM found f JOIN searches s USING (query_id) JOIN docs d ON d.id = f.id),
-{merged_hits('candidates', 'merged')},
-{reranked('spec', 'merged', 'top')},
-{prompts('routed', 'top', 'prompted')},
-{extracted('spec_known', 'top', 'best')},
-final AS (
+  FROM found f JOIN searches s USING (query_id) JOIN docs d ON d.id = f.id)""",
+        merged_hits("candidates", "merged"),
+        reranked("spec", "merged", "top") if rerank else by_place,
+        prompts("routed", "top", "prompted"),
+        extracted("spec_known", "top", "best"),
+        f"""final AS (
   SELECT p.*, coalesce(b.answer, '{REFUSAL}') AS answer
-  FROM prompted p LEFT JOIN best b ON b.query_id = p.query_id)"""
+  FROM prompted p LEFT JOIN best b ON b.query_id = p.query_id)"""])
 
 
 def keyword_search(source, out, k):
     return keyword(source, "text", out, k)
 
 
-def keyword_answered(source):
-    return answered(source, keyword_search, keyword_search)
+def hybrid_search(source, out, k):
+    return linear_hybrid(source, out, k, 0.7)
 
 
 def verdicts(source, f1, recall, grounded):
@@ -478,6 +499,64 @@ FROM (
                list_distinct({terms("coalesce(context, '')")}) AS c FROM {source}))"""
 
 
+def evaluated(f1, recall, grounded, corpus=PASSAGES, **steps):
+    return f"""WITH RECURSIVE {EVAL_PAIRS},
+asked AS (SELECT {key('request_id')} AS query_id, request AS text FROM pairs),
+{answered('asked', keyword_search, corpus, **steps)},
+rows AS (
+  SELECT p.request_id, p.expected_response, f.answer, f.context
+  FROM pairs p LEFT JOIN final f ON f.query_id = {key('p.request_id')})
+{verdicts('rows', f1, recall, grounded)}"""
+
+
+def page_corpus(context, custom):
+    """CTEs ending in corpus(url, chunk_no, content, page_contents) of the given pages.
+
+    ``custom`` is a SELECT of further contents.
+    """
+    content = with_context("title", "chunk_no", "n", "page_contents", "t") if context else "t"
+    return f"""{sections('p')},
+texts_ AS (SELECT url AS k, section_no + 1 AS i, heading || chr(10) || body AS t FROM sections),
+{merged('texts_', 256, 'buffers')},
+buffer_texts AS (SELECT [k, i::varchar] AS k, t FROM buffers),
+{recursive('buffer_texts', 512, 50, 'page_pieces')},
+page AS (
+  SELECT url, any_value(title) AS title, string_agg(body, '' ORDER BY section_no) AS page_contents
+  FROM sections GROUP BY url),
+page_chunks AS (
+  SELECT k[1] AS url, t, (row_number() OVER w)::integer AS chunk_no,
+         count(*) OVER (PARTITION BY k[1]) AS n
+  FROM page_pieces WHERE {n_tokens('t')} > 20
+  WINDOW w AS (PARTITION BY k[1] ORDER BY k[2]::integer, lo)),
+corpus AS (
+  SELECT url, chunk_no, {content} AS content, page_contents
+  FROM page_chunks JOIN page USING (url)
+  UNION ALL SELECT '', 0, content, '' FROM ({custom}))"""
+
+
+def rung(i, name, context, custom, **steps):
+    corpus = f"""{DOCUMENT_PASSAGES},
+{page_corpus(context, 'SELECT content FROM passages' if custom else "SELECT '' AS content WHERE false")},
+docs AS (
+  SELECT {key('url', 'chunk_no', 'content')} AS id, url, content, {terms('content')} AS terms
+  FROM corpus)"""
+    return (f"SELECT {i}::integer AS ord, '{name}' AS approach, overall FROM "
+            f"({evaluated(0.1, 0.25, 0.5, corpus, **steps)})")
+
+
+PLAIN_STEPS = dict(rewrite=False, expand=False, rerank=False)
+LADDER = f"""SELECT ord, approach, requests, accuracy,
+  round(accuracy - lag(accuracy) OVER (ORDER BY ord), 4) AS delta
+FROM (
+  SELECT ord, approach, count(*) AS requests, round(avg(overall::integer) * 100, 4) AS accuracy
+  FROM ({" UNION ALL ".join([
+      rung(0, "baseline", False, False, **PLAIN_STEPS),
+      rung(1, "+ custom data", False, True, **PLAIN_STEPS),
+      rung(2, "+ contextual retrieval", True, True, **PLAIN_STEPS),
+      rung(3, "+ HyDE", True, True, question=False, rewrite=False, rerank=False),
+      rung(4, "+ rerank and multi-query", True, True)])})
+  GROUP BY ord, approach)"""
+
 RANKED = f"""{CORPUS}, {BENCHMARK},
 {keyword('asked', 'text', 'found', 20)},
 candidates AS (
@@ -534,24 +613,7 @@ FROM (SELECT doc_id, regexp_extract(text, '^([^.!?\n]+[.!?])', 1) AS m FROM docu
     "append_custom": """SELECT source AS url, text AS page_contents, text AS content FROM documents
 UNION ALL SELECT '', '', text FROM benchmark""",
     "row_key": f"SELECT doc_id, {key('source', 'doc_id', 'text')} AS id FROM documents",
-    "build_corpus": f"""WITH RECURSIVE {sections('p')},
-texts AS (SELECT url AS k, section_no + 1 AS i, heading || chr(10) || body AS t FROM sections),
-{merged('texts', 256, 'buffers')},
-buffer_texts AS (SELECT [k, i::varchar] AS k, t FROM buffers),
-{recursive('buffer_texts', 512, 50, 'pieces')},
-page AS (
-  SELECT url, any_value(title) AS title, string_agg(body, '' ORDER BY section_no) AS page_contents
-  FROM sections GROUP BY url),
-chunks AS (
-  SELECT k[1] AS url, t, (row_number() OVER w)::integer AS chunk_no,
-         count(*) OVER (PARTITION BY k[1]) AS n
-  FROM pieces WHERE {n_tokens('t')} > 20
-  WINDOW w AS (PARTITION BY k[1] ORDER BY k[2]::integer, lo)),
-corpus AS (
-  SELECT url, chunk_no, {with_context('title', 'chunk_no', 'n', 'page_contents', 't')} AS content,
-         page_contents
-  FROM chunks JOIN page USING (url)
-  UNION ALL SELECT '', 0, text, '' FROM benchmark)
+    "build_corpus": f"""WITH RECURSIVE {page_corpus(True, 'SELECT text AS content FROM benchmark')}
 SELECT {key('url', 'chunk_no', 'content')} AS id, url, chunk_no, content, page_contents FROM corpus""",
     "stage_report": f"""WITH {HREFS}, {sections('p').split('AS (', 1)[0]}AS ({sections('p').split('AS (', 1)[1]}
 SELECT 'links' AS stage, count(*) AS rows, count(DISTINCT url) AS distinct_urls, 0::bigint AS rejected FROM links
@@ -604,9 +666,9 @@ routed AS (SELECT *, 'specific' AS route FROM asked), {prompts('routed', 'top',
 SELECT query_id, context, prompt FROM prompted""",
     "extractive_answer": f"""WITH {RANKED}, {extracted('top_known', 'top', 'best')}
 SELECT * FROM best""",
-    "answer_questions": f"""WITH {BENCHMARK}, {keyword_answered('asked')}
+    "answer_questions": f"""WITH RECURSIVE {BENCHMARK}, {answered('asked', keyword_search)}
 SELECT query_id, text AS question, route, prompt, answer FROM final""",
-    "retrieval_log": f"""WITH {BENCHMARK}, {keyword_answered('asked')}
+    "retrieval_log": f"""WITH RECURSIVE {BENCHMARK}, {answered('asked', keyword_search)}
 SELECT 'run' AS run_id, query_id, rank, id, url, score, relevance_score FROM top""",
     "eval_set": f"WITH {EVAL_PAIRS} SELECT request_id, request, expected_response FROM pairs",
     "judge_verdicts": f"""WITH {EVAL_PAIRS},
@@ -615,13 +677,10 @@ rows AS (
   SELECT request_id, expected_response, request AS answer, context
   FROM pairs JOIN opening USING (conv_id))
 SELECT * EXCLUDE (answer) FROM ({verdicts('rows', 0.2, 0.3, 0.4)})""",
-    "evaluate_answers": f"""WITH {EVAL_PAIRS},
-asked AS (SELECT {key('request_id')} AS query_id, request AS text FROM pairs),
-{keyword_answered('asked')},
-rows AS (
-  SELECT p.request_id, p.expected_response, f.answer, f.context
-  FROM pairs p LEFT JOIN final f ON f.query_id = {key('p.request_id')})
-{verdicts('rows', 0.5, 0.6, 0.8)}""",
+    "evaluate_answers": evaluated(0.5, 0.6, 0.8),
+    "step_ladder": LADDER,
+    "answer_hybrid": f"""WITH RECURSIVE {BENCHMARK}, {answered('asked', hybrid_search)}
+SELECT query_id, text AS question, route, prompt, answer FROM final""",
     "accuracy_ladder": """SELECT approach, requests, accuracy,
   round(accuracy - lag(accuracy) OVER (ORDER BY approach), 4) AS delta
 FROM (SELECT source AS approach, count(*) AS requests,
@@ -649,6 +708,6 @@ SELECT id, url, content, {content_hash('url', 'content')} AS content_hash FROM c
     "index_sync_report": f"WITH {CLEAN} SELECT op, count(*) AS rows FROM diff GROUP BY op",
     "index_sync_stream": f"""SELECT {key('text')} AS id, '' AS url, text AS content,
   {content_hash("''", 'text')} AS content_hash FROM (SELECT DISTINCT text FROM documents)""",
-    "answer_stream": f"""WITH {USER_TURNS}, {keyword_answered('asked')}
+    "answer_stream": f"""WITH RECURSIVE {USER_TURNS}, {answered('asked', keyword_search)}
 SELECT query_id, text AS question, route, answer FROM final""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quaero.functions import html as H
+from quaero.functions.arrays import exploded
 from quaero.functions.keys import row_key
 from quaero.functions.text import terms, token_count
 from quaero.operators import chunk as C
@@ -38,6 +39,8 @@ PAGE_PARAMS = Params(heading_tag="p")
 VECTOR_THRESHOLD = 0.62
 HYBRID_THRESHOLD = 0.7
 LSH_BANDS, LSH_BITS, DIM = 16, 8, 64
+# The texts are random syllables, so the built-in judges need low bars to tell rungs apart.
+LADDER_PARAMS = Params(correct_f1=0.1, sufficient_recall=0.25, grounded_share=0.5)
 SPAM_HOSTS = "casino|pills|bets"
 
 
@@ -55,6 +58,17 @@ def _passages(spark, sf):
         F.col("doc_id").alias("id"), F.col("source").alias("url"), F.col("text").alias("content"))
 
 
+def _document_passages(spark, sf):
+    """Documents cut into passages of at most 512 tokens."""
+    return _document_chunks(spark, sf).select(
+        row_key("doc_id", "chunk_no", "content").alias("id"), F.col("source").alias("url"),
+        "content")
+
+
+def _passage_index(spark, sf, vectors=False):
+    return IX.build_index(_document_passages(spark, sf), vectors=vectors)
+
+
 def _keyword_index(spark, sf):
     return IX.build_index(_passages(spark, sf), vectors=False)
 
@@ -98,9 +112,8 @@ def article_rules(spark, sf):
 
 def sections(spark, sf):
     articles = extract_plain_articles(_pages(spark, sf))
-    return articles.select(
-        "url", F.posexplode(H.split_sections("text", "p")).alias("section_no", "s"),
-    ).select("url", "section_no", "s.heading", "s.body")
+    rows = exploded(articles, ["url"], H.split_sections("text", "p"), "s", "section_no")
+    return rows.select("url", "section_no", "s.heading", "s.body")
 
 
 def page_text(spark, sf):
@@ -126,23 +139,23 @@ def chunk_filter(spark, sf):
 
 
 def chunk_merge(spark, sf):
-    return _documents(spark, sf).select("doc_id", F.posexplode(
-        C.merge_texts(F.split("text", "\n"), Params.merge_tokens)).alias("chunk_no", "content"))
+    merged = C.merge_texts(F.split("text", "\n"), Params.merge_tokens)
+    return exploded(_documents(spark, sf), ["doc_id"], merged, "content", "chunk_no")
 
 
 def chunk_overlap(spark, sf):
     windows = C.fixed_windows("text", Params.chunk_tokens, Params.overlap_tokens)
-    return _documents(spark, sf).select(
-        "doc_id", F.posexplode(windows).alias("chunk_no", "t"),
-    ).select("doc_id", "chunk_no", F.array_join("t", " ").alias("content"))
+    rows = exploded(_documents(spark, sf), ["doc_id"], windows, "t", "chunk_no")
+    return rows.select("doc_id", "chunk_no", F.array_join("t", " ").alias("content"))
 
 
 def _document_chunks(spark, sf):
     cut = C.recursive_split("text", Params.chunk_tokens, Params.overlap_tokens)
-    return _documents(spark, sf).select("doc_id", "source", "text", cut.alias("chunks")).select(
-        "doc_id", "source", F.col("text").alias("page_contents"),
-        F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("pos", "content"),
-    ).withColumn("chunk_no", F.col("pos") + 1)
+    split = _documents(spark, sf).select("doc_id", "source", "text", cut.alias("chunks"))
+    kept = ["doc_id", "source", F.col("text").alias("page_contents"),
+            F.size("chunks").alias("n_chunks")]
+    return exploded(split, kept, F.col("chunks"), "content", "pos").withColumn(
+        "chunk_no", F.col("pos") + 1)
 
 
 def chunk_recursive(spark, sf):
@@ -197,8 +210,8 @@ def stage_report(spark, sf):
 # --- search
 
 def hash_embed(spark, sf):
-    out = _documents(spark, sf).select(
-        "doc_id", F.posexplode(V.hashed_vector(terms("text"), DIM)).alias("bucket", "w"))
+    out = exploded(_documents(spark, sf), ["doc_id"], V.hashed_vector(terms("text"), DIM), "w",
+                   "bucket")
     return out.where("w <> 0").select(
         "doc_id", "bucket", F.round(F.col("w").cast("double"), 5).alias("weight"))
 
@@ -269,8 +282,8 @@ def query_variants(spark, sf):
 
 def hyde_expand(spark, sf):
     index, asked = _keyword_index(spark, sf), _benchmark(spark, sf)
-    first = retrieve(asked.withColumnRenamed("question", "text"), index, Params.hyde_docs,
-                     mode="keyword")
+    first = staged(retrieve(asked.withColumnRenamed("question", "text"), index,
+                            Params.hyde_docs, mode="keyword"), "first")
     return Q.hyde_expand(asked, first, index.rows, index.stats).select("query_id", "hyde")
 
 
@@ -290,7 +303,7 @@ def merge_dedup_query(spark, sf):
 def _ranked(spark, sf):
     index, asked = _keyword_index(spark, sf), _benchmark(spark, sf)
     hits = retrieve(asked.withColumnRenamed("question", "text"), index, mode="keyword")
-    found = payload(hits, index).withColumns({"source": F.lit(0), "variant_no": F.lit(0)})
+    found = payload(staged(hits, "found"), index).withColumns({"source": F.lit(0), "variant_no": F.lit(0)})
     profiles = question_profiles(asked, index.stats)
     return asked, profiles, rerank(merge_dedup(found), profiles, Params.rerank_top)
 
@@ -314,18 +327,18 @@ def extractive_answer(spark, sf):
 
 
 def answer_questions(spark, sf):
-    answers, _ = A.answer(_benchmark(spark, sf), _keyword_index(spark, sf), mode="keyword")
+    answers, _ = A.answer(_benchmark(spark, sf), _passage_index(spark, sf), mode="keyword")
     return answers.select("query_id", "question", "route", "prompt", "answer")
 
 
 def answer_hybrid(spark, sf):
-    answers, _ = A.answer(_benchmark(spark, sf), _index(spark, sf), mode="hybrid",
+    answers, _ = A.answer(_benchmark(spark, sf), _passage_index(spark, sf, True), mode="hybrid",
                           threshold=HYBRID_THRESHOLD)
     return answers.select("query_id", "question", "route", "prompt", "answer")
 
 
 def retrieval_log(spark, sf):
-    _, log = A.answer(_benchmark(spark, sf), _keyword_index(spark, sf), mode="keyword")
+    _, log = A.answer(_benchmark(spark, sf), _passage_index(spark, sf), mode="keyword")
     return append_log(log, run_dir(spark, "log"))
 
 
@@ -349,7 +362,7 @@ def judge_verdicts(spark, sf):
 
 def evaluate_answers(spark, sf):
     pairs = eval_set(spark, sf)
-    answers, _ = A.answer(EV.as_questions(pairs), _keyword_index(spark, sf), mode="keyword")
+    answers, _ = A.answer(EV.as_questions(pairs), _passage_index(spark, sf), mode="keyword")
     return EV.evaluate(pairs, answers).select(
         "request_id", "answer", "answer_f1", "context_recall", "grounded_share", "correctness",
         "context_sufficiency", "groundedness", "overall")
@@ -363,10 +376,18 @@ def accuracy_ladder(spark, sf):
 
 
 def step_ladder(spark, sf):
-    """The rungs of the comparison, run as switches of the library's own steps."""
-    params = Params(correct_f1=0.05, sufficient_recall=0.1, grounded_share=0.5)
-    return EV.run_ladder(eval_set(spark, sf), _keyword_index(spark, sf), mode="keyword",
-                         params=params)
+    """The rungs of the comparison, as switches of the library's own corpus and steps."""
+    pages = _pages(spark, sf)
+    custom = _document_passages(spark, sf).select(
+        F.lit("").alias("url"), F.lit("").alias("page_contents"), "content")
+    corpora = {
+        "pages": build_corpus(pages, None, PAGE_PARAMS, context=False),
+        "custom": build_corpus(pages, None, PAGE_PARAMS, custom, context=False),
+        "context": build_corpus(pages, None, PAGE_PARAMS, custom, context=True),
+    }
+    indexes = {name: IX.build_index(corpus.select("id", "url", "content"), vectors=False)
+               for name, corpus in corpora.items()}
+    return EV.run_ladder(eval_set(spark, sf), indexes, mode="keyword", params=LADDER_PARAMS)
 
 
 def answer_leakage(spark, sf):
@@ -423,7 +444,7 @@ def answer_stream_query(spark, sf):
     schema = "conv_id bigint, turn bigint, role string, text string"
     arriving = spark.readStream.schema(schema).option(
         "pathGlobFilter", "conversations.parquet").parquet(sf)
-    answer_stream(arriving, _keyword_index(spark, sf), f"{path}/answers", f"{path}/checkpoint",
+    answer_stream(arriving, _passage_index(spark, sf), f"{path}/answers", f"{path}/checkpoint",
                   mode="keyword").awaitTermination()
     return read_answers(spark, f"{path}/answers").select("query_id", "question", "route", "answer")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quaero.functions import html as H
+from quaero.functions.arrays import exploded
 from quaero.functions.text import column, let, strip, token_count, tokens
 from quaero.params import Params
 
@@ -129,17 +130,18 @@ def chunk_texts(texts: Column | str, params: Params) -> Column:
 
 
 def chunk_articles(articles: DataFrame, params: Params = Params()) -> DataFrame:
-    """``articles(url, title, text)`` to one row per chunk, numbered from 1 within its page."""
+    """``articles(url, title, text)`` to one row per chunk, numbered from 1 within its page.
+
+    An article without text has no chunks.  There is no filter for it: Spark would move that
+    below the extraction and extract twice.
+    """
     kept = [c for c in articles.columns if c != "text"]
-    sectioned = (
-        articles.where("text is not null")
-        .select(*kept, H.split_sections(H.decode_rare_entities("text"), params.heading_tag)
-                .alias("sections"))
-    )
+    sectioned = articles.select(
+        *kept, H.split_sections(H.decode_rare_entities("text"), params.heading_tag)
+        .alias("sections"))
     chunked = sectioned.select(
         *kept, page_text("sections").alias("page_contents"),
         chunk_texts(section_texts("sections"), params).alias("chunks"))
-    return chunked.select(
-        *kept, "page_contents", F.size("chunks").alias("n_chunks"),
-        F.posexplode("chunks").alias("pos", "content"),
-    ).withColumn("chunk_no", F.col("pos") + 1).drop("pos")
+    rows = exploded(chunked, [*kept, "page_contents", F.size("chunks").alias("n_chunks")],
+                    F.col("chunks"), "content", "pos")
+    return rows.withColumn("chunk_no", F.col("pos") + 1).drop("pos")

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quaero.functions.arrays import exploded
 from quaero.functions.text import terms
 from quaero.operators.scoring import BlendKernel, TermKernel
 from quaero.operators.topk import rank_within, topk_join
@@ -25,7 +26,7 @@ class CorpusStats:
 def term_counts(index: DataFrame) -> DataFrame:
     """In how many rows each term occurs; a count per task comes before the shuffle."""
     return (
-        index.select(F.explode(F.array_distinct("terms")).alias("term"))
+        exploded(index, [], F.array_distinct("terms"), "term")
         .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     )
 
@@ -42,7 +43,7 @@ def idf(df: Column, rows: int) -> Column:
 
 def question_terms(queries: DataFrame, text: str) -> DataFrame:
     """Distinct terms per query: ``query_id, term``."""
-    return queries.select("query_id", F.explode(F.array_distinct(terms(text))).alias("term"))
+    return exploded(queries, ["query_id"], F.array_distinct(terms(text)), "term")
 
 
 def term_weights(queries: DataFrame, stats: CorpusStats, text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quaero.functions import html as H
+from quaero.functions.arrays import exploded
 
 ORIGIN_RE = r"^(https?://[^/?#]+)"
 
@@ -23,7 +24,7 @@ def page_links(pages: DataFrame, base: str | None = None) -> DataFrame:
     origin = F.lit(base) if base else F.regexp_extract("url", ORIGIN_RE, 1)
     href = F.col("href")
     return (
-        pages.select(origin.alias("origin"), F.explode(H.links("html")).alias("href"))
+        exploded(pages, [origin.alias("origin")], H.links("html"), "href")
         .where(href.startswith("/") & ~href.startswith("//") & ~href.contains("http"))
         .select(F.concat("origin", "href").alias("url"))
     )

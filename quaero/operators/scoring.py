@@ -58,15 +58,22 @@ class _Matches:
         query = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
         order = np.argsort(term, kind="stable")
         ends = np.searchsorted(term[order], np.arange(len(vocab) + 1))
-        return len(lists), vocab, ends, query[order], weight[order]
+        # Terms that many queries share are scored by one matrix product.
+        asked = np.diff(ends)
+        shared = np.flatnonzero((asked >= 8) & (asked * 20 >= len(lists)))
+        column = np.full(len(vocab), -1)
+        column[shared] = np.arange(len(shared))
+        dense = np.zeros((len(lists), len(shared)))
+        in_dense = column[term] >= 0
+        dense[query[in_dense], column[term[in_dense]]] = weight[in_dense]
+        return vocab, ends, query[order], weight[order], column, dense
 
     def raw(self, block, batch) -> np.ndarray:
-        n_queries, vocab, ends, query, weight = block
+        vocab, ends, query, weight, column, dense = block
         lists = batch.column("terms")
         lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        out = np.zeros((n_queries, len(lists)))
         if not len(vocab):
-            return out
+            return np.zeros((len(dense), len(lists)))
         found = pc.index_in(lists.flatten(), value_set=vocab)
         rows = np.repeat(np.arange(len(lists)), lengths)
         hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
@@ -74,6 +81,11 @@ class _Matches:
         pairs, tf = np.unique(term * len(lists) + rows[hit], return_counts=True)
         term, row = np.divmod(pairs, len(lists))
         impact = self.impact(tf, lengths[row])
+        many = column[term] >= 0
+        shared = np.zeros((dense.shape[1], len(lists)))
+        shared[column[term[many]], row[many]] = impact[many]
+        out = dense @ shared
+        term, row, impact = term[~many], row[~many], impact[~many]
         cuts = np.flatnonzero(np.diff(term)) + 1
         for at, end in zip(np.r_[0, cuts], np.r_[cuts, len(term)]):
             if end > at:
@@ -146,11 +158,12 @@ class Best:
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         k, width = self.k, scores.shape[1]
-        floor = self.floor
-        if width > k:
+        passing = (scores >= self.floor[:, None]) & (scores > -np.inf)
+        if width > k and np.count_nonzero(passing) > 2 * k * len(scores):
             # Whatever lies below the tile's own k-th score cannot be among the k best.
-            floor = np.maximum(floor, np.partition(scores, width - k, axis=1)[:, width - k])
-        q, row = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+            floor = np.partition(scores, width - k, axis=1)[:, width - k]
+            passing &= scores >= floor[:, None]
+        q, row = np.nonzero(passing)
         query = np.r_[self.query, q]
         id_ = np.r_[self.id, ids[row]]
         score = np.r_[self.score, scores[q, row]]

@@ -105,5 +105,10 @@ def grid_topk(index: DataFrame, queries: DataFrame, kernel, k: int, params: Para
 def topk_join(index: DataFrame, queries: DataFrame, kernel, k: int, params: Params,
               min_score: float | None = None) -> DataFrame:
     """Exact top-k: broadcast the queries if they are proven small, else use the grid."""
-    run = scan_topk if fits_broadcast(queries, kernel, params) else grid_topk
-    return run(index, queries, kernel, k, params, min_score)
+    # Kept on the executors between the check and the use; recomputed if one is lost.
+    queries = queries.select("query_id", *kernel.query_columns).persist()
+    try:
+        run = scan_topk if fits_broadcast(queries, kernel, params) else grid_topk
+        return run(index, queries, kernel, k, params, min_score)
+    finally:
+        queries.unpersist()

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from quaero.functions.arrays import exploded
 from quaero.functions.text import column, terms
 from quaero.operators.models import apply_model
 from quaero.operators.scoring import VectorKernel
@@ -81,7 +82,7 @@ def signatures(df: DataFrame, dim: int, bands: int, bits: int, vector: str = "em
         signs = np.round(np.einsum("nd,bid->nbi", x, planes), 6) >= 0
         return pd.Series(list((signs @ weights) + (np.arange(bands) << bits)))
 
-    return df.withColumn("bucket", F.explode(buckets(vector)))
+    return exploded(df, ["*"], buckets(vector), "bucket")
 
 
 def vector_lsh_topk(index: DataFrame, queries: DataFrame, k: int, dim: int, bands: int = 16,

@@ -43,7 +43,7 @@ class Params:
     broadcast_queries: int = 20_000
     broadcast_bytes: int = 64 << 20
     # Rows one grid cell may hold on its index side and on its query side.
-    cell_rows: int = 50_000
-    cell_queries: int = 2_000
+    cell_rows: int = 20_000
+    cell_queries: int = 20_000
     # Doubles in one scoring tile (queries x rows).
     tile_cells: int = 4_000_000

@@ -20,22 +20,27 @@ from quaero.params import Params
 from quaero.sources.workdir import run_dir, staged
 
 SCHEMA = (
-    "id bigint, url string, content string, content_hash string, terms array<string>, "
-    "embedding array<float>, op string, batch_id bigint"
+    "id bigint, url string, content string, content_hash string, text_hash string, "
+    "terms array<string>, embedding array<float>, op string, batch_id bigint"
 )
 
 
 @dataclass(frozen=True)
 class Index:
-    """Searchable rows ``id, url, content, terms, embedding`` with the corpus statistics."""
+    """Searchable rows ``id, url, content, text_hash, terms, embedding`` and their statistics."""
 
     rows: DataFrame
     stats: CorpusStats
 
 
+def with_terms(chunks: DataFrame) -> DataFrame:
+    """Add the search terms and a hash that equal texts share."""
+    return chunks.withColumns({"terms": terms("content"), "text_hash": F.md5("content")})
+
+
 def searchable(chunks: DataFrame, params: Params = Params(), embedder=None) -> DataFrame:
     """Add terms and embedding to ``id, url, content`` rows; rows the embedder fails on go."""
-    out = embed(chunks.withColumn("terms", terms("content")), "content", params, embedder)
+    out = embed(with_terms(chunks), "content", params, embedder)
     return out.where("error is null").drop("error") if embedder is not None else out
 
 
@@ -47,7 +52,7 @@ def build_index(chunks: DataFrame, params: Params = Params(), embedder=None,
     """
     folder = folder or run_dir(chunks.sparkSession, "index")
     full = (searchable(chunks, params, embedder) if vectors
-            else chunks.withColumn("terms", terms("content")))
+            else with_terms(chunks))
     rows = staged(full, "rows", folder)
     return Index(rows, corpus_stats(rows, staged(term_counts(rows), "terms", folder)))
 
@@ -89,22 +94,21 @@ def _log(spark: SparkSession, path: str, before: int | None) -> DataFrame:
 
 
 def current_rows(spark: SparkSession, path: str, before: int | None = None,
-                 columns: tuple[str, ...] = ("id", "url", "content", "content_hash", "terms",
-                                             "embedding")) -> DataFrame:
+                 columns: tuple[str, ...] = ("id", "url", "content", "content_hash", "text_hash",
+                                             "terms", "embedding")) -> DataFrame:
     """Latest state of each id, without deleted ones; ``before`` hides that sync and later ones.
 
-    A row is superseded if a later sync names its id.  Only the keys of changed rows take part
-    in that test; the wide rows are not grouped or sorted.
+    A row is superseded if a later sync updates or deletes its id.  Those keys lie in folders
+    of their own, so Spark knows their size and broadcasts them while they are few; ``compact``
+    makes them few again.  The wide rows are not grouped or sorted.
     """
-    log = _log(spark, path, before)
-    later = (
-        _log(spark, path, before).where("op <> 'insert'")
-        .groupBy(F.col("id").alias("later_id")).agg(F.max("batch_id").alias("later_batch"))
-    )
-    newest = log.join(
+    rows = _log(spark, path, before).where("op <> 'delete'")
+    later = _log(spark, path, before).where("op <> 'insert'").select(
+        F.col("id").alias("later_id"), F.col("batch_id").alias("later_batch"))
+    newest = rows.join(
         later, (F.col("id") == F.col("later_id")) & (F.col("batch_id") < F.col("later_batch")),
         "left_anti")
-    return newest.where("op <> 'delete'").select(*columns)
+    return newest.select(*columns)
 
 
 def sync_index(chunks: DataFrame, path: str, batch_id: int, params: Params = Params(),
@@ -120,11 +124,10 @@ def sync_index(chunks: DataFrame, path: str, batch_id: int, params: Params = Par
     # Written once, so that the wide join below does not repeat the comparison.
     changes = staged(index_diff(current, source, deletes), "changes")
     fresh = searchable(source.join(changes.where("op <> 'delete'"), "id"), params, embedder)
-    names = ["id", "url", "content", "content_hash", "terms", "embedding", "op"]
+    names = ["id", "url", "content", "content_hash", "text_hash", "terms", "embedding", "op"]
     gone = changes.where("op = 'delete'")
-    folder = f"{path}/batch_id={batch_id}"
     (fresh.select(names).unionByName(gone, allowMissingColumns=True)
-        .write.mode("overwrite").parquet(folder))
+        .write.mode("overwrite").partitionBy("op").parquet(f"{path}/batch_id={batch_id}"))
     written = spark.read.schema(SCHEMA).parquet(path).where(F.col("batch_id") == batch_id)
     return written.groupBy("op").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -132,5 +135,5 @@ def sync_index(chunks: DataFrame, path: str, batch_id: int, params: Params = Par
 def compact(spark: SparkSession, path: str, target: str) -> DataFrame:
     """Rewrite the latest state as the first sync of a new folder, to be used from then on."""
     rows = current_rows(spark, path).withColumn("op", F.lit("insert"))
-    rows.write.mode("overwrite").parquet(f"{target}/batch_id=0")
+    rows.write.mode("overwrite").partitionBy("op").parquet(f"{target}/batch_id=0")
     return current_rows(spark, target)
