@@ -84,7 +84,7 @@ both_parts AS (
     CASE WHEN i > 1 AND regexp_matches(piece, '{close}')
          THEN {visible(f"regexp_replace(piece, '{close}', '')")} ELSE {visible('piece')} END AS body
   FROM cut),
-sections AS (
+sections AS MATERIALIZED (
   SELECT url, title, heading, body,
          (row_number() OVER (PARTITION BY url ORDER BY i) - 1)::integer AS section_no
   FROM both_parts WHERE heading <> '' OR body <> '')"""
@@ -173,20 +173,20 @@ chunks AS (
 
 # --- search
 
-WHOLE_DOCUMENTS = f"""docs AS (
+WHOLE_DOCUMENTS = f"""docs AS MATERIALIZED (
   SELECT doc_id AS id, source AS url, text AS content, {terms('text')} AS terms FROM documents)"""
 
 DOCUMENT_PASSAGES = f"""{DOCUMENT_CHUNKS},
-passages AS (
+passages AS MATERIALIZED (
   SELECT {key('doc_id', 'chunk_no', 'content')} AS id, source AS url, content
   FROM chunks JOIN documents USING (doc_id))"""
 PASSAGES = f"""{DOCUMENT_PASSAGES},
-docs AS (SELECT *, {terms('content')} AS terms FROM passages)"""
+docs AS MATERIALIZED (SELECT *, {terms('content')} AS terms FROM passages)"""
 
-POSTINGS = f"""postings AS (
+POSTINGS = f"""postings AS MATERIALIZED (
   SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM docs) GROUP BY ALL),
 size AS (SELECT count(*)::double AS n, avg(len(terms)) AS avg_len FROM docs),
-vocab AS (
+vocab AS MATERIALIZED (
   SELECT term, df, ln(1 + ((SELECT n FROM size) - df + 0.5::double) / (df + 0.5::double)) AS idf
   FROM (SELECT term, count(*)::double AS df FROM postings GROUP BY term))"""
 
@@ -195,7 +195,7 @@ CORPUS = f"{WHOLE_DOCUMENTS},\n{POSTINGS}"
 
 def query_terms(source, text, out):
     """Known distinct terms of source(query_id, text) as out(query_id, term, df, idf)."""
-    return f"""{out} AS (
+    return f"""{out} AS MATERIALIZED (
   SELECT query_id, term, df, idf
   FROM (SELECT DISTINCT query_id, unnest({terms(text)}) AS term FROM {source}) JOIN vocab USING (term))"""
 
@@ -212,7 +212,7 @@ def bm25(source, text, out):
 
 
 def ranked(source, out, k, score, where="true"):
-    return f"""{out} AS (
+    return f"""{out} AS MATERIALIZED (
   SELECT * FROM (
     SELECT query_id, id, score,
       (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::integer AS rank
@@ -268,7 +268,7 @@ def linear_hybrid(queries, out, k, threshold):
 
 BENCHMARK = "asked AS (SELECT item_id AS query_id, text FROM benchmark)"
 USER_TURNS = f"asked AS (SELECT {key('conv_id', 'turn')} AS query_id, text FROM conversations WHERE role = 'user')"
-EVAL_PAIRS = """pairs AS (
+EVAL_PAIRS = """pairs AS MATERIALIZED (
   SELECT q.conv_id || ':' || q.turn AS request_id, q.conv_id, q.text AS request,
          a.text AS expected_response
   FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
@@ -276,7 +276,7 @@ EVAL_PAIRS = """pairs AS (
 
 
 def embedded_pairs(score, where="true", label=""):
-    return f"""pairs AS (
+    return f"""pairs AS MATERIALIZED (
   SELECT q.vec_id AS query_id, d.vec_id AS id, {score} AS s
   FROM (SELECT vec_id, embedding::double[] AS v FROM embeddings) q,
        (SELECT vec_id, embedding::double[] AS v FROM embeddings {label}) d),
@@ -306,7 +306,7 @@ buckets AS (SELECT vec_id, band, sum(s << bit) AS bucket FROM signs GROUP BY vec
 met AS (
   SELECT DISTINCT q.vec_id AS query_id, d.vec_id AS id
   FROM buckets q JOIN buckets d USING (band, bucket)),
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT query_id, id, round((1 + list_cosine_similarity(
     q.embedding::double[], d.embedding::double[])) / 2, 6) AS s
   FROM met JOIN embeddings q ON q.vec_id = query_id JOIN embeddings d ON d.vec_id = id),
@@ -363,7 +363,7 @@ def bigrams(x):
 
 def merged_hits(source, out):
     """Dedup of source(query_id, source, variant_no, rank, id, url, content, score)."""
-    return f"""{out} AS (
+    return f"""{out} AS MATERIALIZED (
   SELECT query_id, content, place, d.id, d.url, d.score FROM (
     SELECT query_id, content, min([source, variant_no, rank]::bigint[]) AS place,
       arg_max({{id: id, url: url, score: score}}, [source, variant_no, rank]::bigint[]) AS d
@@ -390,7 +390,7 @@ def reranked(questions, candidates, out):
     LEFT JOIN {out}_hit h ON h.query_id = c.query_id AND h.id = c.id
     LEFT JOIN {out}_total t ON t.query_id = c.query_id
     JOIN {out}_bigrams b ON b.query_id = c.query_id),
-{out} AS (
+{out} AS MATERIALIZED (
   SELECT * FROM (
     SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, id))::integer
       AS rank FROM {out}_scored) WHERE rank <= 5)"""
@@ -450,17 +450,17 @@ def answered(source, search, corpus=PASSAGES, question=True, rewrite=True, expan
         parts += [search("spec", "first_hits", 3), hyde("spec", "first_hits", "expanded")]
         texts.append("""SELECT query_id AS question_id, 1 AS source, 0 AS variant_no,
     query_id || '/1/0' AS query_id, hyde AS text FROM expanded""")
-    by_place = """top AS (
+    by_place = """top AS MATERIALIZED (
   SELECT * FROM (
     SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY place, id))::integer AS rank
     FROM merged) WHERE rank <= 5)"""
     return ",\n".join([
         corpus, POSTINGS, routed(source, "routed"),
-        "spec AS (SELECT query_id, text FROM routed WHERE route = 'specific')",
+        "spec AS MATERIALIZED (SELECT query_id, text FROM routed WHERE route = 'specific')",
         query_terms("spec", "text", "spec_known"), *parts,
-        f"searches AS ({' UNION ALL '.join(texts)})",
+        f"searches AS MATERIALIZED ({' UNION ALL '.join(texts)})",
         search("searches", "found", 20),
-        """candidates AS (
+        """candidates AS MATERIALIZED (
   SELECT s.question_id AS query_id, s.source, s.variant_no, f.rank, f.id, d.url, d.content, f.score
   FROM found f JOIN searches s USING (query_id) JOIN docs d ON d.id = f.id)""",
         merged_hits("candidates", "merged"),
@@ -523,12 +523,12 @@ buffer_texts AS (SELECT [k, i::varchar] AS k, t FROM buffers),
 page AS (
   SELECT url, any_value(title) AS title, string_agg(body, '' ORDER BY section_no) AS page_contents
   FROM sections GROUP BY url),
-page_chunks AS (
+page_chunks AS MATERIALIZED (
   SELECT k[1] AS url, t, (row_number() OVER w)::integer AS chunk_no,
          count(*) OVER (PARTITION BY k[1]) AS n
   FROM page_pieces WHERE {n_tokens('t')} > 20
   WINDOW w AS (PARTITION BY k[1] ORDER BY k[2]::integer, lo)),
-corpus AS (
+corpus AS MATERIALIZED (
   SELECT url, chunk_no, {content} AS content, page_contents
   FROM page_chunks JOIN page USING (url)
   UNION ALL SELECT '', 0, content, '' FROM ({custom}))"""
@@ -536,8 +536,8 @@ corpus AS (
 
 def rung(i, name, context, custom, **steps):
     corpus = f"""{DOCUMENT_PASSAGES},
-{page_corpus(context, 'SELECT content FROM passages' if custom else "SELECT '' AS content WHERE false")},
-docs AS (
+{page_corpus(context, 'SELECT DISTINCT content FROM passages' if custom else "SELECT '' AS content WHERE false")},
+docs AS MATERIALIZED (
   SELECT {key('url', 'chunk_no', 'content')} AS id, url, content, {terms('content')} AS terms
   FROM corpus)"""
     return (f"SELECT {i}::integer AS ord, '{name}' AS approach, overall FROM "
@@ -559,7 +559,7 @@ FROM (
 
 RANKED = f"""{CORPUS}, {BENCHMARK},
 {keyword('asked', 'text', 'found', 20)},
-candidates AS (
+candidates AS MATERIALIZED (
   SELECT f.query_id, 0 AS source, 0 AS variant_no, f.rank, f.id, d.url, d.content, f.score
   FROM found f JOIN docs d ON d.id = f.id),
 {merged_hits('candidates', 'merged')},
@@ -613,7 +613,7 @@ FROM (SELECT doc_id, regexp_extract(text, '^([^.!?\n]+[.!?])', 1) AS m FROM docu
     "append_custom": """SELECT source AS url, text AS page_contents, text AS content FROM documents
 UNION ALL SELECT '', '', text FROM benchmark""",
     "row_key": f"SELECT doc_id, {key('source', 'doc_id', 'text')} AS id FROM documents",
-    "build_corpus": f"""WITH RECURSIVE {page_corpus(True, 'SELECT text AS content FROM benchmark')}
+    "build_corpus": f"""WITH RECURSIVE {page_corpus(True, 'SELECT DISTINCT text AS content FROM benchmark')}
 SELECT {key('url', 'chunk_no', 'content')} AS id, url, chunk_no, content, page_contents FROM corpus""",
     "stage_report": f"""WITH {HREFS}, {sections('p').split('AS (', 1)[0]}AS ({sections('p').split('AS (', 1)[1]}
 SELECT 'links' AS stage, count(*) AS rows, count(DISTINCT url) AS distinct_urls, 0::bigint AS rejected FROM links
@@ -670,6 +670,12 @@ SELECT * FROM best""",
 SELECT query_id, text AS question, route, prompt, answer FROM final""",
     "retrieval_log": f"""WITH RECURSIVE {BENCHMARK}, {answered('asked', keyword_search)}
 SELECT 'run' AS run_id, query_id, rank, id, url, score, relevance_score FROM top""",
+    "custom_csv": "SELECT '' AS url, '' AS page_contents, text AS content FROM benchmark",
+    "eval_csv": f"""WITH {EVAL_PAIRS}
+SELECT request_id, request, expected_response FROM pairs""",
+    "stage_tables": """SELECT 'chunks' AS stage, count(*) AS rows, count(DISTINCT content) AS contents
+FROM (SELECT text AS content FROM documents UNION ALL SELECT text FROM benchmark)
+UNION ALL SELECT 'chunks_original', count(*), count(DISTINCT text) FROM documents""",
     "eval_set": f"WITH {EVAL_PAIRS} SELECT request_id, request, expected_response FROM pairs",
     "judge_verdicts": f"""WITH {EVAL_PAIRS},
 opening AS (SELECT conv_id, arg_min(text, turn) AS context FROM conversations GROUP BY conv_id),

@@ -29,7 +29,10 @@ from quaero.plans import index as IX
 from quaero.plans.corpus import build_corpus
 from quaero.plans.frontier import url_frontier
 from quaero.plans.retrieve import payload, retrieve
-from quaero.sources.tables import append_log, read_table, spread
+from quaero.sources.tables import (
+    append_log, overwrite_table, read_custom_passages, read_eval_set, read_table, recreate_table,
+    snapshot_table, spread, unescape_newlines, use_namespace,
+)
 from quaero.sources.workdir import run_dir, staged
 from quaero.streaming.answers import answer_stream, read_answers
 from quaero.streaming.sync import sync_stream
@@ -41,6 +44,8 @@ HYBRID_THRESHOLD = 0.7
 LSH_BANDS, LSH_BITS, DIM = 16, 8, 64
 # The texts are random syllables, so the built-in judges need low bars to tell rungs apart.
 LADDER_PARAMS = Params(correct_f1=0.1, sufficient_recall=0.25, grounded_share=0.5)
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
+       "ignoreTrailingWhiteSpace": False}
 SPAM_HOSTS = "casino|pills|bets"
 
 
@@ -190,6 +195,45 @@ def append_custom(spark, sf):
     return E.append_custom(chunks, custom).select("url", "page_contents", "content")
 
 
+def custom_csv(spark, sf):
+    """Passages through the CSV source: written once, read back."""
+    path = run_dir(spark, "csv")
+    read_table(spark, sf, "benchmark").select(
+        F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("page_contents"),
+        F.col("text").alias("content"),
+    ).write.options(**CSV).csv(path)
+    return read_custom_passages(spark, path, multiline=True)
+
+
+def eval_csv(spark, sf):
+    """The eval set through the CSV source, line breaks written as backslash and n."""
+    path = run_dir(spark, "csv")
+    flat = lambda c: F.replace(c, F.lit("\n"), F.lit("\\n")).alias(c)
+    eval_set(spark, sf).select("request_id", flat("request"), flat("expected_response")).write.options(
+        **CSV).csv(path)
+    return read_eval_set(spark, path).withColumn("request", unescape_newlines("request"))
+
+
+def stage_tables(spark, sf):
+    """Namespace, recreate, snapshot and overwrite, as the stages of an ingestion use them."""
+    before = spark.catalog.currentDatabase()
+    place = run_dir(spark, "warehouse")
+    name = place.rsplit("/", 1)[1].replace("-", "_")
+    use_namespace(spark, name, location=place)
+    try:
+        chunks = _documents(spark, sf).select(F.col("text").alias("content"))
+        recreate_table(chunks, f"{name}.chunks")
+        original = snapshot_table(spark, f"{name}.chunks")
+        custom = read_table(spark, sf, "benchmark").select(F.col("text").alias("content"))
+        merged = overwrite_table(E.append_custom(original, custom), f"{name}.chunks")
+        counted = [df.agg(F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("rows"),
+                          F.count_distinct("content").alias("contents"))
+                   for stage, df in (("chunks", merged), ("chunks_original", original))]
+        return counted[0].unionByName(counted[1])
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+
 def row_keys(spark, sf):
     return _documents(spark, sf).select("doc_id", row_key("source", "doc_id", "text").alias("id"))
 
@@ -464,6 +508,9 @@ QUERIES = {
     "contextualise": contextualise,
     "contextualise_model": contextualise_model,
     "append_custom": append_custom,
+    "custom_csv": custom_csv,
+    "eval_csv": eval_csv,
+    "stage_tables": stage_tables,
     "row_key": row_keys,
     "build_corpus": build_corpus_query,
     "stage_report": stage_report,

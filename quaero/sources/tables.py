@@ -27,35 +27,41 @@ def unescape_newlines(col: Column | str) -> Column:
     return F.replace(F.col(col) if isinstance(col, str) else col, F.lit("\\n"), F.lit("\n"))
 
 
-def _read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, schema, multiline: bool) -> DataFrame:
     return (
         spark.read.schema(schema)
-        .option("header", True).option("multiLine", True).option("escape", '"')
+        .option("header", True).option("multiLine", multiline).option("escape", '"')
         .csv(path)
     )
 
 
-def read_custom_passages(spark: SparkSession, path: str) -> DataFrame:
-    """Hand-written passages ``url, page_contents, content``; empty fields become ''."""
-    return _read_csv(spark, path, schemas.CUSTOM_PASSAGES).na.fill("")
+def read_custom_passages(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Hand-written passages ``url, page_contents, content``; empty fields become ''.
+
+    ``multiline`` allows line breaks inside quoted fields; a file is then one task.
+    """
+    return _read_csv(spark, path, schemas.CUSTOM_PASSAGES, multiline).na.fill("")
 
 
-def read_eval_set(spark: SparkSession, path: str, unescape: bool = True) -> DataFrame:
-    """Question-answer pairs with string ids."""
-    df = _read_csv(spark, path, schemas.EVAL_SET)
+def read_eval_set(spark: SparkSession, path: str, unescape: bool = True,
+                  multiline: bool = False) -> DataFrame:
+    """Question-answer pairs with string ids; a literal backslash-n becomes a line break."""
+    df = _read_csv(spark, path, schemas.EVAL_SET, multiline)
     if unescape:
         df = df.withColumn("expected_response", unescape_newlines("expected_response"))
     return df
 
 
-def use_namespace(spark: SparkSession, database: str, catalog: str | None = None) -> str:
+def use_namespace(spark: SparkSession, database: str, catalog: str | None = None,
+                  location: str | None = None) -> str:
     """Switch to a database, creating it on first use; returns the current catalog."""
     if catalog:
         known = {c.name for c in spark.catalog.listCatalogs()}
         if catalog not in known:
             raise ValueError(f"catalog {catalog!r} is not configured; known: {sorted(known)}")
         spark.catalog.setCurrentCatalog(catalog)
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{place}")
     spark.catalog.setCurrentDatabase(database)
     return spark.catalog.currentCatalog()
 
@@ -82,4 +88,5 @@ def append_log(log: DataFrame, path: str) -> DataFrame:
     """Add one run's rows to the retrieval log, one folder per run; a retry replaces its own rows."""
     (log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id").parquet(path))
-    return log.sparkSession.read.schema(schemas.RETRIEVAL_LOG).parquet(path)
+    names = schemas.RETRIEVAL_LOG.names
+    return log.sparkSession.read.schema(schemas.RETRIEVAL_LOG).parquet(path).select(names)
