@@ -50,33 +50,52 @@ def scan_topk(index: DataFrame, queries: DataFrame, kernel, k: int, params: Para
     return top_k(partial, k)
 
 
+# A table of bucket sizes is broadcast only if the bucketing cannot yield more rows than this.
+MAX_BROADCAST_BUCKETS = 1 << 20
+
+
+def _pieces(index: DataFrame, queries: DataFrame, params: Params, buckets: int | None):
+    """Function that adds ``row_cells`` and ``query_cells``, the number of pieces, to a side."""
+    if buckets is None:
+        rows, asked = index.count(), queries.count()
+        cells = {"row_cells": F.lit(max(1, -(-rows // params.cell_rows))),
+                 "query_cells": F.lit(max(1, -(-asked // params.cell_queries)))}
+        return lambda side: side.withColumns(cells)
+    sizes = (
+        index.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+        .join(queries.groupBy("bucket").agg(F.count(F.lit(1)).alias("asked")), "bucket")
+        .select("bucket",
+                F.ceil(F.col("rows") / params.cell_rows).cast("int").alias("row_cells"),
+                F.ceil(F.col("asked") / params.cell_queries).cast("int").alias("query_cells"))
+    )
+    # Without a broadcast the join would first bring each bucket to one place.
+    if buckets > MAX_BROADCAST_BUCKETS:
+        raise ValueError(f"{buckets} buckets; use fewer bands or bits")
+    return lambda side: side.join(F.broadcast(sizes), "bucket")
+
+
 def grid_topk(index: DataFrame, queries: DataFrame, kernel, k: int, params: Params,
-              min_score: float | None = None) -> DataFrame:
+              min_score: float | None = None, buckets: int | None = None) -> DataFrame:
     """The same result for any number of queries, and for queries confined to buckets.
 
     Both sides are cut into pieces of bounded size by a hash of their id, and each pair of
-    pieces is one task group.  If both sides carry a ``bucket`` column, a query only meets the
-    rows of its own buckets; a hot bucket is cut into more pieces, so no group grows with it.
+    pieces is one task group.  With ``buckets``, an upper bound of their number, both sides
+    carry a ``bucket`` column and a query only meets the rows of its own buckets; a hot bucket
+    is cut into more pieces, so no group grows with it.
     """
     schema = _hits_schema(queries)
-    if "bucket" not in index.columns:
+    if buckets is None:
         index = index.withColumn("bucket", F.lit(0).cast("bigint"))
         queries = queries.withColumn("bucket", F.lit(0).cast("bigint"))
     # Own names on either side: index and queries may be views of one table.
     index = index.select("bucket", "id", *(F.col(c).alias(f"i_{c}") for c in kernel.index_columns))
     queries = queries.select(F.col("bucket").alias("bucket"), F.col("query_id").alias("query_id"),
                              *(F.col(c).alias(f"q_{c}") for c in kernel.query_columns))
-    pieces = (
-        index.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-        .join(queries.groupBy("bucket").agg(F.count(F.lit(1)).alias("asked")), "bucket")
-        .select("bucket",
-                F.ceil(F.col("rows") / params.cell_rows).cast("int").alias("row_cells"),
-                F.ceil(F.col("asked") / params.cell_queries).cast("int").alias("query_cells"))
-    )
+    with_pieces = _pieces(index, queries, params, buckets)
 
     def cut(side: DataFrame, own: str, other: str, key: str) -> DataFrame:
         return (
-            side.join(pieces, "bucket")
+            with_pieces(side)
             .withColumn(own, F.pmod(F.xxhash64(key), F.col(own + "s")).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)))
             .drop("row_cells", "query_cells")

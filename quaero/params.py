@@ -40,8 +40,8 @@ class Params:
 
     # --- physical bounds
     # A query set is broadcast while it stays under both bounds; a larger one takes the grid join.
-    broadcast_queries: int = 20_000
-    broadcast_bytes: int = 64 << 20
+    broadcast_queries: int = 100_000
+    broadcast_bytes: int = 128 << 20
     # Rows one grid cell may hold on its index side and on its query side.
     cell_rows: int = 20_000
     cell_queries: int = 20_000
