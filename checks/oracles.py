@@ -330,12 +330,21 @@ def routed(source, out):
 
 def variants(source, known, out):
     return f"""{out}_words AS (
-  SELECT query_id, list_aggregate(list(term ORDER BY df, term)[:5], 'string_agg', ' ') AS words
+  SELECT query_id, list_aggregate(list(term ORDER BY df, term)[:5], 'string_agg', ' ') AS rarest
   FROM {known} GROUP BY query_id),
+{out}_places AS (
+  SELECT query_id, term, min(i) AS i FROM (
+    SELECT query_id, unnest(l) AS term, generate_subscripts(l, 1) AS i
+    FROM (SELECT query_id, {terms('text')} AS l FROM {source})) GROUP BY ALL),
+{out}_content AS (
+  SELECT query_id, string_agg(term, ' ' ORDER BY i) AS content
+  FROM {out}_places JOIN {known} USING (query_id, term)
+  WHERE df * 2 <= (SELECT n FROM size) GROUP BY query_id),
 {out}_lists AS (
-  SELECT q.query_id, list_prepend(q.text,
-    string_split(lower(q.text) || ',' || coalesce(w.words, ''), ',')) AS l
-  FROM {source} q LEFT JOIN {out}_words w ON w.query_id = q.query_id),
+  SELECT q.query_id, list_prepend(q.text, string_split(
+    lower(q.text) || ',' || coalesce(c.content, '') || ',' || coalesce(w.rarest, ''), ',')) AS l
+  FROM {source} q LEFT JOIN {out}_words w ON w.query_id = q.query_id
+    LEFT JOIN {out}_content c ON c.query_id = q.query_id),
 {out} AS (
   SELECT query_id, variant_no, variant FROM (
     SELECT query_id, (generate_subscripts(l, 1) - 1)::integer AS variant_no, unnest(l) AS variant

@@ -60,13 +60,16 @@ def term_weights(queries: DataFrame, stats: CorpusStats, text: str = "text") ->
     )
 
 
-def weighted_queries(queries: DataFrame, stats: CorpusStats, text: str = "text") -> DataFrame:
+def weighted_queries(queries: DataFrame, stats: CorpusStats, text: str = "text",
+                     known: DataFrame | None = None) -> DataFrame:
     """One row per query with its known terms and their weights.
 
     A group holds the distinct terms of one question, so its size is that of one text.
+    ``known`` are term weights that are there already.
     """
+    known = term_weights(queries, stats, text) if known is None else known
     return (
-        term_weights(queries, stats, text).groupBy("query_id")
+        known.groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("t"))
         .select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("weights"))
     )

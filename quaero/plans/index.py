@@ -60,7 +60,7 @@ def build_index(chunks: DataFrame, params: Params = Params(), embedder=None,
 def load_index(spark: SparkSession, path: str) -> Index:
     """Open the synced index at ``path`` with the statistics of its latest state."""
     rows = current_rows(spark, path)
-    return Index(rows, corpus_stats(rows))
+    return Index(rows, corpus_stats(rows, staged(term_counts(rows), "terms")))
 
 
 def index_diff(current: DataFrame, source: DataFrame, deletes: bool = True) -> DataFrame:
