@@ -422,8 +422,8 @@ def accuracy_ladder(spark, sf):
 def step_ladder(spark, sf):
     """The rungs of the comparison, as switches of the library's own corpus and steps."""
     pages = _pages(spark, sf)
-    custom = _document_passages(spark, sf).select(
-        F.lit("").alias("url"), F.lit("").alias("page_contents"), "content")
+    custom = staged(_document_passages(spark, sf).select(
+        F.lit("").alias("url"), F.lit("").alias("page_contents"), "content"), "custom")
     corpora = {
         "pages": build_corpus(pages, None, PAGE_PARAMS, context=False),
         "custom": build_corpus(pages, None, PAGE_PARAMS, custom, context=False),
