@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaero.llm import langid
+from quaero.llm import jaccard, langid
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,13 @@ def op1_language_id(spark, sf_dir):
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op2_jaccard_join(spark, sf_dir):
+    found = jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "kept")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_jaccard_join": op2_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
