@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaero.llm import jaccard, langid
+from quaero.llm import decontaminate, jaccard, langid
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,15 @@ def op2_jaccard_join(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "kept")
 
 
+def op6_decontamination(spark, sf_dir):
+    found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "distance",
+                        F.col("start").alias("plain_start"), F.col("end").alias("plain_end"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_jaccard_join": op2_jaccard_join,
+    "op6_decontamination": op6_decontamination,
 }
 ORACLES: dict[str, str] = {}
