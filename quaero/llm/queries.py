@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaero.llm import decontaminate, jaccard, langid
+from quaero.llm import decontaminate, jaccard, langid, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_jaccard_join(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "kept")
 
 
+def op4_secret_scan(spark, sf_dir):
+    return secrets.secret_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_decontamination(spark, sf_dir):
     found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "distance",
@@ -36,6 +40,7 @@ def op6_decontamination(spark, sf_dir):
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_jaccard_join": op2_jaccard_join,
+    "op4_secret_scan": op4_secret_scan,
     "op6_decontamination": op6_decontamination,
 }
 ORACLES: dict[str, str] = {}
