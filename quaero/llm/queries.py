@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaero.llm import decontaminate, jaccard, langid, secrets
+from quaero.llm import bpe, decontaminate, jaccard, langid, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +37,15 @@ def op6_decontamination(spark, sf_dir):
                         F.col("start").alias("plain_start"), F.col("end").alias("plain_end"))
 
 
+def op9_token_counts(spark, sf_dir):
+    return bpe.token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_jaccard_join": op2_jaccard_join,
     "op4_secret_scan": op4_secret_scan,
     "op6_decontamination": op6_decontamination,
+    "op9_token_counts": op9_token_counts,
 }
 ORACLES: dict[str, str] = {}
