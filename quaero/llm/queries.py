@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaero.llm import bpe, decontaminate, jaccard, langid, secrets
+from quaero.llm import bpe, decontaminate, jaccard, langid, packing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +41,16 @@ def op9_token_counts(spark, sf_dir):
     return bpe.token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op10_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_jaccard_join": op2_jaccard_join,
     "op4_secret_scan": op4_secret_scan,
     "op6_decontamination": op6_decontamination,
     "op9_token_counts": op9_token_counts,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
