@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quaero.sources.workdir import staged
 
@@ -92,3 +92,28 @@ def components(edges: DataFrame, a: str, b: str, folder: str, name: str) -> Data
         if seen == before:
             break
     return pairs.selectExpr("hi AS node", "lo AS root").unionByName(pairs.selectExpr("lo AS node", "lo AS root").distinct())
+
+
+def link_report(rows: DataFrame, classes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """Per row of ``rows`` (row, id, digest): ``id, digest, n_links, class_id, first``.
+
+    ``classes`` has one row per digest (row, digest, copies, first), where first is the struct that
+    orders its rows; ``links`` has any number of rows (row, links, root) for the classes that link.
+    Copies count as links of each other, and ``first`` marks the first row of each component.
+    """
+    roots = components(links, "row", "root", folder, "linked").withColumnRenamed("node", "row")
+    own = links.groupBy("row").agg(F.sum("links").alias("links"))
+    counted = classes.join(own, "row", "left").join(roots, "row", "left")
+    counted = staged(counted.select(
+        "digest", "copies", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("root", "row").alias("root")), "counted", folder)
+    firsts = staged(counted.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n")), "firsts", folder)
+    named = staged(join_counted(counted.drop("first"), firsts, "root", "n").select("digest", "copies", "n_links", "best"),
+                   "named", folder)
+    return join_counted(rows.select("row", "id", "digest"), named, "digest", "copies").select(
+        "id", "digest", "n_links", F.col("best.id").alias("class_id"), (F.col("row") == F.col("best.row")).alias("first"))
+
+
+def first_of() -> Column:
+    """What orders the rows of a class: by id, nulls last, then by row."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "row")

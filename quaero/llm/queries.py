@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaero.llm import bpe, decontaminate, jaccard, langid, packing, secrets
+from quaero.llm import bpe, decontaminate, jaccard, langid, neardup, packing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op6_decontamination(spark, sf_dir):
                         F.col("start").alias("plain_start"), F.col("end").alias("plain_end"))
 
 
+def op8_embedding_near_dup(spark, sf_dir):
+    found = neardup.cosine_classes(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("class_id").alias("component_id"),
+                        F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 def op9_token_counts(spark, sf_dir):
     return bpe.token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -50,6 +56,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op4_secret_scan": op4_secret_scan,
     "op6_decontamination": op6_decontamination,
+    "op8_embedding_near_dup": op8_embedding_near_dup,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
