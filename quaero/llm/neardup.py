@@ -27,21 +27,34 @@ class NearParams:
     threshold: float = 0.9
     cell: int = 8192         # vectors in a piece, about
     anchors: int = 1024      # cells at most; a larger cell is cut into pieces
-    top: float = 1.0         # radius of the first net
-    levels: int = 5          # nets of radius top, top / 2, ...
+    levels: int = 4          # nets of the link radius, half of it, ...
     tile: int = 1024         # nodes on a side that are compared at once
 
+    @property
+    def reach(self) -> float:
+        """The distance of unit vectors with a cosine of ``threshold``."""
+        return float(np.sqrt(2 - 2 * self.threshold))
 
-def unit(values: list | None) -> np.ndarray | None:
-    """The vector scaled to length 1; nothing for null, zero, empty or non-finite ones."""
+
+def scaled(values: list | None) -> np.ndarray | None:
+    """The vector times a power of two that brings its largest component near 1, which is exact;
+    nothing for null, zero, empty or non-finite ones."""
     if not values or None in values:
         return None
     x = np.array(values, np.float64)
     big = np.abs(x).max()
     if not np.isfinite(big) or big == 0:
         return None
-    x = x / big
-    return x / np.sqrt(x @ x)
+    return np.ldexp(x, -int(np.frexp(big)[1]))
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+
+
+def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, the same whichever side a vector is on."""
+    return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
 
 
 def _net(x: np.ndarray, radius: float) -> np.ndarray:
@@ -82,7 +95,7 @@ def nets(x: np.ndarray, p: NearParams) -> np.ndarray:
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             if hi - lo > 1:
                 members = order[lo:hi]
-                own[members] = members[_net(x[members], p.top / 2**level)]
+                own[members] = members[_net(x[members], p.reach / 2**level)]
         out[level] = above = own
     return out
 
@@ -90,8 +103,9 @@ def nets(x: np.ndarray, p: NearParams) -> np.ndarray:
 class Tree:
     """A cover tree from the nets: on each level the leaders, covering radii and children."""
 
-    def __init__(self, x: np.ndarray, leaders: np.ndarray):
-        self.x = x
+    def __init__(self, vectors: np.ndarray, leaders: np.ndarray):
+        self.vectors = vectors
+        self.x = x = units(vectors)
         levels = [np.zeros(len(x), np.int64), *leaders, np.arange(len(x))]
         self.nodes, self.radius, self.children = [], [], []
         for own, below in zip(levels, [*levels[1:], None]):
@@ -113,25 +127,56 @@ class Tree:
         return order[place[node]:place[node + 1]]
 
 
-def dual(a: Tree, b: Tree, p: NearParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Tiles (points of a, points of b, which of them link) that together hold all links once."""
-    reach = np.sqrt(2 - 2 * p.threshold)
+def _product(a: Tree, b: Tree, level: int, s: np.ndarray, t: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a child of ``s`` and a child of ``t``, in parts of about ``size``."""
+    (order_a, place_a), (order_b, place_b) = a.children[level], b.children[level]
+    n_a, n_b = np.diff(place_a)[s], np.diff(place_b)[t]
+    starts = np.flatnonzero(np.diff((np.cumsum(n_a * n_b) - 1) // size, prepend=-1))
+    for lo, hi in zip(starts, np.append(starts[1:], len(s))):
+        each = (n_a * n_b)[lo:hi]
+        of = np.repeat(np.arange(lo, hi), each)
+        nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        yield order_a[place_a[s[of]] + nth // n_b[of]], order_b[place_b[t[of]] + nth % n_b[of]]
+
+
+def dual(a: Tree, b: Tree, p: NearParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links, as (points of a, points of b), once each, in parts of bounded size."""
+    reach = p.reach
     last = len(a.nodes) - 1
-    stack = [(0, np.array([0]), np.array([0]))]
-    while stack:
-        level, i, j = stack.pop()
-        if len(i) > p.tile or len(j) > p.tile:
-            stack.extend((level, s, t) for s in np.array_split(i, -(-len(i) // p.tile))
-                         for t in np.array_split(j, -(-len(j) // p.tile)))
-            continue
-        at, to = a.nodes[level][i], b.nodes[level][j]
-        near = a.x[at] @ b.x[to].T
+
+    def open_(level, i, j, near):
+        """Links among compared nodes, or below the pairs that may hold some."""
         if level == last:
-            yield at, to, near >= p.threshold
-            continue
-        span = np.minimum(2.0, a.radius[level][i][:, None] + b.radius[level][j][None, :] + reach + 1e-7)
-        for s, t in zip(*np.nonzero(near >= 1 - span * span / 2)):
-            stack.append((level + 1, a.kids(level, i[s]), b.kids(level, j[t])))
+            at, to = a.nodes[level][i], b.nodes[level][j]
+            hit = near >= p.threshold
+            edge = np.flatnonzero(np.abs(near - p.threshold) < 1e-9)  # where rounding could decide
+            hit[edge] = cosine(a.vectors[at[edge]], b.vectors[to[edge]]) >= p.threshold
+            if hit.any():
+                yield at[hit], to[hit]
+            return
+        span = np.minimum(2.0, a.radius[level][i] + b.radius[level][j] + reach + 1e-7)
+        live = near >= 1 - span * span / 2
+        i, j = i[live], j[live]
+        if not len(i):
+            return
+        wide = np.diff(a.children[level][1])[i] * np.diff(b.children[level][1])[j] > p.tile
+        for s, t in zip(i[wide], j[wide]):
+            yield from grid(level + 1, a.kids(level, s), b.kids(level, t))
+        if not wide.all():
+            for s, t in _product(a, b, level, i[~wide], j[~wide], 32 * p.tile):
+                x, y = a.x[a.nodes[level + 1][s]], b.x[b.nodes[level + 1][t]]
+                yield from open_(level + 1, s, t, np.einsum("ij,ij->i", x, y))
+
+    def grid(level, i, j):
+        """Compare all of ``i`` with all of ``j``, tile by tile."""
+        for s in np.array_split(i, -(-len(i) // p.tile)):
+            for t in np.array_split(j, -(-len(j) // p.tile)):
+                near = a.x[a.nodes[level][s]] @ b.x[b.nodes[level][t]].T
+                wide = np.minimum(2.0, a.radius[level][s].max() + b.radius[level][t].max() + reach + 1e-7)
+                at, to = np.nonzero(near >= (p.threshold - 1e-9 if level == last else 1 - wide * wide / 2))
+                yield from open_(level, s[at], t[to], near[at, to])
+
+    return grid(0, np.array([0]), np.array([0]))
 
 
 def _tie(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -153,7 +198,7 @@ _LINKS = pa.schema([("row", pa.int64()), ("links", pa.int64()), ("root", pa.int6
 
 def _meet(p: NearParams):
     def tree(g: pa.Table) -> tuple[Tree, np.ndarray, np.ndarray]:
-        x = np.frombuffer(b"".join(g["unit"].to_pylist()), np.float64).reshape(g.num_rows, -1)
+        x = np.frombuffer(b"".join(g["vector"].to_pylist()), np.float64).reshape(g.num_rows, -1)
         leaders = np.frombuffer(b"".join(g["leaders"].to_pylist()), np.int64).reshape(g.num_rows, p.levels).T
         return Tree(x, leaders), g["row"].to_numpy(), g["copies"].to_numpy()
 
@@ -171,17 +216,16 @@ def _meet(p: NearParams):
             shift = 0 if a is b else n
             links = np.zeros(n if a is b else n + len(b[1]), np.int64)
             ties = [(np.empty(0, np.int64),) * 2]
-            for at, to, close in dual(a[0], b[0], p):
+            for at, to in dual(a[0], b[0], p):
                 if a is b:
-                    close &= at[:, None] != to[None, :]
-                if not close.any():
+                    at, to = at[at != to], to[at != to]
+                if not len(at):
                     continue
-                links[at] += close @ b[2][to]
+                links += np.bincount(at, b[2][to], len(links)).astype(np.int64)
                 if a is not b:
-                    np.add.at(links, to + n, close.T @ a[2][at])
-                s, t = np.nonzero(close)
-                nodes, places = np.unique(np.concatenate((at[s], to[t] + shift)), return_inverse=True)
-                label = _tie(places[:len(s)], places[len(s):], len(nodes))
+                    links += np.bincount(to + n, a[2][at], len(links)).astype(np.int64)
+                nodes, places = np.unique(np.concatenate((at, to + shift)), return_inverse=True)
+                label = _tie(places[:len(at)], places[len(at):], len(nodes))
                 ties.append((nodes, nodes[label]))
             label = _tie(*(np.concatenate(x) for x in zip(*ties)), len(links))
             rows = a[1] if a is b else np.concatenate((a[1], b[1]))
@@ -207,29 +251,29 @@ def cosine_classes(vectors: DataFrame, params: NearParams = NearParams(), key: s
 
     def read(batches):
         for batch in batches:
-            units = [unit(v) for v in batch.column(2).to_pylist()]
+            found = [scaled(v) for v in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array([None if u is None else hashlib.md5(u.tobytes()).hexdigest() for u in units], pa.string()),
-                 pa.array([None if u is None else u.tobytes() for u in units], pa.binary())], names=["row", "id", "digest", "unit"])
+                [*batch.columns[:2], pa.array([None if u is None else hashlib.md5(u.tobytes()).hexdigest() for u in found], pa.string()),
+                 pa.array([None if u is None else u.tobytes() for u in found], pa.binary())], names=["row", "id", "digest", "vector"])
 
     rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(vector).alias("v"))
-    rows = staged(rows.mapInArrow(read, f"row long, id {kind}, digest string, unit binary"), "rows", folder)
+    rows = staged(rows.mapInArrow(read, f"row long, id {kind}, digest string, vector binary"), "rows", folder)
     good = rows.filter("digest IS NOT NULL")
     classes = staged(good.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("copies"),
                                                 F.min(first_of()).alias("first")), "classes", folder)
-    reps = good.select("row", "unit").join(classes.select("row", "copies"), "row")
+    reps = good.select("row", "vector").join(classes.select("row", "copies"), "row")
 
     # Anchors: a bounded, fixed choice that only deals out rows; one at least of each length.
     n = classes.count()
-    order = F.xxhash64("unit")
-    lengths = good.groupBy(F.octet_length("unit").alias("size")).agg(F.min_by("unit", order).alias("unit"))
-    chosen = {r.unit for r in good.orderBy(order, "row").select("unit").limit(min(p.anchors, -(-n // p.cell))).collect()}
-    chosen |= {r.unit for r in lengths.collect()}
+    order = F.xxhash64("vector")
+    lengths = good.groupBy(F.octet_length("vector").alias("size")).agg(F.min_by("vector", order).alias("vector"))
+    chosen = {bytes(r.vector) for r in good.orderBy(order, "row").select("vector").limit(min(p.anchors, -(-n // p.cell))).collect()}
+    chosen |= {bytes(r.vector) for r in lengths.collect()}
     by_length: dict[int, tuple[int, np.ndarray]] = {}
     first = 0
     for size in sorted({len(u) for u in chosen}):
         same = np.frombuffer(b"".join(sorted(u for u in chosen if len(u) == size)), np.float64).reshape(-1, size // 8)
-        by_length[size] = first, same
+        by_length[size] = first, units(same)
         first += len(same)
 
     def deal(batches):
@@ -237,19 +281,19 @@ def cosine_classes(vectors: DataFrame, params: NearParams = NearParams(), key: s
             cells, gaps = [], []
             for u in batch.column(1).to_pylist():
                 start, anchors = by_length[len(u)]
-                near = anchors @ np.frombuffer(u, np.float64)
+                near = anchors @ units(np.frombuffer(u, np.float64))
                 i = int(np.argmax(near))
                 cells.append(start + i)
                 gaps.append(float(np.sqrt(max(0.0, 2 - 2 * near[i]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int64()), pa.array(gaps, pa.float64())],
-                                             names=["row", "unit", "copies", "cell", "gap"])
+                                             names=["row", "vector", "copies", "cell", "gap"])
 
-    dealt = staged(reps.select("row", "unit", "copies").mapInArrow(deal, "row long, unit binary, copies long, cell long, gap double"),
+    dealt = staged(reps.select("row", "vector", "copies").mapInArrow(deal, "row long, vector binary, copies long, cell long, gap double"),
                    "dealt", folder)
     cells = {r.cell: r for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()}
     pieces = {c: -(-r.n // p.cell) for c, r in cells.items()}
     partners: dict[int, list[tuple[int, int]]] = {}
-    reach = np.sqrt(2 - 2 * p.threshold)
+    reach = p.reach
     for start, anchors in by_length.values():
         gap = np.sqrt(np.maximum(0, 2 - 2 * anchors @ anchors.T))
         for i in range(len(anchors)):
@@ -261,14 +305,14 @@ def cosine_classes(vectors: DataFrame, params: NearParams = NearParams(), key: s
 
     def grow(groups):
         for g in groups:
-            x = np.frombuffer(b"".join(g["unit"].to_pylist()), np.float64).reshape(g.num_rows, -1)
-            leaders = np.ascontiguousarray(nets(x, p).T)
+            x = np.frombuffer(b"".join(g["vector"].to_pylist()), np.float64).reshape(g.num_rows, -1)
+            leaders = np.ascontiguousarray(nets(units(x), p).T)
             yield pa.RecordBatch.from_arrays(
-                [*(g[c].combine_chunks() for c in ("row", "unit", "copies", "cell", "piece")), pa.array(range(g.num_rows), pa.int64()),
-                 pa.array([r.tobytes() for r in leaders], pa.binary())], names=["row", "unit", "copies", "cell", "piece", "nth", "leaders"])
+                [*(g[c].combine_chunks() for c in ("row", "vector", "copies", "cell", "piece")), pa.array(range(g.num_rows), pa.int64()),
+                 pa.array([r.tobytes() for r in leaders], pa.binary())], names=["row", "vector", "copies", "cell", "piece", "nth", "leaders"])
 
-    trees = staged(map_groups(dealt.select("row", "unit", "copies", "cell", "piece"), "piece", grow,
-                              "row long, unit binary, copies long, cell long, piece string, nth long, leaders binary", ("row",)),
+    trees = staged(map_groups(dealt.select("row", "vector", "copies", "cell", "piece"), "piece", grow,
+                              "row long, vector binary, copies long, cell long, piece string, nth long, leaders binary", ("row",)),
                    "trees", folder)
     shared = vectors.sparkSession.sparkContext.broadcast(partners)
 
@@ -287,10 +331,10 @@ def cosine_classes(vectors: DataFrame, params: NearParams = NearParams(), key: s
                 some = slice(lo, lo + 20_000)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pairs[some]), pa.array(sides[some], pa.int32()),
-                     *(batch[c].take(pa.array(at[some], pa.int64())) for c in ("row", "unit", "copies", "nth", "leaders"))],
-                    names=["pair", "side", "row", "unit", "copies", "nth", "leaders"])
+                     *(batch[c].take(pa.array(at[some], pa.int64())) for c in ("row", "vector", "copies", "nth", "leaders"))],
+                    names=["pair", "side", "row", "vector", "copies", "nth", "leaders"])
 
-    met = trees.mapInArrow(visit, "pair string, side int, row long, unit binary, copies long, nth long, leaders binary")
+    met = trees.mapInArrow(visit, "pair string, side int, row long, vector binary, copies long, nth long, leaders binary")
     links = staged(map_groups(met, "pair", _meet(p), "row long, links long, root long"), "links", folder)
     found = link_report(good, classes, links, folder).select("id", "n_links", "class_id")
     alone = rows.filter("digest IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_id"))
