@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaero.llm import bpe, decontaminate, jaccard, langid, neardup, packing, secrets
+from quaero.llm import bpe, decontaminate, jaccard, langid, neardup, packing, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_warc(spark, sf_dir):
+    found = warc.page_records(table(spark, sf_dir, "pages"))
+    return found.withColumnRenamed("key", "page_id")
+
+
 def op6_decontamination(spark, sf_dir):
     found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "distance",
@@ -55,9 +60,27 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_jaccard_join": op2_jaccard_join,
     "op4_secret_scan": op4_secret_scan,
+    "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op8_embedding_near_dup": op8_embedding_near_dup,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+
+ORACLES = {
+    "op5_warc": """
+with p as (
+    select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
+w as (select *, min(page_id) over (partition by h) as best from p),
+t as (
+    select *, page_id is not distinct from best as is_first,
+        array_to_string(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(h, i * 5 + 1, 5))::integer >> s) & 31) + 1, 1)), 'string_agg', '')), '') as digest
+    from w)
+select page_id, octet_length(encode(body))::bigint as payload_bytes, digest as payload_digest,
+    case when is_first then 'response' else 'revisit' end as record_type,
+    case when not is_first then best end as refers_to,
+    case when is_first then true end as intact
+from t""",
+}
