@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaero.llm import bpe, decontaminate, jaccard, langid, neardup, packing, secrets, warc
+from quaero.llm import bpe, decontaminate, jaccard, langid, neardup, packing, quality, secrets, warc
+from quaero.sources.workdir import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,14 @@ def op2_jaccard_join(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "kept")
 
 
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", dealt("doc_id", 3, 1))
+    stats = staged(quality.with_statistics(docs, ["doc_id", "held_out"]), "statistics")
+    model = quality.fit(stats.filter("NOT held_out"), table(spark, sf_dir, "labels"))
+    scored = stats.select("doc_id", "held_out", quality.compiled(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_secret_scan(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -59,6 +68,7 @@ def op10_packing(spark, sf_dir):
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_quality": op3_quality,
     "op4_secret_scan": op4_secret_scan,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
