@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaero.llm import bpe, decontaminate, jaccard, langid, neardup, packing, quality, secrets, warc
+from quaero.llm import bpe, decontaminate, hmm, jaccard, langid, neardup, packing, quality, secrets, warc
 from quaero.sources.workdir import staged
 
 
@@ -51,6 +51,13 @@ def op6_decontamination(spark, sf_dir):
                         F.col("start").alias("plain_start"), F.col("end").alias("plain_end"))
 
 
+def op7_hidden_markov_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("train", ~dealt("doc_id", 7, 2))
+    scored = hmm.score_texts(docs, "train")
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op8_embedding_near_dup(spark, sf_dir):
     found = neardup.cosine_classes(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("class_id").alias("component_id"),
@@ -72,6 +79,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
+    "op7_hidden_markov_lm": op7_hidden_markov_lm,
     "op8_embedding_near_dup": op8_embedding_near_dup,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
