@@ -10,60 +10,51 @@ its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import base64
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from quaero.llm.bpe import CountParams, segments
 from quaero.sources.workdir import run_dir, staged
 
 
 @dataclass(frozen=True)
 class PackParams:
-    tokens: CountParams = CountParams(batch_chars=1 << 19)
+    vocabulary: str = ""     # path of the tokenizer's file; the public one if empty
+    ranks: str = ""          # path of the same vocabulary as ranks; the public one if empty
+    pattern: str = public_tokenizers.PATTERN
     window: int = 2048
     end_id: int = 1          # follows each document
 
 
 class Encoder:
-    """Ids of whole texts; pre-tokens that were met before are not encoded again."""
-
-    def __init__(self, params: PackParams):
-        self.p = params.tokens
-        self.library = Tokenizer.from_file(self.p.path)
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.split = regex.compile(self.p.pattern).findall
-        self.seen: dict[str, bytes] = {}
-
-    def _encode(self, piece: str) -> bytes:
-        words = self.split(piece)
-        new = set(words).difference(self.seen)
-        if new:
-            if len(self.seen) + len(new) > self.p.cache:
-                self.seen = {}
-                new = set(words)
-            new = list(new)
-            for word, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                self.seen[word] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.seen.__getitem__, words))
+    """Ids of whole texts as the library of the vocabulary's file gives them.
+
+    The same vocabulary as ranks gives the same ids several times faster; texts that its matcher
+    gives up on, with endless white space, go to the library itself.
+    """
+
+    def __init__(self, p: PackParams):
+        self.library = Tokenizer.from_file(p.vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        with open(p.ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=p.pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str | None) -> bytes:
-        """The ids of the text, four bytes each."""
-        parts = self.special.split(text or "") if self.special else [text or ""]
-        out = []
-        for i, part in enumerate(parts):
-            if i % 2:
-                out.append(np.array([self.library.token_to_id(part)], "<u4").tobytes())
-            else:
-                out.extend(self._encode(s) for s in segments(part, self.p.batch_chars))
-        return b"".join(out)
+        """Four little-endian bytes for each id."""
+        try:
+            found = self.fast.encode_to_numpy(text or "", allowed_special="all")
+        except ValueError:
+            found = self.library.encode(text, add_special_tokens=False).ids
+        return np.asarray(found, "<u4").tobytes()
 
 
 def fullest(counts: dict[int, int], window: int) -> dict[int, int]:
