@@ -36,10 +36,21 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def pieces(text: str, overlap: int) -> Iterator[str]:
-    """The text in pieces of bounded length; each repeats the last ``overlap`` characters before it."""
-    for at in range(0, max(len(text), 1), PIECE):
-        yield text[max(0, at - overlap):at + PIECE]
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces of bounded length."""
+    for at in range(0, len(text), PIECE):
+        yield text[at:at + PIECE]
+
+
+def word_pieces(text: str) -> Iterator[str]:
+    """The text in pieces that are cut at white space, so that every word lies in one."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
 
 
 def words_only(text: str) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from quaero.llm import codes
-from quaero.llm.joins import components, join_counted, map_groups
+from quaero.llm.joins import components, first_of, join_counted, link_report, map_groups
 from quaero.sources.workdir import run_dir, staged
 
 _TWO64 = float(2**64)
@@ -51,13 +51,8 @@ class JaccardParams:
 def _word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word between white space, in order."""
     found = [np.empty(0, np.uint64)]
-    at = 0
-    while at < len(text):
-        end = at + codes.PIECE
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        c = codes.points(text[at:end].lower())
-        at = end
+    for part in codes.word_pieces(text):
+        c = codes.points(part.lower())
         space = codes.kinds()[1][c]
         turns = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
         lengths = turns[1::2] - turns[::2]
@@ -291,9 +286,8 @@ def jaccard_classes(docs: DataFrame, params: JaccardParams = JaccardParams(), ke
     p = params
     folder = run_dir(docs.sparkSession, "jaccard")
     rows = staged(_signatures(docs, p, key, text), "rows", folder)
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     classes = staged(rows.filter("size > 0").groupBy("digest").agg(
-        F.min("row").alias("row"), F.count("*").alias("copies"), F.min(order).alias("first")), "classes", folder)
+        F.min("row").alias("row"), F.count("*").alias("copies"), F.min(first_of()).alias("first")), "classes", folder)
     reps = staged(rows.drop("id", "digest").join(classes.select("row", "copies"), "row"), "reps", folder)
 
     groups = components(_candidates(reps, p, folder), "node", "root", folder, "groups")
@@ -314,16 +308,21 @@ def jaccard_classes(docs: DataFrame, params: JaccardParams = JaccardParams(), ke
     sets = members.mapInArrow(tokens, "row long, root long, blocks long, copies long, tokens binary")
     pairs = _blocked(sets, "root", "row", "blocks").select("pair", "row", "copies", "side", "tokens")
     links = staged(map_groups(pairs, "pair", _verify(p), "row long, links long, root long"), "links", folder)
-    roots = components(links, "row", "root", folder, "linked").withColumnRenamed("node", "row")
-
-    counted = classes.join(links.groupBy("row").agg(F.sum("links").alias("links")), "row", "left").join(roots, "row", "left")
-    counted = staged(counted.select("digest", "copies", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                                    F.coalesce("root", "row").alias("root")), "counted", folder)
-    firsts = staged(counted.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n")), "firsts", folder)
-    named = staged(join_counted(counted.drop("first"), firsts, "root", "n").select("digest", "copies", "n_links", "best"),
-                   "named", folder)
-    linked = join_counted(rows.filter("size > 0").select("row", "id", "digest"), named, "digest", "copies").select(
-        "id", "digest", "n_links", F.col("best.id").alias("class_id"), (F.col("row") == F.col("best.row")).alias("kept"))
+    linked = link_report(rows.filter("size > 0"), classes, links, folder).withColumnRenamed("first", "kept")
     empty = rows.filter("size = 0").select("id", "digest", F.lit(0).cast(LongType()).alias("n_links"),
                                            F.col("id").alias("class_id"), F.lit(True).alias("kept"))
     return linked.unionByName(empty)
+
+
+def drop_near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams(), key: str = "doc_id",
+                         text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that `jaccard_classes` keeps: one of each class."""
+    found = jaccard_classes(docs, params, key, text).groupBy("id", "digest").agg(
+        F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("kept"))
+    found = staged(found.filter("kept > 0"), "kept", run_dir(docs.sparkSession, "jaccard"))
+    found = found.select(F.col("id").alias("_quaero_id"), F.col("digest").alias("_quaero_digest"), "rows", "kept")
+    same = F.col(key).eqNullSafe(F.col("_quaero_id")) & F.md5(F.col(text)).eqNullSafe(F.col("_quaero_digest"))
+    whole = docs.join(found.filter("rows = kept").select("_quaero_id", "_quaero_digest"), same, "left_semi")
+    # Rows that repeat with id and text are copies: one stays.
+    again = docs.join(found.filter("rows > kept").select("_quaero_id", "_quaero_digest"), same, "left_semi")
+    return whole.unionByName(again.dropDuplicates([key, text]))

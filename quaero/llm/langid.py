@@ -20,7 +20,7 @@ class LangParams:
     clusters: int = 4         # centroids per language
     sample: int = 600         # labelled rows per language that the centroids are fitted on, about
     rounds: int = 10
-    share: float = 0.5        # of the smallest cosine seen in training that a text must reach
+    share: float = 0.35       # of the smallest cosine seen in training that a text must reach
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class LangModel:
 def gram_counts(text: str | None, bins: int) -> np.ndarray:
     """Counts of the hashed n-grams of one to three letters of the whole text."""
     out = np.zeros(bins, np.int64)
-    for part in codes.pieces(text or "", 0):
+    for part in codes.pieces(text or ""):
         a = codes.words_only(part).astype(np.uint64)
         if not len(a):
             continue
@@ -157,7 +157,8 @@ def predict(docs: DataFrame, model: LangModel, keep: list[str], text: str = "tex
     A null text or one without letters is ``und`` with score 0 and is rejected.  Otherwise the
     nearest centroid names the language, ties going to the first by name; ``score`` is the cosine,
     not below 0.  Columns of ``keep`` with the names of results give way to these.  ``rejected`` marks texts farther from every centroid than any text of like
-    length was in training: the cosine is under ``share`` of the smallest one seen.
+    length was in training: the cosine is under ``share`` of the smallest one seen.  Texts shorter
+    than all in training are not rejected, as nothing tells how far those may be.
     """
     p, bins = model.params, model.params.bins
     keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
@@ -167,7 +168,7 @@ def predict(docs: DataFrame, model: LangModel, keep: list[str], text: str = "tex
         langs, centroids, idf, bars = shared.value
         for batch in batches:
             out = []
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at).to_pylist()
             for start in range(0, len(texts), 64):
                 counts = np.array([gram_counts(t, bins) for t in texts[start:start + 64]])
                 near = vector(counts, idf).astype(np.float32) @ centroids
@@ -180,9 +181,10 @@ def predict(docs: DataFrame, model: LangModel, keep: list[str], text: str = "tex
                     out.append((langs[i], score, bool(score < p.share * (1 - bars[langs[i]][int(np.log2(n))]))))
             cols = list(zip(*out)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())],
+                [*batch.columns[:len(keep)], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())],
                 names=[*keep, "lang_pred", "score", "rejected"])
 
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    at = keep.index(text) if text in keep else len(keep)
+    rows = docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")]))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return rows.mapInArrow(label, f"{kept}, lang_pred string, score double, rejected boolean")

@@ -67,7 +67,7 @@ def statistics(text: str | None) -> list[float]:
     text = text or ""
     counts = np.zeros(11, np.int64)
     lengths, capital, marked = [np.zeros(0, np.int64)], 0, 0
-    for part in codes.pieces(text, 0):
+    for part in codes.word_pieces(text):
         kind = _classes()[codes.points(part)]
         counts += np.bincount(kind, minlength=11)
         blank = (kind == 3) | (kind == 4)
