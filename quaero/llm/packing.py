@@ -182,6 +182,7 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*shown, "sequence_id", "offset"])
 
     shown = [n for n in names if n not in ("part", "rank")]
-    ranked = pieces.join(by_part.select("part", "length", "before"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    places = by_part.select("part", "length", "before").hint("merge")  # grows with the partitions: never broadcast
+    ranked = pieces.join(places, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     out = ", ".join(f"{n} {ranked.schema[n].dataType.simpleString()}" for n in shown)
     return ranked.select(*shown, "rank").mapInArrow(place, f"{out}, sequence_id long, offset long")
