@@ -86,6 +86,26 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_jaccard_join": r"""
+with recursive
+w as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') as w from documents),
+g as (
+    select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [w]
+        else list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) end) as gram
+    from w),
+n as (select doc_id, count(*) as n from g group by all),
+both_ as (
+    select a.doc_id as a, b.doc_id as b, count(*) as shared
+    from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id group by all),
+links as (
+    select a, b from both_ join n x on x.doc_id = a join n y on y.doc_id = b
+    where shared / (x.n + y.n - shared)::double >= 0.8),
+reach as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
+root as (select a, min(b) as low from reach group by all)
+select doc_id, least(doc_id, coalesce(low, doc_id)) as class_id,
+    (select count(*) from links where links.a = doc_id)::bigint as n_links,
+    doc_id <= coalesce(low, doc_id) as kept
+from documents left join root on a = doc_id""",
     "op5_warc": """
 with p as (
     select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
@@ -101,4 +121,18 @@ select page_id, octet_length(encode(body))::bigint as payload_bytes, digest as p
     case when not is_first then best end as refers_to,
     case when is_first then true end as intact
 from t""",
+    "op8_embedding_near_dup": """
+with recursive
+v as (
+    select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+    where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(embedding) > 0),
+u as (select vec_id, e, sqrt(list_dot_product(e, e)) as size from v),
+links as (
+    select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where a.size > 0 and b.size > 0 and list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+reach as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
+root as (select a, min(b) as low from reach group by all)
+select vec_id, (select count(*) from links where links.a = vec_id)::bigint as n_links,
+    least(vec_id, coalesce(low, vec_id)) as component_id, vec_id <= coalesce(low, vec_id) as kept
+from embeddings left join root on a = vec_id""",
 }
