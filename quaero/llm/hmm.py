@@ -35,7 +35,7 @@ class HmmParams:
     start_texts: int = 300     # texts that the first guess of the states comes from, about
     start_tokens: int = 4096   # longer texts give no first guess
     start_rounds: int = 12
-    prior: float = 100.0       # tokens' worth of the plain word frequencies in each state
+    prior: float = 3000.0      # tokens' worth of the plain word frequencies in each state
     segment: int = 2048        # tokens that training looks at as one sequence
     chunk: int = 400_000       # tokens that are worked on at once
     seed: int = 11
