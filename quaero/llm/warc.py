@@ -241,7 +241,8 @@ def read_archives(files: DataFrame, params: WarcParams = WarcParams(), column: s
 
     schema = ("file string, record_id string, type string, url string, key string, refers_to string, chunk_no long, chunk binary, "
               "bytes_so_far long, digest_so_far string, last boolean, payload_bytes long, payload_digest string, intact boolean")
-    return files.select(column).repartition(F.col(column)).mapInArrow(read, schema)
+    names = files.select(column)
+    return names.repartition(max(1, names.count()), column).mapInArrow(read, schema)  # about a task per archive
 
 
 def page_records(pages: DataFrame, params: WarcParams = WarcParams(), key: str = "page_id", payload: str = "html") -> DataFrame:
