@@ -37,7 +37,7 @@ class HmmParams:
     start_rounds: int = 12
     prior: float = 3000.0      # tokens' worth of the plain word frequencies in each state
     segment: int = 2048        # tokens that training looks at as one sequence
-    chunk: int = 400_000       # tokens that are worked on at once
+    chunk: int = 200_000       # tokens that are worked on at once
     seed: int = 11
 
 
@@ -174,7 +174,7 @@ def count_words(docs: DataFrame, p: HmmParams, text: str) -> DataFrame:
             for t in batch.column(0).to_pylist():
                 seen.update(words(t))
             seen[END] += batch.num_rows
-            if len(seen) > 500_000:
+            if len(seen) > 250_000:
                 yield partial(seen)
                 seen = Counter()
         yield partial(seen)
