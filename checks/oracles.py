@@ -56,12 +56,12 @@ def content_hash(*cols):
 
 ARTICLES = rf"""articles AS (
   SELECT url, {visible(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1)")} AS title,
-         nullif(regexp_extract({no_noise('html')}, '(?is)<article\b[^>]*>(.*)</article>', 1), '')
+         nullif(regexp_extract({no_noise('html')}, '(?is)<article\b[^>]*>(.*?)</article>', 1), '')
            AS body
   FROM pages)"""
 
 HREFS = rf"""hrefs AS (
-  SELECT page_url, origin, unnest(regexp_extract_all(h, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1)) AS href
+  SELECT page_url, origin, replace(unnest(regexp_extract_all(h, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1)), '&amp;', '&') AS href
   FROM (SELECT url AS page_url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin,
                {no_noise('html')} AS h FROM pages)),
 links AS (
@@ -725,4 +725,35 @@ SELECT id, url, content, {content_hash('url', 'content')} AS content_hash FROM c
   {content_hash("''", 'text')} AS content_hash FROM (SELECT DISTINCT text FROM documents)""",
     "answer_stream": f"""WITH RECURSIVE {USER_TURNS}, {answered('asked', keyword_search)}
 SELECT query_id, text AS question, route, answer FROM final""",
+    "frontier_union": f"WITH {HREFS} SELECT DISTINCT url FROM links",
+    "link_forms": f"WITH {HREFS} SELECT DISTINCT url FROM links",
+    "two_articles": f"""WITH {ARTICLES}
+SELECT url, {visible('body')} AS text, {visible('body')} AS by_rule FROM articles""",
+    "rejected_pages": "SELECT url FROM pages WHERE page_id % 5 = 0",
+    "page_texts": f"""WITH RECURSIVE {DOCUMENT_CHUNKS}
+SELECT doc_id, chunk_no, length(text)::bigint AS page_chars, contains(text, content) AS held
+FROM chunks JOIN documents USING (doc_id)""",
+    "cjk_tokens": r"""SELECT doc_id, (len(regexp_extract_all(t, '[漢字あカン]'))
+  + len(regexp_extract_all(regexp_replace(t, '[漢字あカン]', ' ', 'g'), '[\p{L}\p{N}]+')))::bigint AS n_tokens
+FROM (SELECT doc_id, translate(text, 'aeiou', '漢字あカン') AS t FROM documents)""",
+    "id_conflicts": """SELECT doc_id % 97 AS id, count(*) AS rows, count(DISTINCT text) AS contents
+FROM documents GROUP BY 1 HAVING count(*) > 1""",
+    "csv_reordered": "SELECT 'u' || item_id AS url, 'p' AS page_contents, text AS content FROM benchmark",
+    "csv_rejected": r"""SELECT CASE WHEN item_id % 3 = 0 THEN 'rejected' ELSE 'read' END AS kind,
+  CASE WHEN item_id % 3 = 0 THEN ',"' || t || '"' ELSE t END AS content
+FROM (SELECT item_id, regexp_replace(text, '[\s"]+', ' ', 'g') AS t FROM benchmark)""",
+    "corpus_dead_letters": f"""WITH RECURSIVE {page_corpus(False, "SELECT text AS content FROM benchmark WHERE false")},
+sized AS (SELECT url, chunk_no, length(content)::bigint AS n FROM corpus)
+SELECT url, chunk_no, CASE WHEN n % 3 = 0 THEN n ELSE n + 3 END AS chars, NULL::varchar AS error FROM sized
+UNION ALL SELECT url, chunk_no, n, 'ValueError: refused' FROM sized WHERE n % 3 = 0""",
+    "index_dead_letters": """SELECT doc_id AS id, doc_id % 7 <> 0 AS has_vector,
+  CASE WHEN doc_id % 7 = 0 THEN 'ValueError: refused' END AS error FROM documents""",
+    "sync_then_stream": f"""SELECT {key('text')} AS id, '' AS url, text AS content,
+  {content_hash("''", 'text')} AS content_hash FROM (SELECT DISTINCT text FROM documents)""",
 }
+
+ORACLES["evaluation_sink"] = f"""WITH leaks AS ({ORACLES['answer_leakage']}), {EVAL_PAIRS},
+rows AS (SELECT request_id, expected_response, request AS answer, request AS context FROM pairs)
+SELECT 'run' AS run_id, request_id, correctness, context_sufficiency, groundedness, overall,
+  leaks.id AS leaked_from, containment
+FROM ({verdicts('rows', 0.1, 0.25, 0.5)}) LEFT JOIN leaks USING (request_id)"""

@@ -16,9 +16,11 @@ from quaero.operators import links as L
 from quaero.operators import questions as Q
 from quaero.operators import report as R
 from quaero.operators import vector as V
-from quaero.operators.extract import PLAIN_RULES, Rule, extract_articles, extract_plain_articles
+from quaero.operators.extract import (
+    PLAIN_RULES, Rule, extract_articles, extract_plain_articles, split_rejected,
+)
 from quaero.operators.generate import best_sentences
-from quaero.operators.merge import merge_dedup, number_places
+from quaero.operators.merge import merge_dedup
 from quaero.operators.models import apply_model
 from quaero.operators.prompt import assemble_context, attach_context, with_prompt
 from quaero.operators.rerank import question_profiles, rerank
@@ -26,12 +28,12 @@ from quaero.params import Params
 from quaero.plans import answer as A
 from quaero.plans import evaluate as EV
 from quaero.plans import index as IX
-from quaero.plans.corpus import build_corpus
+from quaero.plans.corpus import build_corpus, corpus_parts
 from quaero.plans.frontier import url_frontier
 from quaero.plans.retrieve import payload, retrieve
 from quaero.sources.tables import (
     append_log, overwrite_table, read_custom_passages, read_eval_set, read_table, recreate_table,
-    snapshot_table, spread, unescape_newlines, use_namespace,
+    rejected_rows, snapshot_table, spread, unescape_newlines, use_namespace,
 )
 from quaero.sources.workdir import run_dir, staged
 from quaero.streaming.answers import answer_stream, read_answers
@@ -41,7 +43,7 @@ from quaero.streaming.sync import sync_stream
 PAGE_PARAMS = Params(heading_tag="p")
 VECTOR_THRESHOLD = 0.62
 HYBRID_THRESHOLD = 0.7
-LSH_BANDS, LSH_BITS, DIM = 16, 8, 64
+DIM = 64
 # The texts are random syllables, so the built-in judges need low bars to tell rungs apart.
 LADDER_PARAMS = Params(correct_f1=0.1, sufficient_recall=0.25, grounded_share=0.5)
 CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
@@ -214,9 +216,14 @@ def eval_csv(spark, sf):
     return read_eval_set(spark, path).withColumn("request", unescape_newlines("request"))
 
 
+_DATABASES: list[str] = []
+
+
 def stage_tables(spark, sf):
     """Namespace, recreate, snapshot and overwrite, as the stages of an ingestion use them."""
     before = spark.catalog.currentDatabase()
+    while _DATABASES:  # what the run before left, as its result was still to be read
+        spark.sql(f"DROP DATABASE IF EXISTS `{_DATABASES.pop()}` CASCADE")
     place = run_dir(spark, "warehouse")
     name = place.rsplit("/", 1)[1].replace("-", "_")
     use_namespace(spark, name, location=place)
@@ -232,6 +239,7 @@ def stage_tables(spark, sf):
         return counted[0].unionByName(counted[1])
     finally:
         spark.catalog.setCurrentDatabase(before)
+        _DATABASES.append(name)
 
 
 def row_keys(spark, sf):
@@ -251,6 +259,119 @@ def stage_report(spark, sf):
     })
 
 
+def frontier_union(spark, sf):
+    """The links of two halves of the pages as one frontier."""
+    pages = _pages(spark, sf)
+    return L.union_frontiers(L.distinct_links(pages.where("page_id % 2 = 0")),
+                             L.distinct_links(pages.where("page_id % 2 <> 0")))
+
+
+def link_forms(spark, sf):
+    """The pages' links in single and in no quotes, next to attributes that are no target."""
+    html = F.regexp_replace("html", "<a ", "<a data-href=\"/decoy\" title='href' ")
+    other = F.when(F.col("page_id") % 3 == 1, F.regexp_replace(html, r' href="([^"\'\s>]*)"', " HREF = '$1'")).when(
+        F.col("page_id") % 3 == 2, F.regexp_replace(html, r' href="([^"\'\s>]+)"', " href=$1")).otherwise(html)
+    return L.distinct_links(_pages(spark, sf).withColumn("html", other))
+
+
+def two_articles(spark, sf):
+    """Pages with a second article after the first: both ways to extract take the first one."""
+    more = F.replace("html", F.lit("</article>"), F.lit("</article><nav>menu</nav><article><p>other</p></article>"))
+    pages = _pages(spark, sf).withColumn("html", more)
+    rules = extract_articles(pages, PLAIN_RULES).select("url", F.col("text").alias("by_rule"))
+    return extract_plain_articles(pages).join(rules, "url").select(
+        "url", H.visible_text(F.col("text")).alias("text"), H.visible_text(F.col("by_rule")).alias("by_rule"))
+
+
+def rejected_pages(spark, sf):
+    """Every fifth page without its article."""
+    bare = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("html", "(?s)<article.*</article>", "")).otherwise(F.col("html"))
+    _, rejected = split_rejected(extract_articles(_pages(spark, sf).withColumn("html", bare), PLAIN_RULES))
+    return rejected
+
+
+def page_texts(spark, sf):
+    """Chunks with the text of the whole page, brought to them by URL."""
+    url = F.concat_ws("/", "source", "doc_id")
+    chunks = _document_chunks(spark, sf).select("doc_id", "chunk_no", url.alias("url"), "content")
+    texts = _documents(spark, sf).select(url.alias("url"), F.col("text").alias("page_contents"))
+    joined = E.attach_page_text(chunks, texts)
+    return joined.select("doc_id", "chunk_no", F.length("page_contents").cast("bigint").alias("page_chars"),
+                         F.contains("page_contents", "content").alias("held"))
+
+
+def cjk_tokens(spark, sf):
+    """Texts whose vowels are written as Han, Hiragana and Katakana letters."""
+    docs = _documents(spark, sf)
+    return docs.select("doc_id", token_count(F.translate("text", "aeiou", "漢字あカン")).cast("bigint").alias("n_tokens"))
+
+
+def id_conflicts(spark, sf):
+    """Ids by a rule that gives some documents the same one."""
+    docs = _documents(spark, sf).select((F.col("doc_id") % 97).alias("id"), F.col("text").alias("content"))
+    return IX.id_conflicts(docs)
+
+
+def csv_reordered(spark, sf):
+    """A file whose columns stand in another order, with one more than is read."""
+    path = run_dir(spark, "csv")
+    read_table(spark, sf, "benchmark").select(
+        F.col("text").alias("content"), F.col("item_id").alias("note"), F.lit("p").alias("page_contents"),
+        F.concat(F.lit("u"), F.col("item_id")).alias("url")).write.options(**CSV).csv(path)
+    return read_custom_passages(spark, path, multiline=True)
+
+
+def csv_rejected(spark, sf):
+    """Items of which every third has a field too few in the file: what was read, what was not."""
+    path = run_dir(spark, "csv")
+    line = F.concat(F.when(F.col("item_id") % 3 == 0, ",").otherwise(",,"), F.lit('"'),
+                    F.regexp_replace("text", r'[\s"]+', " "), F.lit('"'))
+    read_table(spark, sf, "benchmark").select(line.alias("url,page_contents,content")).write.option(
+        "header", True).option("sep", "\x01").option("quote", "\x00").option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_custom_passages(spark, path).select(F.lit("read").alias("kind"), "content").unionByName(
+        rejected_rows(spark, path).select(F.lit("rejected").alias("kind"), F.col("record").alias("content")))
+
+
+def _picky(reads, column, fails, value):
+    """A model that refuses some rows; batches with one of these fail as a whole."""
+    def model():
+        def call(batch):
+            if fails(batch).any():
+                raise ValueError("refused")
+            return batch[[reads]].rename(columns={reads: column}).assign(**{column: [value] * len(batch)})
+        return call
+
+    return model
+
+
+def corpus_dead_letters(spark, sf):
+    """Chunks whose context model fails: they stay passages and are reported."""
+    model = _picky("content", "context", lambda b: b["content"].str.len() % 3 == 0, "c")
+    parts = corpus_parts(_pages(spark, sf), None, PAGE_PARAMS, model=model)
+    passages = parts.passages.select("url", "chunk_no", F.length("content").cast("bigint").alias("chars"), F.lit(None).cast("string").alias("error"))
+    failed = parts.failed.select("url", "chunk_no", F.length("content").cast("bigint").alias("chars"), "error")
+    return passages.unionByName(failed)
+
+
+def index_dead_letters(spark, sf):
+    """Rows whose embedder fails: they stay in the index without a vector and are reported."""
+    model = _picky("content", "embedding", lambda b: b["id"] % 7 == 0, [1.0, 0.0])
+    index = IX.build_index(_passages(spark, sf), embedder=model)
+    return index.rows.select("id", F.col("embedding").isNotNull().alias("has_vector")).join(index.failed, "id", "left")
+
+
+def sync_then_stream(spark, sf):
+    """A batch load of half of the documents, then a stream of all: no row is lost."""
+    path = run_dir(spark, "streamed")
+    passage = (row_key("text").alias("id"), F.lit("").alias("url"), F.col("text").alias("content"))
+    IX.sync_index(_documents(spark, sf).where("doc_id % 2 = 0").select(*passage).distinct(), f"{path}/index")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    arriving = arriving.where("doc_id % 2 <> 0").select(*passage)
+    sync_stream(arriving, f"{path}/index", f"{path}/checkpoint").awaitTermination()
+    return IX.current_rows(spark, f"{path}/index", columns=("id", "url", "content", "content_hash"))
+
+
 # --- search
 
 def hash_embed(spark, sf):
@@ -285,8 +406,10 @@ def vector_topk_block(spark, sf):
 
 
 def vector_lsh(spark, sf):
-    return V.vector_lsh_topk(*_vectors(spark, sf), Params.k, DIM, LSH_BANDS, LSH_BITS,
-                             Params(cell_rows=500, cell_queries=500))
+    """Approximate search through `retrieve`, as the plans use it."""
+    rows, searches = _vectors(spark, sf)
+    return retrieve(searches, IX.Index(rows, None), Params.k, mode="ann",
+                    params=Params(cell_rows=500, cell_queries=500))
 
 
 def keyword_topk(spark, sf):
@@ -438,6 +561,15 @@ def answer_leakage(spark, sf):
     return EV.leakage(eval_set(spark, sf), _passages(spark, sf))
 
 
+def evaluation_sink(spark, sf):
+    """Verdicts on answers that repeat the request, with leakage next to them, written and read."""
+    pairs = eval_set(spark, sf)
+    answers = EV.as_questions(pairs).select("query_id", F.col("question").alias("context"), F.col("question").alias("answer"))
+    results = EV.with_leakage(EV.evaluate(pairs, answers, LADDER_PARAMS), EV.leakage(pairs, _passages(spark, sf)))
+    saved = EV.save_results(results, run_dir(spark, "results"), "run")
+    return saved.select("run_id", "request_id", "correctness", "context_sufficiency", "groundedness", "overall", "leaked_from", "containment")
+
+
 # --- index upkeep
 
 def _clean_passages(spark, sf):
@@ -546,4 +678,17 @@ QUERIES = {
     "index_sync_report": index_sync_report,
     "index_sync_stream": index_sync_stream,
     "answer_stream": answer_stream_query,
+    "frontier_union": frontier_union,
+    "link_forms": link_forms,
+    "two_articles": two_articles,
+    "rejected_pages": rejected_pages,
+    "page_texts": page_texts,
+    "cjk_tokens": cjk_tokens,
+    "id_conflicts": id_conflicts,
+    "csv_reordered": csv_reordered,
+    "csv_rejected": csv_rejected,
+    "corpus_dead_letters": corpus_dead_letters,
+    "index_dead_letters": index_dead_letters,
+    "sync_then_stream": sync_then_stream,
+    "evaluation_sink": evaluation_sink,
 }

@@ -37,7 +37,7 @@ def tokens(col: Column | str) -> Column:
 
 
 def token_count(col: Column | str) -> Column:
-    return F.size(tokens(col))
+    return F.regexp_count(column(col), F.lit(TOKEN_RE))
 
 
 def terms(col: Column | str) -> Column:

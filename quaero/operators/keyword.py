@@ -108,7 +108,7 @@ def hybrid_topk(index: DataFrame, queries: DataFrame, stats: CorpusStats, k: int
     """Vector and keyword search in one ranking.
 
     ``linear`` blends both scores of every index row and is graded in [0, 1], so that a
-    threshold means something; ``rrf`` only looks at the ranks of the two top-k lists.
+    threshold means something; rows and queries without a vector count by their words.  ``rrf`` only looks at the ranks of the two top-k lists.
     """
     if fusion == "rrf":
         if threshold is not None:
@@ -120,10 +120,10 @@ def hybrid_topk(index: DataFrame, queries: DataFrame, stats: CorpusStats, k: int
         raise ValueError(f"unknown fusion {fusion!r}")
     lexical = weighted_queries(queries, stats, text)
     kernel = TermKernel(stats.avg_len, params.bm25_k1, params.bm25_b)
-    rows = matching(index, where).where(F.size("embedding") > 0)
+    rows = matching(index, where)
     best = topk_join(rows, lexical, kernel, 1, params).select("query_id", F.col("score").alias("best"))
     blended = (
-        queries.where(F.size("embedding") > 0).select("query_id", "embedding")
+        queries.select("query_id", "embedding")
         .join(lexical, "query_id", "left").join(best, "query_id", "left")
         .select("query_id", "embedding",
                 F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),

@@ -6,9 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from quaero.sources.workdir import staged
+
 # Called once per partition; returns a function from a batch to the batch's output columns,
 # in the same row order.
 ModelFactory = Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
@@ -18,15 +20,15 @@ def apply_model(df: DataFrame, model: ModelFactory, output: str, attempts: int =
                 pause: float = 0.0) -> DataFrame:
     """Add the model's output columns and ``error``.
 
-    If a batch fails, its rows are tried one by one, each up to ``attempts`` times with
-    ``pause`` seconds in between (S12).  A row that still fails keeps its input, has NULL
-    outputs and the message in ``error``; the job goes on.
+    If a batch fails, it is halved until the rows at fault are alone; each of these is tried up
+    to ``attempts`` times with ``pause`` seconds in between (S12).  A row that still fails keeps
+    its input, has NULL outputs and the message in ``error``; the job goes on.  A model with an
+    attribute ``reads`` is sent these columns only; all others stay in the JVM.
     """
     added = T.StructType.fromDDL(output)
     names = added.names
     base = [c for c in df.columns if c not in [*names, "error"]]
-    schema = T.StructType([df.schema[c] for c in base] + list(added)
-                          + [T.StructField("error", T.StringType())])
+    reads = list(getattr(model, "reads", base))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = model()
@@ -48,19 +50,32 @@ def apply_model(df: DataFrame, model: ModelFactory, output: str, attempts: int =
                     failure = f"{type(e).__name__}: {e}"
             return [{**dict.fromkeys(names), "error": failure}]
 
-        for batch in batches:
-            part = batch[base].reset_index(drop=True)
+        def halved(part: pd.DataFrame) -> list[dict]:
+            if len(part) <= 1:
+                return single(part) if len(part) else []
             try:
-                rows = checked(part)
+                return checked(part)
             except Exception:  # noqa: BLE001
-                rows = [r for i in range(len(part))
-                        for r in single(part.iloc[[i]].reset_index(drop=True))]
-            out = pd.DataFrame(rows, columns=[*names, "error"], dtype=object)
-            yield pd.concat([part, out], axis=1)
+                middle = len(part) // 2
+                return [r for half in (part[:middle], part[middle:])
+                        for r in halved(half.reset_index(drop=True))]
+
+        for batch in batches:
+            rows = halved(batch[reads].reset_index(drop=True))
+            yield pd.DataFrame(rows, columns=[*names, "error"], dtype=object)
 
-    return df.select(*base).mapInPandas(run, schema)
+    # Not deterministic, so that Spark neither repeats a call nor moves a filter below it.
+    schema = T.StructType([*added, T.StructField("error", T.StringType())])
+    called = F.pandas_udf(run, schema).asNondeterministic()
+    kept = [F.col(f"`{c}`") for c in base]
+    return df.select(*kept, called(F.struct(*[F.col(f"`{c}`") for c in reads])).alias("_model")).select(
+        *kept, "_model.*")
 
 
 def split_failures(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that worked, dead letters) of a frame with an ``error`` column."""
-    return df.where("error is null").drop("error"), df.where("error is not null")
+    """(rows that worked, dead letters) of a frame with an ``error`` column.
+
+    Written first, so that each row is sent to the model once and lands on one side only.
+    """
+    done = staged(df, "modelled")
+    return done.where("error is null").drop("error"), done.where("error is not null")

@@ -25,6 +25,16 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
+def _vectors(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and which rows have one; a row without a vector is all zeros."""
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    has = sizes > 0
+    out = np.zeros((len(col), int(sizes.max(initial=0))))
+    if has.any():
+        out[has] = _unit(_matrix(col.filter(pa.array(has))))
+    return out, has
+
+
 @dataclass(frozen=True)
 class VectorKernel:
     """Cosine, by default mapped to [0, 1] by (1 + cos) / 2."""
@@ -125,7 +135,11 @@ class ShareKernel(_Matches):
 
 @dataclass(frozen=True)
 class BlendKernel:
-    """Linear fusion: w * (1 + cos) / 2 + (1 - w) * bm25 / best bm25 of the query."""
+    """Linear fusion: w * (1 + cos) / 2 + (1 - w) * bm25 / best bm25 of the query.
+
+    Where the row or the query has no vector, only the words count; a row that shares neither a
+    vector nor a word with the query is no hit.
+    """
 
     terms: TermKernel
     weight: float
@@ -136,14 +150,19 @@ class BlendKernel:
 
     def block(self, queries: pa.Table):
         best = queries["best"].to_numpy().astype(np.float64)
-        return (VectorKernel().block(queries), self.terms.block(queries),
+        return (_vectors(queries["embedding"].combine_chunks()), self.terms.block(queries),
                 np.divide(1.0, best, out=np.zeros_like(best), where=best > 0)[:, None])
 
     def scores(self, block, batch) -> np.ndarray:
-        vectors, terms, scale = block
-        cos = (1.0 + vectors @ _unit(_matrix(batch.column("embedding"))).T) / 2.0
+        (asked, has_asked), terms, scale = block
+        rows, has_row = _vectors(batch.column("embedding"))
+        both = has_asked[:, None] & has_row[None, :]
+        cos = np.zeros(both.shape)
+        if both.any():
+            cos = np.where(both, (1.0 + asked @ rows.T) / 2.0, 0.0)
         lexical = self.terms.raw(terms, batch) * scale
-        return np.round(self.weight * cos + (1.0 - self.weight) * lexical, self.digits)
+        blended = np.round(self.weight * cos + (1.0 - self.weight) * lexical, self.digits)
+        return np.where(both | (lexical > 0), blended, -np.inf)
 
 
 class Best:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quaero.operators.scoring import best_of
 from quaero.params import Params
+from quaero.sources.workdir import staged
 
 
 def rank_within(df: DataFrame, keys: list[str] | str, order: list, name: str = "rank") -> DataFrame:
@@ -26,14 +27,38 @@ def _hits_schema(queries: DataFrame) -> str:
     return f"query_id {queries.schema['query_id'].dataType.simpleString()}, id bigint, score double"
 
 
+def merged_topk(partial: DataFrame, k: int, salts: int = 32) -> DataFrame:
+    """The k best of the hits that many tasks found, in two steps.
+
+    A query has up to k hits from each task; no place gets more than a share of these.
+    """
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts))
+    first = top_k(partial.withColumn("_salt", salt), k, ["query_id", "_salt"])
+    return top_k(first.drop("_salt", "rank"), k)
+
+
+def query_bytes(queries: DataFrame, kernel) -> tuple[int, int]:
+    """Rows of the query side and the bytes that scoring it takes in a task."""
+    def octets(name):
+        c = F.col(name)
+        if queries.schema[name].dataType.simpleString() == "array<string>":
+            return F.aggregate(c, F.lit(0).cast("bigint"), lambda a, t: a + F.octet_length(t) + 8)
+        return F.size(c).cast("bigint") * 8
+
+    lists = [c for c in kernel.query_columns if c != "best"]
+    cells = sum((F.coalesce(F.size(c), F.lit(0)).cast("bigint") for c in lists), F.lit(0))
+    held = sum((F.coalesce(octets(c), F.lit(0)) for c in lists),
+               F.octet_length(F.col("query_id").cast("string")) + 24)
+    rows, bytes_, cells = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(held), F.lit(0)),
+                                      F.coalesce(F.sum(cells), F.lit(0))).first()
+    # A term has a dense column if a 20th of the queries ask for it: at most 20 doubles a cell.
+    return rows, bytes_ + 160 * cells
+
+
 def fits_broadcast(queries: DataFrame, kernel, params: Params) -> bool:
     """Measure the query side before it may be broadcast."""
-    size = sum((F.coalesce(F.size(c), F.lit(0)) for c in kernel.query_columns if c != "best"),
-               F.lit(0))
-    rows, cells = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("bigint")),
-                                                            F.lit(0))).first()
-    # 16 bytes per cell cover a double as well as a usual term.
-    return rows <= params.broadcast_queries and cells * 16 <= params.broadcast_bytes
+    rows, bytes_ = query_bytes(queries, kernel)
+    return rows <= params.broadcast_queries and bytes_ <= params.broadcast_bytes
 
 
 def scan_topk(index: DataFrame, queries: DataFrame, kernel, k: int, params: Params,
@@ -47,16 +72,15 @@ def scan_topk(index: DataFrame, queries: DataFrame, kernel, k: int, params: Para
         yield best_of(batches, shared.value, kernel, k, min_score, tile)
 
     partial = index.select("id", *kernel.index_columns).mapInArrow(run, _hits_schema(queries))
-    return top_k(partial, k)
+    return merged_topk(partial, k)
 
 
-# A table of bucket sizes is broadcast only if the bucketing cannot yield more rows than this.
-MAX_BROADCAST_BUCKETS = 1 << 20
+HEAVY = 1000
 
 
-def _pieces(index: DataFrame, queries: DataFrame, params: Params, buckets: int | None):
+def _pieces(index: DataFrame, queries: DataFrame, params: Params, bucketed: bool):
     """Function that adds ``row_cells`` and ``query_cells``, the number of pieces, to a side."""
-    if buckets is None:
+    if not bucketed:
         rows, asked = index.count(), queries.count()
         cells = {"row_cells": F.lit(max(1, -(-rows // params.cell_rows))),
                  "query_cells": F.lit(max(1, -(-asked // params.cell_queries)))}
@@ -68,30 +92,37 @@ def _pieces(index: DataFrame, queries: DataFrame, params: Params, buckets: int |
                 F.ceil(F.col("rows") / params.cell_rows).cast("int").alias("row_cells"),
                 F.ceil(F.col("asked") / params.cell_queries).cast("int").alias("query_cells"))
     )
-    # Without a broadcast the join would first bring each bucket to one place.
-    if buckets > MAX_BROADCAST_BUCKETS:
-        raise ValueError(f"{buckets} buckets; use fewer bands or bits")
-    return lambda side: side.join(F.broadcast(sizes), "bucket")
+    sizes = staged(sizes, "buckets")
+    # Buckets with more than a share of all pieces are few, so these are broadcast; the rows of
+    # no other bucket are too many for one place.
+    total = sizes.agg(F.sum(F.col("row_cells") + F.col("query_cells"))).first()[0] or 0
+    large = F.col("row_cells") + F.col("query_cells") > total // HEAVY + 2
+    heavy, light = F.broadcast(sizes.where(large)), sizes.where(~large)
+
+    def add(side):
+        rest = side.join(heavy.select("bucket"), "bucket", "left_anti").join(light, "bucket")
+        return side.join(heavy, "bucket").unionByName(rest)
+
+    return add
 
 
 def grid_topk(index: DataFrame, queries: DataFrame, kernel, k: int, params: Params,
-              min_score: float | None = None, buckets: int | None = None) -> DataFrame:
+              min_score: float | None = None, bucketed: bool = False) -> DataFrame:
     """The same result for any number of queries, and for queries confined to buckets.
 
     Both sides are cut into pieces of bounded size by a hash of their id, and each pair of
-    pieces is one task group.  With ``buckets``, an upper bound of their number, both sides
-    carry a ``bucket`` column and a query only meets the rows of its own buckets; a hot bucket
+    pieces is one task group.  With ``bucketed`` both sides carry a ``bucket`` column and a query only meets the rows of its own buckets; a hot bucket
     is cut into more pieces, so no group grows with it.
     """
     schema = _hits_schema(queries)
-    if buckets is None:
+    if not bucketed:
         index = index.withColumn("bucket", F.lit(0).cast("bigint"))
         queries = queries.withColumn("bucket", F.lit(0).cast("bigint"))
     # Own names on either side: index and queries may be views of one table.
     index = index.select("bucket", "id", *(F.col(c).alias(f"i_{c}") for c in kernel.index_columns))
     queries = queries.select(F.col("bucket").alias("bucket"), F.col("query_id").alias("query_id"),
                              *(F.col(c).alias(f"q_{c}") for c in kernel.query_columns))
-    with_pieces = _pieces(index, queries, params, buckets)
+    with_pieces = _pieces(index, queries, params, bucketed)
 
     def cut(side: DataFrame, own: str, other: str, key: str) -> DataFrame:
         return (
@@ -118,7 +149,7 @@ def grid_topk(index: DataFrame, queries: DataFrame, kernel, k: int, params: Para
     partial = rows.groupBy(cell).cogroup(asked.groupBy(cell)).applyInArrow(
         run, schema)
     # A pair may meet in several buckets; its score is the same in each.
-    return top_k(partial.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
+    return merged_topk(partial.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
 
 
 def topk_join(index: DataFrame, queries: DataFrame, kernel, k: int, params: Params,

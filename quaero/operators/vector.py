@@ -95,4 +95,4 @@ def vector_lsh_topk(index: DataFrame, queries: DataFrame, k: int, dim: int, band
     return grid_topk(
         signatures(index.where(F.size("embedding") > 0), dim, bands, bits),
         signatures(queries.where(F.size("embedding") > 0), dim, bands, bits),
-        VectorKernel(normalised), k, params, threshold, buckets=bands << bits)
+        VectorKernel(normalised), k, params, threshold, bucketed=True)

@@ -23,12 +23,15 @@ class Params:
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
     embed_dim: int = 64
+    lsh_bands: int = 16
+    lsh_bits: int = 8
     vector_weight: float = 0.5
     rrf_constant: int = 60
 
     # --- question handling of the built-in defaults
     route_min_known: float = 0.5
     rewrite_keywords: int = 5
+    rewrite_max_share: float = 0.5  # of the corpus; commoner words are left out of a rewrite
     hyde_docs: int = 3
     hyde_terms: int = 10
     trim_variants: bool = False

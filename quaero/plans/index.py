@@ -30,7 +30,8 @@ class Index:
     """Searchable rows ``id, url, content, text_hash, terms, embedding`` and their statistics."""
 
     rows: DataFrame
-    stats: CorpusStats
+    stats: CorpusStats | None
+    failed: DataFrame | None = None  # ``id, error`` of rows without a vector, if a model made these
 
 
 def with_terms(chunks: DataFrame) -> DataFrame:
@@ -39,22 +40,41 @@ def with_terms(chunks: DataFrame) -> DataFrame:
 
 
 def searchable(chunks: DataFrame, params: Params = Params(), embedder=None) -> DataFrame:
-    """Add terms and embedding to ``id, url, content`` rows; rows the embedder fails on go."""
-    out = embed(with_terms(chunks), "content", params, embedder)
-    return out.where("error is null").drop("error") if embedder is not None else out
+    """Add terms and embedding to ``id, url, content`` rows.
+
+    A row that the embedder fails on stays, without a vector and with the message in ``error``:
+    its words can still be searched.
+    """
+    return embed(with_terms(chunks), "content", params, embedder)
+
+
+def id_conflicts(rows: DataFrame, text: str = "content") -> DataFrame:
+    """``id, rows, contents`` of the ids that more than one row has; narrow columns are shuffled."""
+    return (rows.select("id", F.md5(F.col(text)).alias("h")).groupBy("id")
+            .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("h").alias("contents"))
+            .where("rows > 1"))
+
+
+def refuse_conflicts(rows: DataFrame) -> None:
+    """An id names one row in every later join, so an index with a repeated one is refused."""
+    found = id_conflicts(rows).limit(3).collect()
+    if found:
+        raise ValueError(f"ids that more than one row has: {[r.id for r in found]}, …; see id_conflicts")
 
 
 def build_index(chunks: DataFrame, params: Params = Params(), embedder=None,
                 folder: str | None = None, vectors: bool = True) -> Index:
     """Write rows and term table once; every search reads the written tables.
 
-    ``vectors=False`` leaves the embedding out, for an index that only serves keyword search.
+    Refuses rows that share an id.  ``vectors=False`` leaves the embedding out, for an index that only serves keyword search.
     """
     folder = folder or run_dir(chunks.sparkSession, "index")
     full = (searchable(chunks, params, embedder) if vectors
             else with_terms(chunks))
     rows = staged(full, "rows", folder)
-    return Index(rows, corpus_stats(rows, staged(term_counts(rows), "terms", folder)))
+    refuse_conflicts(rows)
+    failed = rows.where("error is not null").select("id", "error") if "error" in rows.columns else None
+    return Index(rows.drop("error"), corpus_stats(rows, staged(term_counts(rows), "terms", folder)), failed)
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
@@ -66,10 +86,14 @@ def load_index(spark: SparkSession, path: str) -> Index:
 def index_diff(current: DataFrame, source: DataFrame, deletes: bool = True) -> DataFrame:
     """``id, op`` with op insert, update or delete; unchanged rows do not appear.
 
-    Both sides are ``id, content_hash``: only these two narrow columns are shuffled.
+    Both sides are ``id, content_hash``: only these two narrow columns are shuffled.  Without
+    deletes the source is a small part, and the state is cut to its ids first: Spark broadcasts
+    these while they are few, and then the state is not shuffled at all.
     """
     new = source.select("id", F.col("content_hash").alias("new_hash"))
     old = current.select("id", F.col("content_hash").alias("old_hash"))
+    if not deletes:
+        old = old.join(new.select("id"), "id", "left_semi")
     both = new.join(old, "id", "full" if deletes else "left")
     op = (
         F.when(F.col("old_hash").isNull(), "insert")
@@ -111,19 +135,42 @@ def current_rows(spark: SparkSession, path: str, before: int | None = None,
     return newest.select(*columns)
 
 
-def sync_index(chunks: DataFrame, path: str, batch_id: int, params: Params = Params(),
+# In place of the content hash of a row whose embedding failed: it differs from every hash.
+NO_VECTOR = ""
+
+
+def next_batch(spark: SparkSession, path: str) -> int:
+    """The number after that of the last sync."""
+    last = _log(spark, path, None).agg(F.max("batch_id")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def failed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``id, url, content`` of the rows whose embedding failed; each sync of them tries again."""
+    rows = current_rows(spark, path, columns=("id", "url", "content", "content_hash"))
+    return rows.where(F.col("content_hash") == NO_VECTOR).drop("content_hash")
+
+
+def sync_index(chunks: DataFrame, path: str, batch_id: int | None = None, params: Params = Params(),
                embedder=None, deletes: bool = True) -> DataFrame:
     """Bring the index to the state of ``chunks(id, url, content, …)`` and report ``op, rows``.
 
     Embeds changed rows only.  With ``deletes=False`` the chunks are a part of the source, so
-    absent ids stay.  Rows whose embedding fails are left out and come up again next time.
+    absent ids stay.  A row whose embedding fails is kept without a vector (`failed_rows`) and is
+    a change again next time.  ``batch_id`` is the sync's number, by default the next one; the
+    number of an earlier sync replaces that and hides later ones from it.
     """
     spark = chunks.sparkSession
+    batch_id = next_batch(spark, path) if batch_id is None else batch_id
     source = with_hash(chunks.select("id", "url", "content"))
     current = current_rows(spark, path, batch_id, ("id", "content_hash"))
     # Written once, so that the wide join below does not repeat the comparison.
     changes = staged(index_diff(current, source, deletes), "changes")
+    refuse_conflicts(changes.withColumn("content", F.lit("")))  # a repeated id is a repeated change
     fresh = searchable(source.join(changes.where("op <> 'delete'"), "id"), params, embedder)
+    if embedder is not None:
+        fresh = fresh.withColumn("content_hash", F.when(F.col("error").isNull(), F.col("content_hash"))
+                                 .otherwise(NO_VECTOR))
     names = ["id", "url", "content", "content_hash", "text_hash", "terms", "embedding", "op"]
     gone = changes.where("op = 'delete'")
     (fresh.select(names).unionByName(gone, allowMissingColumns=True)

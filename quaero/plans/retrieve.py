@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from quaero.operators.keyword import hybrid_topk, keyword_topk
-from quaero.operators.vector import embed, vector_topk
+from quaero.operators.vector import embed, matching, vector_lsh_topk, vector_topk
 from quaero.params import Params
 from quaero.plans.index import Index
 
-MODES = ("ann", "keyword", "hybrid")
+MODES = ("vector", "ann", "keyword", "hybrid")
 
 
 def retrieve(searches: DataFrame, index: Index, k: int | None = None,
@@ -17,6 +17,8 @@ def retrieve(searches: DataFrame, index: Index, k: int | None = None,
              params: Params = Params(), embedder=None, fusion: str = "linear") -> DataFrame:
     """``query_id, id, score, rank`` for ``searches(query_id, text)``.
 
+    ``vector`` scores every row; ``ann`` only those that share a signature with the search, with
+    ``lsh_bands`` and ``lsh_bits`` of `Params`.  Searches may bring an ``embedding`` of their own.
     ``where`` keeps index rows by equality before anything is scored.  A threshold works on
     scores in [0, 1], so it does not go with ``keyword``.
     """
@@ -27,9 +29,12 @@ def retrieve(searches: DataFrame, index: Index, k: int | None = None,
         if threshold is not None:
             raise ValueError("BM25 scores have no fixed scale; use mode='hybrid' with a threshold")
         return keyword_topk(index.rows, searches, index.stats, k, params, "text", where)
-    embedded = embed(searches, "text", params, embedder)
-    if mode == "ann":
+    embedded = searches if "embedding" in searches.columns else embed(searches, "text", params, embedder)
+    if mode == "vector":
         return vector_topk(index.rows, embedded, k, params, threshold, where=where)
+    if mode == "ann":
+        return vector_lsh_topk(matching(index.rows, where), embedded, k, params.embed_dim, params.lsh_bands,
+                               params.lsh_bits, params, threshold)
     return hybrid_topk(index.rows, embedded, index.stats, k, params, "text", fusion, threshold,
                        where)
 

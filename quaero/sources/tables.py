@@ -12,14 +12,20 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly when a scan has fewer splits than the cluster has slots.
+    """Deal the rows of a small table out evenly for a CPU-bound step.
 
-    A large table has many splits, so this adds no shuffle there; it helps a small file with a
-    single row group to use more than one core in a CPU-bound step.
+    A small file is one split.  Beyond ``SPREAD_BYTES``, by Spark's own estimate, the table stays
+    as it is: its splits are what ``spark.sql.files.maxPartitionBytes`` makes them, and smaller
+    ones are to be had there without a shuffle.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def unescape_newlines(col: Column | str) -> Column:
@@ -27,18 +33,39 @@ def unescape_newlines(col: Column | str) -> Column:
     return F.replace(F.col(col) if isinstance(col, str) else col, F.lit("\\n"), F.lit("\n"))
 
 
+REJECTED = "_rejected"
+
+
+def _csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """All columns by the names in the header, and the raw text of rows that do not fit it."""
+    reader = (spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+              .option("enforceSchema", False).option("columnPruning", False))
+    names = reader.option("inferSchema", False).csv(path).columns
+    schema = ", ".join(f"`{n}` string" for n in [*names, REJECTED])
+    return reader.schema(schema).option("columnNameOfCorruptRecord", REJECTED).csv(path)
+
+
 def _read_csv(spark: SparkSession, path: str, schema, multiline: bool) -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("header", True).option("multiLine", multiline).option("escape", '"')
-        .csv(path)
-    )
+    rows = _csv(spark, path, multiline)
+    absent = [n for n in schema.names if n not in rows.columns]
+    if absent:
+        raise ValueError(f"no column {absent} in {path}; its header has {rows.columns[:-1]}")
+    return rows.where(F.col(REJECTED).isNull()).select(schema.names)
+
+
+def rejected_rows(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """``record``: the rows of a CSV file that have more or fewer fields than its header."""
+    rows = _csv(spark, path, multiline)
+    # Spark only tells the raw text along with some other column: the first, none of it shown.
+    other = F.coalesce(F.left(F.col(f"`{rows.columns[0]}`"), F.lit(0)), F.lit(""))
+    return rows.where(F.col(REJECTED).isNotNull()).select(F.concat(F.col(REJECTED), other).alias("record"))
 
 
 def read_custom_passages(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Hand-written passages ``url, page_contents, content``; empty fields become ''.
 
-    ``multiline`` allows line breaks inside quoted fields; a file is then one task.
+    Columns go by the header, which all files of a folder share; rows that do not fit it are in
+    `rejected_rows`.  ``multiline`` allows line breaks inside quoted fields; a file is then one task.
     """
     return _read_csv(spark, path, schemas.CUSTOM_PASSAGES, multiline).na.fill("")
 

@@ -66,9 +66,46 @@ def test_failed_embeddings_come_up_again(spark, folder):
         return model
 
     rows = chunks(spark, c1="a", c2="b")
-    assert ops(IX.sync_index(rows, folder + "/i", 0, embedder=embedder(["b"]))) == {"insert": 1}
-    assert ops(IX.sync_index(rows, folder + "/i", 1, embedder=embedder([]))) == {"insert": 1}
-    assert state(spark, folder + "/i") == {1: "a", 2: "b"}
+    path = folder + "/i"
+    assert ops(IX.sync_index(rows, path, embedder=embedder(["b"]))) == {"insert": 2}
+    assert [r.content for r in IX.failed_rows(spark, path).collect()] == ["b"]
+    asked = spark.createDataFrame([(1, "b")], "query_id long, text string")
+    assert [r.id for r in retrieve(asked, IX.load_index(spark, path), 5, mode="keyword").collect()] == [2]
+    assert ops(IX.sync_index(rows, path, embedder=embedder([]))) == {"update": 1}
+    assert IX.failed_rows(spark, path).count() == 0
+    assert state(spark, path) == {1: "a", 2: "b"}
+    index = IX.build_index(rows, embedder=embedder(["b"]))
+    assert index.rows.count() == 2 and [r.id for r in index.failed.collect()] == [2]
+
+
+def test_repeated_ids_are_refused(spark, folder):
+    rows = chunks(spark, c1="a").union(chunks(spark, c1="b"))
+    assert [(r.id, r["rows"], r.contents) for r in IX.id_conflicts(rows).collect()] == [(1, 2, 2)]
+    with pytest.raises(ValueError, match="more than one row"):
+        IX.build_index(rows)
+    with pytest.raises(ValueError, match="more than one row"):
+        IX.sync_index(rows, folder + "/i")
+
+
+def test_stream_after_a_batch_keeps_all_rows(spark, folder):
+    path = folder + "/index"
+    IX.sync_index(chunks(spark, c1="a", c2="b", c3="c"), path)
+    chunks(spark, c3="C", c4="d").write.parquet(folder + "/in/one")
+    for checkpoint in ("/cp", "/cp", "/other"):  # a new checkpoint takes all files again
+        source = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(folder + "/in")
+        sync_stream(source, path, folder + checkpoint).awaitTermination()
+        assert state(spark, path) == {1: "a", 2: "b", 3: "C", 4: "d"}
+
+
+def test_small_changes_do_not_shuffle_the_state(spark, folder):
+    path = folder + "/index"
+    IX.sync_index(spark.range(2000).selectExpr("id", "'u' AS url", "'t' || id AS content"), path)
+    current = IX.current_rows(spark, path, columns=("id", "content_hash"))
+    few = staged(IX.with_hash(chunks(spark, c1="x", c5000="y")), "few")
+    diff = IX.index_diff(current, few, deletes=False)
+    plan = diff._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.op) for r in diff.collect()} == {(1, "update"), (5000, "insert")}
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning") == 0
 
 
 def test_stream_gives_the_batch_result(spark, folder):
@@ -142,3 +179,16 @@ def test_stage_tables_go_to_the_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = staged(spark.range(3), "t")
     assert df.count() == 3 and all(shared_dir(spark) in f for f in df.inputFiles())
+
+
+def test_csv_goes_by_header_and_reports_misfits(spark, folder):
+    with open(folder + "/c.csv", "w") as f:
+        f.write('content,more,url,page_contents\none,x,u,p\n"a, b",,v,\nshort,x\nlong,x,u,p,extra\n')
+    path = folder + "/c.csv"
+    got = {tuple(r) for r in S.read_custom_passages(spark, path).collect()}
+    assert got == {("u", "p", "one"), ("v", "", "a, b")}
+    assert {r.record for r in S.rejected_rows(spark, path).collect()} == {"short,x", "long,x,u,p,extra"}
+    with open(folder + "/d.csv", "w") as f:
+        f.write("url,content\nu,c\n")
+    with pytest.raises(ValueError, match="page_contents"):
+        S.read_custom_passages(spark, folder + "/d.csv")
