@@ -757,3 +757,10 @@ rows AS (SELECT request_id, expected_response, request AS answer, request AS con
 SELECT 'run' AS run_id, request_id, correctness, context_sufficiency, groundedness, overall,
   leaks.id AS leaked_from, containment
 FROM ({verdicts('rows', 0.1, 0.25, 0.5)}) LEFT JOIN leaks USING (request_id)"""
+
+ORACLES["answer_dead_letters"] = """
+SELECT item_id AS query_id, 'answered' AS step, CASE WHEN item_id % 4 <> 0 THEN 'yes' END AS answer FROM benchmark
+UNION ALL SELECT item_id, 'route', 'ValueError: refused' FROM benchmark WHERE item_id % 5 = 0
+UNION ALL SELECT item_id, 'rewrite', 'ValueError: refused' FROM benchmark WHERE item_id % 3 = 0
+UNION ALL SELECT item_id, 'hyde', 'ValueError: refused' FROM benchmark WHERE item_id % 7 = 0
+UNION ALL SELECT item_id, 'answer', 'ValueError: refused' FROM benchmark WHERE item_id % 4 = 0"""

@@ -498,6 +498,18 @@ def answer_questions(spark, sf):
     return answers.select("query_id", "question", "route", "prompt", "answer")
 
 
+def answer_dead_letters(spark, sf):
+    """Every model step fails on some questions: each failure is reported, each question answered."""
+    fails = lambda n: lambda b: b["query_id"] % n == 0
+    models = A.Models(route=_picky("question", "label", fails(5), "specific"),
+                      rewrite=_picky("question", "rewrites", fails(3), "a, b"),
+                      hyde=_picky("question", "hyde", fails(7), "the"),
+                      answer=_picky("question", "answer", fails(4), "yes"))
+    parts = A.answer_parts(_benchmark(spark, sf), _keyword_index(spark, sf), mode="keyword", models=models)
+    answers = parts.answers.select("query_id", F.lit("answered").alias("step"), "answer")
+    return answers.unionByName(parts.failed.select("query_id", "step", F.col("error").alias("answer")))
+
+
 def answer_hybrid(spark, sf):
     answers, _ = A.answer(_benchmark(spark, sf), _passage_index(spark, sf, True), mode="hybrid",
                           threshold=HYBRID_THRESHOLD)
@@ -678,6 +690,7 @@ QUERIES = {
     "index_sync_report": index_sync_report,
     "index_sync_stream": index_sync_stream,
     "answer_stream": answer_stream_query,
+    "answer_dead_letters": answer_dead_letters,
     "frontier_union": frontier_union,
     "link_forms": link_forms,
     "two_articles": two_articles,

@@ -72,6 +72,19 @@ def apply_model(df: DataFrame, model: ModelFactory, output: str, attempts: int =
         *kept, "_model.*")
 
 
+def noted(df: DataFrame, step: str, failures: list[DataFrame] | None) -> DataFrame:
+    """``df`` without its ``error`` column; with ``failures``, its dead letters are added to these.
+
+    Dead letters are ``query_id, step, error``.  The frame is written first, so that no model call
+    is repeated for them.
+    """
+    if failures is None:
+        return df.drop("error")
+    done = staged(df, step)
+    failures.append(done.where("error is not null").select("query_id", F.lit(step).alias("step"), "error"))
+    return done.drop("error")
+
+
 def split_failures(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that worked, dead letters) of a frame with an ``error`` column.
 
