@@ -38,6 +38,8 @@ class JaccardParams:
     sketch_bar: float = 0.62   # five standard errors (0.035) below a similarity of 0.8
     block: int = 2048          # sets in one block of a large node
     block_words: int = 1 << 20  # n-grams in one block of a candidate group
+    share_rows: int = 256       # sets from which a group is cut into blocks, to use more tasks,
+    share_blocks: int = 8       # so many at most on that account
 
     @property
     def runs(self) -> int:
@@ -294,7 +296,8 @@ def jaccard_classes(docs: DataFrame, params: JaccardParams = JaccardParams(), ke
     members = staged(groups.withColumnRenamed("node", "row").join(rows.select("row", "id", "digest", "size"), "row"),
                      "members", folder)
     sizes = staged(members.groupBy("root").agg(
-        F.ceil(F.sum("size") / p.block_words).cast("long").alias("blocks"), F.count("*").alias("n")), "sizes", folder)
+        F.greatest(F.ceil(F.sum("size") / p.block_words), F.least(F.ceil(F.count("*") / p.share_rows), F.lit(p.share_blocks)))
+        .cast("long").alias("blocks"), F.count("*").alias("n")), "sizes", folder)
     members = join_counted(members, sizes, "root", "n").join(reps.select("row", "copies"), "row")
     texts = docs.select(F.col(key).alias("_id"), F.md5(F.col(text)).alias("_digest"), F.col(text).alias("_text"))
     members = members.join(texts, F.expr("_id <=> id AND _digest = digest")).select("row", "root", "blocks", "copies", "_text")

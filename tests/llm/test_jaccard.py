@@ -53,7 +53,7 @@ def corpus(groups=8, near=12, lone=20):
     return texts
 
 
-@pytest.mark.parametrize("p", [JaccardParams(), JaccardParams(small=4, block=8, block_words=500)])
+@pytest.mark.parametrize("p", [JaccardParams(), JaccardParams(small=4, block=8, block_words=500), JaccardParams(share_rows=3)])
 def test_links_match_brute_force(make, p):
     texts = corpus()
     docs = make([(i, t, None, None, None) for i, t in enumerate(texts)])
