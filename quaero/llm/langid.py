@@ -151,35 +151,45 @@ def fit(docs: DataFrame, params: LangParams = LangParams(), key: str = "doc_id",
         idf, {r.y: list(r.bars) for r in learned}, params)
 
 
+def _shared(docs: DataFrame, model: LangModel):
+    return docs.sparkSession.sparkContext.broadcast(
+        (model.langs, np.ascontiguousarray(model.centroids.T), model.idf, model.bars, model.params))
+
+
+def _labels(texts: list[str | None], langs, centroids, idf, bars, p: LangParams) -> list[tuple[str, float, bool]]:
+    """Language, cosine and rejection of each text."""
+    out = []
+    for start in range(0, len(texts), 64):
+        counts = np.array([gram_counts(t, p.bins) for t in texts[start:start + 64]])
+        near = vector(counts, idf).astype(np.float32) @ centroids
+        for row, n in zip(near, counts.sum(axis=1)):
+            if not n or not langs:
+                out.append((UNKNOWN, 0.0, not n))
+                continue
+            i = int(np.argmax(row))
+            score = float(min(1.0, max(0.0, row[i])))
+            out.append((langs[i], score, bool(score < p.share * (1 - bars[langs[i]][int(np.log2(n))]))))
+    return out
+
+
 def predict(docs: DataFrame, model: LangModel, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns plus ``lang_pred, score, rejected`` for every row.
 
     A null text or one without letters is ``und`` with score 0 and is rejected.  Otherwise the
     nearest centroid names the language, ties going to the first by name; ``score`` is the cosine,
-    not below 0.  Columns of ``keep`` with the names of results give way to these.  ``rejected`` marks texts farther from every centroid than any text of like
-    length was in training: the cosine is under ``share`` of the smallest one seen.  Texts shorter
-    than all in training are not rejected, as nothing tells how far those may be.
+    not below 0.  ``rejected`` marks texts farther from every centroid than any text of like length
+    was in training: the cosine is under ``share`` of the smallest one seen.  Texts shorter than all
+    in training are not rejected, as nothing tells how far those may be; nor is any by a model that
+    knows no language, which calls all ``und``.  Columns of ``keep`` with the names of results give
+    way to these.
     """
-    p, bins = model.params, model.params.bins
     keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, np.ascontiguousarray(model.centroids.T), model.idf, model.bars))
+    shared = _shared(docs, model)
 
-    def label(batches):
-        langs, centroids, idf, bars = shared.value
+    def run(batches):
         for batch in batches:
-            out = []
-            texts = batch.column(at).to_pylist()
-            for start in range(0, len(texts), 64):
-                counts = np.array([gram_counts(t, bins) for t in texts[start:start + 64]])
-                near = vector(counts, idf).astype(np.float32) @ centroids
-                for row, n in zip(near, counts.sum(axis=1)):
-                    if not n or not langs:
-                        out.append((UNKNOWN, 0.0, True))
-                        continue
-                    i = int(np.argmax(row))
-                    score = float(min(1.0, max(0.0, row[i])))
-                    out.append((langs[i], score, bool(score < p.share * (1 - bars[langs[i]][int(np.log2(n))]))))
-            cols = list(zip(*out)) if out else [(), (), ()]
+            found = _labels(batch.column(at).to_pylist(), *shared.value)
+            cols = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keep)], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())],
                 names=[*keep, "lang_pred", "score", "rejected"])
@@ -187,4 +197,17 @@ def predict(docs: DataFrame, model: LangModel, keep: list[str], text: str = "tex
     at = keep.index(text) if text in keep else len(keep)
     rows = docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")]))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(label, f"{kept}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(run, f"{kept}, lang_pred string, score double, rejected boolean")
+
+
+def drop_unknown(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text `predict` does not reject."""
+    at = docs.columns.index(text)
+    shared = _shared(docs, model)
+
+    def run(batches):
+        for batch in batches:
+            found = _labels(batch.column(at).to_pylist(), *shared.value)
+            yield batch.filter(pa.array([not rejected for _, _, rejected in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

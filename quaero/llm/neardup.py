@@ -26,7 +26,7 @@ from quaero.sources.workdir import run_dir, staged
 class NearParams:
     threshold: float = 0.9
     cell: int = 8192         # vectors in a piece, about
-    anchors: int = 1024      # cells at most; a larger cell is cut into pieces
+    anchors: int = 256       # cells at most; a larger cell is cut into pieces
     levels: int = 4          # nets of the link radius, half of it, ...
     tile: int = 1024         # nodes on a side that are compared at once
 

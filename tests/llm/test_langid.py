@@ -77,5 +77,8 @@ def test_odd_rows_and_empty_tables(make, odd_rows):
     assert all(r.lang_pred == ("und" if not any(c.isalpha() for c in r.text or "") else "xx") for r in found)
     none = langid.fit(make([]))
     assert none.langs == []
-    assert {r.lang_pred for r in langid.predict(docs, none, ["doc_id"]).collect()} == {"und"}
+    unknown = langid.predict(docs, none, ["doc_id", "text"]).collect()
+    assert {r.lang_pred for r in unknown} == {"und"}
+    assert all(r.rejected == (not any(c.isalpha() for c in r.text or "")) for r in unknown)
+    assert langid.drop_unknown(docs, none).count() == sum(not r.rejected for r in unknown)
     assert langid.predict(make([]), model, ["doc_id"]).count() == 0
