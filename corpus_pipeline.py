@@ -12,7 +12,7 @@ from quaero.sources.workdir import run_dir, staged
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those far from every language that the labels teach."""
     model = langid.fit(docs.filter(~dealt("doc_id", 4, 2)))
-    return langid.predict(docs, model, docs.columns).filter("NOT rejected").select(*docs.columns)
+    return langid.drop_unknown(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
