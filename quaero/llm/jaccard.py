@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from quaero.llm import codes
@@ -38,7 +38,7 @@ class JaccardParams:
     sketch_bar: float = 0.62   # five standard errors (0.035) below a similarity of 0.8
     block: int = 2048          # sets in one block of a large node
     block_words: int = 1 << 20  # n-grams in one block of a candidate group
-    share_rows: int = 256       # sets from which a group is cut into blocks, to use more tasks,
+    share_rows: int = 256       # sets from which a node or group is cut into blocks, for more tasks,
     share_blocks: int = 8       # so many at most on that account
 
     @property
@@ -155,6 +155,11 @@ def _meet(p: JaccardParams):
     return task
 
 
+def _block_count(full: Column, rows: Column, p: JaccardParams) -> Column:
+    """Blocks for what fills ``full`` of them; more, up to ``share_blocks``, so that many tasks share."""
+    return F.greatest(F.ceil(full), F.least(F.ceil(rows / p.share_rows), F.lit(p.share_blocks))).cast("long")
+
+
 def _blocked(rows: DataFrame, key: str, id_: str, blocks: str) -> DataFrame:
     """Each row once for every block that its own meets: ``pair`` names the two, ``side`` its side."""
     own = F.pmod(F.xxhash64(id_), F.col(blocks))
@@ -264,7 +269,7 @@ def _candidates(reps: DataFrame, p: JaccardParams, folder: str) -> DataFrame:
         found = map_groups(met, "pair", _meet(p), "node long, root long")
         inner = counts.filter(F.col("n") > p.small).withColumnRenamed("node", "parent")
         if level == p.depth:
-            blocks = F.ceil(F.col("n") / p.block)
+            blocks = _block_count(F.col("n") / p.block, F.col("n"), p)
             many = inner.select(F.col("parent").alias("node"), "n", blocks.alias("blocks"))
             met = join_counted(at, many, "node", "n").join(reps.select("row", "sketch"), "row")
             met = _blocked(met, "node", "row", "blocks").select("pair", "row", "sketch", "side")
@@ -296,8 +301,7 @@ def jaccard_classes(docs: DataFrame, params: JaccardParams = JaccardParams(), ke
     members = staged(groups.withColumnRenamed("node", "row").join(rows.select("row", "id", "digest", "size"), "row"),
                      "members", folder)
     sizes = staged(members.groupBy("root").agg(
-        F.greatest(F.ceil(F.sum("size") / p.block_words), F.least(F.ceil(F.count("*") / p.share_rows), F.lit(p.share_blocks)))
-        .cast("long").alias("blocks"), F.count("*").alias("n")), "sizes", folder)
+        _block_count(F.sum("size") / p.block_words, F.count("*"), p).alias("blocks"), F.count("*").alias("n")), "sizes", folder)
     members = join_counted(members, sizes, "root", "n").join(reps.select("row", "copies"), "row")
     texts = docs.select(F.col(key).alias("_id"), F.md5(F.col(text)).alias("_digest"), F.col(text).alias("_text"))
     members = members.join(texts, F.expr("_id <=> id AND _digest = digest")).select("row", "root", "blocks", "copies", "_text")
