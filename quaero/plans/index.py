@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quaero.functions.arrays import exploded
 from quaero.functions.keys import content_hash
 from quaero.functions.text import terms
 from quaero.operators.keyword import CorpusStats, corpus_stats, term_counts
@@ -78,9 +79,37 @@ def build_index(chunks: DataFrame, params: Params = Params(), embedder=None,
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
-    """Open the synced index at ``path`` with the statistics of its latest state."""
-    rows = current_rows(spark, path)
-    return Index(rows, corpus_stats(rows, staged(term_counts(rows), "terms")))
+    """Open the synced index at ``path`` with the statistics of its latest state.
+
+    Each sync leaves what it changed in the counts, so opening adds these up and does not read
+    the passages.
+    """
+    deltas = spark.read.schema(DELTAS).parquet(_deltas(path))
+    rows, sized, words = deltas.where("term IS NULL").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)) for c in ("rows", "sized", "words")]).first()
+    terms_ = deltas.where("term IS NOT NULL").groupBy("term").agg(F.sum("rows").alias("df")).where("df > 0")
+    return Index(current_rows(spark, path),
+                 CorpusStats(staged(terms_, "terms"), rows, float(words) / sized if words else 1.0))
+
+
+# Changes of the counts: rows by term; all rows, those with terms and their terms where it is NULL.
+DELTAS = "term string, rows bigint, sized bigint, words bigint"
+
+
+def _deltas(path: str) -> str:
+    return f"{path.rstrip('/')}-terms"
+
+
+def _write_deltas(added: DataFrame, gone: DataFrame, path: str, batch_id: int) -> None:
+    """What rows that come and rows that go change in the counts; both are ``terms``."""
+    both = added.select("terms", F.lit(1).alias("sign")).unionByName(gone.select("terms", F.lit(-1).alias("sign")))
+    by_term = exploded(both, ["sign"], F.array_distinct("terms"), "term").groupBy("term").agg(
+        F.sum("sign").alias("rows")).where("rows <> 0")
+    total = both.agg(F.sum("sign").alias("rows"),
+                     F.sum(F.when(F.col("terms").isNotNull(), F.col("sign"))).alias("sized"),
+                     F.sum(F.col("sign") * F.size("terms")).alias("words"))
+    (by_term.unionByName(total, allowMissingColumns=True)
+        .selectExpr("term", "rows", "sized", "words").write.mode("overwrite").parquet(f"{_deltas(path)}/batch_id={batch_id}"))
 
 
 def index_diff(current: DataFrame, source: DataFrame, deletes: bool = True) -> DataFrame:
@@ -176,6 +205,9 @@ def sync_index(chunks: DataFrame, path: str, batch_id: int | None = None, params
     (fresh.select(names).unionByName(gone, allowMissingColumns=True)
         .write.mode("overwrite").partitionBy("op").parquet(f"{path}/batch_id={batch_id}"))
     written = spark.read.schema(SCHEMA).parquet(path).where(F.col("batch_id") == batch_id)
+    former = current_rows(spark, path, batch_id, ("id", "terms")).join(
+        changes.where("op <> 'insert'").select("id"), "id", "left_semi")
+    _write_deltas(written.where("op <> 'delete'"), former, path, batch_id)
     return written.groupBy("op").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -183,4 +215,6 @@ def compact(spark: SparkSession, path: str, target: str) -> DataFrame:
     """Rewrite the latest state as the first sync of a new folder, to be used from then on."""
     rows = current_rows(spark, path).withColumn("op", F.lit("insert"))
     rows.write.mode("overwrite").partitionBy("op").parquet(f"{target}/batch_id=0")
+    now = current_rows(spark, target, columns=("terms",))
+    _write_deltas(now, now.limit(0), target, 0)
     return current_rows(spark, target)

@@ -55,6 +55,24 @@ def test_synced_index_can_be_searched(spark, folder):
     assert [r.id for r in retrieve(asked, index, 5, mode="keyword").collect()] == [2]
 
 
+def test_counts_of_syncs_are_those_of_the_state(spark, folder):
+    path = folder + "/index"
+    steps = (dict(c1="red cat", c2="blue dog dog"), dict(c1="red dog", c3="a cat", c4=""), dict(c3="a cat"))
+
+    def check(at):
+        index = IX.load_index(spark, at)
+        fresh = IX.corpus_stats(IX.current_rows(spark, at))
+        as_map = lambda df: {r.term: r.df for r in df.collect()}
+        assert as_map(index.stats.terms) == as_map(fresh.terms)
+        assert (index.stats.rows, index.stats.avg_len) == (fresh.rows, pytest.approx(fresh.avg_len))
+
+    for i, texts in enumerate([*steps, steps[-1]]):
+        IX.sync_index(chunks(spark, **texts), path, min(i, 2))  # the last one once more
+        check(path)
+    IX.compact(spark, path, folder + "/compact")
+    check(folder + "/compact")
+
+
 def test_failed_embeddings_come_up_again(spark, folder):
     def embedder(broken):
         def model():
