@@ -165,15 +165,22 @@ class Words:
     end: int
 
 
+def _parts(batches, rows: int = 1000) -> Iterator:
+    """The batches in parts of so many rows, as words take far more room than their texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def count_words(docs: DataFrame, p: HmmParams, text: str) -> DataFrame:
     """``word, n, class`` over all texts; the end counts once a text."""
 
     def run(batches):
         seen: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
+        for part in _parts(batches):
+            for t in part.column(0).to_pylist():
                 seen.update(words(t))
-            seen[END] += batch.num_rows
+            seen[END] += part.num_rows
             if len(seen) > 250_000:
                 yield partial(seen)
                 seen = Counter()
@@ -226,7 +233,7 @@ def _encoded(docs: DataFrame, vocabulary: Words, p: HmmParams, key: str, text: s
     def run(batches):
         v = shared.value
         at = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in _parts(batches):
             cols = [[] for _ in range(8)]
             for t in batch.column(2).to_pylist():
                 found = words(t)
@@ -251,7 +258,7 @@ def _encoded(docs: DataFrame, vocabulary: Words, p: HmmParams, key: str, text: s
 
 
 def _sequences(batch) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u4").astype(np.int64) for x in batch["symbols"].to_pylist()]
+    return [np.frombuffer(x, "<u4") for x in batch["symbols"].to_pylist()]
 
 
 def _round(encoded: DataFrame, m: States, plain: np.ndarray, p: HmmParams) -> States:
