@@ -139,7 +139,7 @@ def find_secrets(docs: DataFrame, params: SecretParams = SecretParams(), key: st
     """
     p = params
     folder = folder or run_dir(docs.sparkSession, "secrets")
-    candidate = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}+" % p.min_chars
+    candidate = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+" % p.min_chars
     t = F.col("t")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"),
                        F.md5(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("t"))

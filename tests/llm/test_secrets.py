@@ -75,6 +75,18 @@ def test_random_strings_are_found_and_structured_ones_are_not(make):
             assert rows[i][1][int(a):int(b)] in k
 
 
+@pytest.mark.parametrize("before", ["auth=", "https://a.example/x?sig=", "AWS_CREDENTIAL=", "k=="])
+def test_random_strings_after_an_equals_sign_are_found(make, before):
+    r = random.Random(5)
+    keys = ["".join(r.choices(secrets.ALPHABETS["base62"], k=40)) for _ in range(30)]
+    rows = [(i, f"{prose(i, 30)} {before}{k} {prose(i + 50, 9)}", None, None, None) for i, k in enumerate(keys)]
+    found = {r.id: r.spans for r in secrets.secret_report(make(rows)).collect()}
+    want = {i: f"random:{t.index(k)}:{t.index(k) + 40}" for (i, t, *_), k in zip(rows, keys)}
+    assert sum(found[i] == w for i, w in want.items()) >= 27
+    clean = {r.doc_id: r.text for r in secrets.redact(make(rows)).collect()}
+    assert sum(keys[i] not in t and f"{before}[SECRET] " in t for i, t in clean.items()) >= 27
+
+
 def test_random_string_inside_a_base_span_is_one_span(make):
     keys = random_strings(30)
     rows = [(i, f'token = "{k.replace("=", "")}"', None, None, None) for i, k in enumerate(keys)]
