@@ -1,12 +1,16 @@
 """Passages of test items in documents, up to an edit distance.
 
-If an item occurs with at most k edits, one of any k + 1 pieces of it occurs unchanged.  So each
-item is cut into k + 1 pieces, all pieces are looked for in one pass over a text, and the places
-around a hit are verified by Myers' bit-parallel edit distance.
+If an item occurs with at most k edits, two of any k + 2 pieces of it occur unchanged, shifted
+against each other by at most k.  So each item is cut into k + 2 pieces, all pieces are looked for
+in one pass over a text, and the places around two such hits are verified by Myers' bit-parallel
+edit distance.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,23 +22,33 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 @dataclass(frozen=True)
 class EditParams:
-    error_share: float = 0.06    # edits per character of an item
+    error_share: float = 0.1     # edits per character of an item
+    whole_pieces: int = 2        # pieces that must occur unchanged before a distance is computed
     min_chars: int = 20          # shorter items, in their plain form, match nothing
     block_chars: int = 1 << 23   # characters of items that are sent to the tasks at once
 
 
+MARK = re.compile(r"[^\w\s]|_")
+
+
+@functools.cache
+def _blanked(mark: str) -> str:
+    """Punctuation becomes a blank; symbols and combining marks stay."""
+    return " " if unicodedata.category(mark)[0] == "P" else mark
+
+
 def plain(text: str | None) -> str:
-    """Lower case, white space as single blanks, none at the ends; edits are counted on this."""
-    return " ".join((text or "").lower().split())
+    """Lower case, punctuation and white space as single blanks, none at the ends; edits are counted on this."""
+    return " ".join(MARK.sub(lambda m: _blanked(m[0]), (text or "").lower()).split())
 
 
 def budget(length: int, share: float) -> int:
     return int(length * share)
 
 
-def cut(item: str, k: int) -> list[tuple[int, str]]:
-    """``item`` in k + 1 pieces of nearly equal length, with their places."""
-    edges = [len(item) * i // (k + 1) for i in range(k + 2)]
+def cut(item: str, n: int) -> list[tuple[int, str]]:
+    """``item`` in ``n`` pieces of nearly equal length, with their places."""
+    edges = [len(item) * i // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(edges, edges[1:])]
 
 
@@ -67,18 +81,42 @@ def within(item: str, window: str, k: int) -> tuple[int, int] | None:
     return best
 
 
+def _close(hits: list[tuple[int, int]], k: int, need: int) -> list[int]:
+    """The starts, in order, that lie in some stretch of k + 1 starts with hits of ``need`` different pieces."""
+    if len(hits) < need:
+        return []
+    hits.sort()
+    out: list[int] = []
+    held: dict[int, int] = {}
+    first = done = 0
+    for last, (at, piece) in enumerate(hits):
+        held[piece] = held.get(piece, 0) + 1
+        while hits[first][0] < at - k:
+            gone = hits[first][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            first += 1
+        if len(held) >= need:
+            done = max(done, first)
+            out += [x for x, _ in hits[done:last + 1]]
+            done = last + 1
+    return out
+
+
 class Finder:
     """The items of one block, with the automaton of their pieces."""
 
     def __init__(self, items: list[tuple], params: EditParams):
         self.items = []
+        self.need = max(1, params.whole_pieces)
         found: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
             item = plain(text)
             if len(item) < max(1, params.min_chars):
                 continue
             k = budget(len(item), params.error_share)
-            for at, piece in cut(item, k):
+            for at, piece in cut(item, min(len(item), k + self.need)):
                 found.setdefault(piece, []).append((len(self.items), at + len(piece)))
             self.items.append((key, item, k))
         self.pieces = ahocorasick.Automaton()
@@ -89,15 +127,18 @@ class Finder:
 
     def windows(self, text: str) -> dict[int, list[list[int]]]:
         """For each item the parts of ``text`` that may hold it, merged where they overlap."""
-        starts: dict[int, set[int]] = {}
+        starts: dict[int, list[tuple[int, int]]] = {}
         for end, uses in self.pieces.iter(text):
             for i, upto in uses:
-                starts.setdefault(i, set()).add(end + 1 - upto)
+                starts.setdefault(i, []).append((end + 1 - upto, upto))
         out = {}
-        for i, places in starts.items():
+        for i, hits in starts.items():
             _, item, k = self.items[i]
+            places = _close(hits, k, min(self.need, len(item) - k))
+            if not places:
+                continue
             merged: list[list[int]] = []
-            for at in sorted(places):
+            for at in places:
                 lo, hi = max(0, at - k), min(len(text), at + len(item) + k)
                 if merged and lo <= merged[-1][1]:
                     merged[-1][1] = hi

@@ -77,6 +77,24 @@ def test_matches_are_those_of_brute_force(spark, make, p):
     assert left.columns == make(docs).columns
 
 
+def test_replaced_words_and_changed_punctuation_are_found(spark, make):
+    items = [(i, prose(1000 + i, 34)) for i in range(8)]
+    docs = []
+    for i, item in items:
+        words = item.split()
+        for at in (4, 15, 27)[:2 + i % 2]:
+            words[at] = "x" * 6
+        docs.append((i, f"{prose(i, 40)} {' '.join(words)} {prose(i + 100, 40)}", None, None, None))
+        # A mark after every word is more edits than any budget if marks count.
+        docs.append((100 + i, f"{prose(i, 40)} {'; '.join(item.split())} {prose(i + 100, 40)}", None, None, None))
+    distances = [table_distance(d.plain(item), d.plain(docs[2 * i][1]))[0] for i, item in items]
+    within = {i for (i, item), x in zip(items, distances) if x <= len(d.plain(item)) * 0.1}
+    assert any(x > len(d.plain(item)) * 0.06 for (i, item), x in zip(items, distances) if i in within)
+    found = {(r.doc, r.item): r.distance for r in d.find_items(make(docs), make(items, "item_id long, text string")).collect()}
+    assert {doc for doc, item in found if doc == item} == within and len(within) >= 4
+    assert all(found[100 + i, i] == 0 for i, _ in items)
+
+
 def test_registered_query_against_substrings(spark):
     found = {(r.doc_id, r.item_id) for r in queries.op6_decontamination(spark, SMALL).collect()}
     docs = queries.table(spark, SMALL, "documents").collect()
