@@ -20,7 +20,7 @@ class LangParams:
     clusters: int = 4         # centroids per language
     sample: int = 600         # labelled rows per language that the centroids are fitted on, about
     rounds: int = 10
-    share: float = 0.35       # of the smallest cosine seen in training that a text must reach
+    quantile: float = 0.005   # of the cosines of labelled rows by language and length; lower ones are rejected
 
 
 @dataclass(frozen=True)
@@ -73,24 +73,32 @@ def _cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c
 
 
-def _bars(x: np.ndarray, c: np.ndarray, sizes: np.ndarray) -> list[float]:
-    """Largest distance to the nearest centroid by length, not smaller for shorter texts."""
-    far = 1 - (x @ c.T).max(axis=1)
-    band = np.log2(np.maximum(sizes, 1)).astype(int)
+def _bars(counts: dict[tuple[int, int], int], quantile: float) -> list[float]:
+    """Largest distance by length from rows by ``(length, thousandths of the cosine)``, not smaller for
+    shorter texts.  The longest lengths count as one until they hold enough rows for the quantile.
+    Few rows say little of the tail, so n rows lower the cosine by its 1/sqrt(n)."""
     bars = [2.0] * 64
-    worst = 0.0
-    for b in range(63, int(band.min()) - 1, -1):
-        if (band == b).any():
-            worst = max(worst, float(far[band == b].max()))
-        bars[b] = worst
-    for b in range(int(band.max()) + 1, 64):
-        bars[b] = bars[int(band.max())]
+    lengths = sorted({b for b, _ in counts}, reverse=True)
+    worst, held, unset, pooled = 0.0, [], 63, True
+    for b in lengths:
+        held += [(c, k) for (at, c), k in counts.items() if at == b]
+        n = sum(k for _, k in held)
+        if pooled and n * quantile < 1 and b != lengths[-1]:
+            continue
+        seen = 0
+        for c, k in sorted(held):
+            seen += k
+            if seen > quantile * n:
+                break
+        worst = max(worst, 1 - c / 1000 * (1 - n ** -0.5))
+        bars[b:unset + 1] = [worst] * (unset + 1 - b)
+        held, unset, pooled = [], b - 1, False
     return bars
 
 
 def fit(docs: DataFrame, params: LangParams = LangParams(), key: str = "doc_id", text: str = "text",
         label: str = "lang") -> LangModel:
-    """Learn idf from all labelled rows and centroids from about ``sample`` rows per language.
+    """Learn idf and bars from all labelled rows, centroids from about ``sample`` rows per language.
 
     Rows with a null label, or whose text has no letter, teach nothing.  Without any labelled
     row the model knows no language.
@@ -139,16 +147,40 @@ def fit(docs: DataFrame, params: LangParams = LangParams(), key: str = "doc_id",
         group = group.sort_values(["size", "v"])
         x = np.frombuffer(b"".join(group.v), np.float32).reshape(len(group), bins)
         c = _cluster(x, params.clusters, params.rounds)
-        bars = _bars(x, c, group["size"].to_numpy())
-        return pd.DataFrame({"y": group.y.iloc[0], "c": [r.astype(np.float32).tobytes() for r in c], "bars": [bars] * len(c)})
+        return pd.DataFrame({"y": group.y.iloc[0], "c": [r.astype(np.float32).tobytes() for r in c]})
 
     learned = (sampled.select("t", "y").mapInArrow(vectors, "y string, v binary, size long")
-               .groupBy("y").applyInPandas(centroids, "y string, c binary, bars array<double>").collect())
+               .groupBy("y").applyInPandas(centroids, "y string, c binary").collect())
     learned.sort(key=lambda r: (r.y, r.c))
-    return LangModel(
-        [r.y for r in learned],
-        np.frombuffer(b"".join(r.c for r in learned), np.float32).reshape(len(learned), bins),
-        idf, {r.y: list(r.bars) for r in learned}, params)
+    langs = [r.y for r in learned]
+    centres = np.frombuffer(b"".join(r.c for r in learned), np.float32).reshape(len(learned), bins)
+    shared = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(centres.T), idf))
+
+    def cosines(batches):
+        """Rows by language, length and thousandths of the cosine, of rows that are nearest to their own label."""
+        langs, centres, idf = shared.value
+        found: dict[tuple, int] = {}
+        for batch in batches:
+            texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for start in range(0, len(texts) if langs else 0, 64):
+                counts = np.array([gram_counts(t, bins) for t in texts[start:start + 64]])
+                near = vector(counts, idf).astype(np.float32) @ centres
+                for row, n, y in zip(near, counts.sum(axis=1), labels[start:start + 64]):
+                    i = int(np.argmax(row))
+                    if n and langs[i] == y:
+                        at = y, int(np.log2(n)), int(1000 * row[i])
+                        found[at] = found.get(at, 0) + 1
+        yield pa.RecordBatch.from_pydict(
+            {"y": [a[0] for a in found], "band": [a[1] for a in found], "c": [a[2] for a in found], "n": list(found.values())},
+            schema=pa.schema([("y", pa.string()), ("band", pa.int64()), ("c", pa.int64()), ("n", pa.int64())]))
+
+    # At most some thousand rows per language, whatever the input.
+    tails: dict[str, dict] = {}
+    for r in rows.select("t", "y").mapInArrow(cosines, "y string, band long, c long, n long").groupBy("y", "band", "c").agg(
+            F.sum("n").alias("n")).collect():
+        tails.setdefault(r.y, {})[r.band, r.c] = r.n
+    bars = {y: _bars(tails[y], params.quantile) if y in tails else [2.0] * 64 for y in langs}
+    return LangModel(langs, centres, idf, bars, params)
 
 
 def _shared(docs: DataFrame, model: LangModel):
@@ -168,7 +200,7 @@ def _labels(texts: list[str | None], langs, centroids, idf, bars, p: LangParams)
                 continue
             i = int(np.argmax(row))
             score = float(min(1.0, max(0.0, row[i])))
-            out.append((langs[i], score, bool(score < p.share * (1 - bars[langs[i]][int(np.log2(n))]))))
+            out.append((langs[i], score, bool(score < 1 - bars[langs[i]][int(np.log2(n))])))
     return out
 
 
@@ -177,8 +209,8 @@ def predict(docs: DataFrame, model: LangModel, keep: list[str], text: str = "tex
 
     A null text or one without letters is ``und`` with score 0 and is rejected.  Otherwise the
     nearest centroid names the language, ties going to the first by name; ``score`` is the cosine,
-    not below 0.  ``rejected`` marks texts farther from every centroid than any text of like length
-    was in training: the cosine is under ``share`` of the smallest one seen.  Texts shorter than all
+    not below 0.  ``rejected`` marks texts farther from every centroid than nearly all labelled
+    texts of that language and like length: the cosine is under their ``quantile``.  Texts shorter than all
     in training are not rejected, as nothing tells how far those may be; nor is any by a model that
     knows no language, which calls all ``und``.  Columns of ``keep`` with the names of results give
     way to these.

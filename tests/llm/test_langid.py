@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from quaero.llm import langid, queries
 
@@ -69,6 +70,16 @@ def test_far_texts_are_rejected(make):
         1: ("aa", False), 2: ("aa", True), 3: ("und", True), 4: ("und", True)}
 
 
+@pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
+def test_a_language_without_labels_is_rejected_and_others_stay(spark, left_out):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents").filter("length(text) >= 500")
+    model = langid.fit(docs.filter(f"lang <> '{left_out}'"))
+    assert left_out not in model.langs
+    rows = langid.predict(docs, model, ["lang"]).collect()
+    assert np.mean([r.rejected for r in rows if r.lang == left_out]) >= 0.8
+    assert np.mean([r.rejected for r in rows if r.lang != left_out]) <= 0.01
+
+
 def test_odd_rows_and_empty_tables(make, odd_rows):
     docs = make(odd_rows)
     model = langid.fit(docs)
