@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 class EditParams:
     error_share: float = 0.1     # edits per character of an item
     whole_pieces: int = 2        # pieces that must occur unchanged before a distance is computed
-    min_chars: int = 20          # shorter items, in their plain form, match nothing
+    min_chars: int = 20          # shorter items, in their plain form, match unchanged, as whole words
     block_chars: int = 1 << 23   # characters of items that are sent to the tasks at once
 
 
@@ -109,11 +109,15 @@ class Finder:
 
     def __init__(self, items: list[tuple], params: EditParams):
         self.items = []
+        self.short = []
         self.need = max(1, params.whole_pieces)
         found: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
             item = plain(text)
-            if len(item) < max(1, params.min_chars):
+            if not item:
+                continue
+            if len(item) < params.min_chars:
+                self.short.append((key, f" {item} "))
                 continue
             k = budget(len(item), params.error_share)
             for at, piece in cut(item, min(len(item), k + self.need)):
@@ -150,7 +154,14 @@ class Finder:
     def matches(self, text: str | None) -> Iterator[tuple]:
         """(item key, distance, start, end) of the best match of each item that occurs in the text."""
         t = plain(text)
-        if not t or not self.items:
+        if not t:
+            return
+        if self.short:
+            words = f" {t} "
+            for key, item in self.short:
+                if (at := words.find(item)) >= 0:
+                    yield key, 0, at, at + len(item) - 2
+        if not self.items:
             return
         for i, parts in sorted(self.windows(t).items()):
             key, item, k = self.items[i]
@@ -184,7 +195,8 @@ def find_items(docs: DataFrame, items: DataFrame, params: EditParams = EditParam
     """``doc, item, distance, start, end`` for every document row and item that occurs in its text.
 
     An item occurs if some part of the text is at most ``error_share`` of its length away by edit
-    distance, both in plain form (see `plain`); the row names the closest such part, the first on
+    distance, both in plain form (see `plain`); items under ``min_chars`` occur only unchanged, as
+    whole words.  The row names the closest such part, the first on
     ties, by places in the plain text.  Null and empty texts and items match nothing.  Repeated
     rows give repeated results.  Other columns are not read.  Each block of items is one pass over
     the documents, without a shuffle.

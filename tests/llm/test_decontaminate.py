@@ -95,6 +95,15 @@ def test_replaced_words_and_changed_punctuation_are_found(spark, make):
     assert all(found[100 + i, i] == 0 for i, _ in items)
 
 
+def test_short_items_match_as_whole_words(spark, make):
+    items = make([(1, "Who am I?"), (2, "zzz"), (3, "?!")], "item_id long, text string")
+    docs = make([(1, "so who, am i: they said", None, None, None), (2, "who am in", None, None, None), (3, "zzzz ?!", None, None, None),
+                 (4, "zzz", None, None, None)])
+    found = {(r.doc, r.item, r.distance, r.start, r.end) for r in d.find_items(docs, items).collect()}
+    assert found == {(1, 1, 0, 3, 11), (4, 2, 0, 0, 3)}
+    assert {r.doc_id for r in d.drop_contaminated(docs, items).collect()} == {2, 3}
+
+
 def test_registered_query_against_substrings(spark):
     found = {(r.doc_id, r.item_id) for r in queries.op6_decontamination(spark, SMALL).collect()}
     docs = queries.table(spark, SMALL, "documents").collect()
