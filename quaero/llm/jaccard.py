@@ -17,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from quaero.llm import codes
-from quaero.llm.joins import components, first_of, join_counted, link_report, map_groups
+from quaero.llm.joins import HEAVY, components, first_of, join_counted, link_report, map_groups
 from quaero.sources.workdir import run_dir, staged
 
 _TWO64 = float(2**64)
@@ -36,10 +36,10 @@ class JaccardParams:
     depth: int = 3             # levels of splitting; what is still large then is compared in blocks
     bins: int = 128            # bytes of the sketch
     sketch_bar: float = 0.62   # five standard errors (0.035) below a similarity of 0.8
-    block: int = 2048          # sets in one block of a large node
-    block_words: int = 1 << 20  # n-grams in one block of a candidate group
-    share_rows: int = 256       # sets from which a node or group is cut into blocks, for more tasks,
-    share_blocks: int = 8       # so many at most on that account
+    part: int = 512            # sets of a large node that are compared first
+    block: int = 2048          # sets in one block of a node that is compared across such parts
+    block_words: int = 1 << 20  # n-grams in one block of a candidate group,
+    block_rows: int = 512       # and sets
 
     @property
     def runs(self) -> int:
@@ -108,61 +108,110 @@ def paths(s: np.ndarray, p: JaccardParams) -> list[tuple[np.ndarray, np.ndarray]
     return levels
 
 
-def stars(close: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node tied to it) for the links between ``a`` and ``b``; only nodes with links."""
-    label_a, label_b = a.copy(), b.copy()
-    i, j = np.nonzero(close)
+def fold(nodes: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node tied to it) for the edges between ``nodes`` and ``roots``; a root is not listed."""
+    names, at = np.unique(np.concatenate((nodes, roots)), return_inverse=True)
+    i, j = at[:len(nodes)], at[len(nodes):]
+    label = np.arange(len(names))
     while True:
-        old = label_a.copy(), label_b.copy()
-        low = np.minimum(label_a[i], label_b[j])
-        np.minimum.at(label_a, i, low)
-        np.minimum.at(label_b, j, low)
-        if (old[0] == label_a).all() and (old[1] == label_b).all():
+        old = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (old == label).all():
             break
-    nodes, roots = np.concatenate((a, b)), np.concatenate((label_a, label_b))
-    tied = nodes != roots
-    return nodes[tied], roots[tied]
+    tied = label != np.arange(len(names))
+    return names[tied], names[label[tied]]
 
 
-def _alike(x: np.ndarray, y: np.ndarray, bar: float) -> np.ndarray:
-    """Which sketches of ``x`` and ``y`` suggest a similarity of at least ``bar``."""
-    out = np.zeros((len(x), len(y)), bool)
+def _alike(row: np.ndarray, y: np.ndarray, bar: float) -> np.ndarray:
+    """Which sketches of ``y`` suggest a similarity of at least ``bar`` to the sketch ``row``."""
     used = y > 0
-    for i, row in enumerate(x):
-        same = ((y == row) & used).sum(axis=1)
-        out[i] = same >= bar * np.maximum(1, (used | (row > 0)).sum(axis=1))
-    return out
+    same = ((y == row) & used).sum(axis=1)
+    return same >= bar * np.maximum(1, (used | (row > 0)).sum(axis=1))
+
+
+def tie(x: np.ndarray, labels: np.ndarray, bar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that tie the labels of rows with like sketches; rows that are tied already are not compared.
+
+    Rows are reached wave by wave, and a wave looks only at rows that no wave has reached, so a group
+    of copies costs one comparison a row, not one a pair.
+    """
+    ends: list[tuple[int, int]] = []
+    left = np.arange(len(x))
+    while len(left):
+        first = labels[left[0]]
+        own = labels[left] == first
+        wave, left = left[own], left[~own]
+        while len(wave) and len(left):
+            hit = np.zeros(len(left), bool)
+            for i in wave:
+                apart = np.flatnonzero(~hit)
+                if not len(apart):
+                    break
+                hit[apart[_alike(x[i], x[left[apart]], bar)]] = True
+            met = np.unique(labels[left[hit]])
+            ends += [(first, m) for m in met.tolist()]
+            reached = np.isin(labels[left], met)
+            wave, left = left[reached], left[~reached]
+    pairs = np.array(ends, np.int64).reshape(-1, 2)
+    return pairs[:, 1], pairs[:, 0]
+
+
+def tie_across(x: np.ndarray, labels: np.ndarray, y: np.ndarray, others: np.ndarray, bar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the labels of two blocks; rows whose labels are tied already are not compared."""
+    labels, others = labels.copy(), others.copy()
+    ends: list[tuple[int, int]] = []
+    for i in range(len(x)):
+        apart = np.flatnonzero(others != labels[i])
+        if not len(apart):
+            continue
+        met = np.unique(others[apart[_alike(x[i], y[apart], bar)]])
+        if len(met):
+            ends += [(m, labels[i]) for m in met.tolist()]
+            others[np.isin(others, met)] = labels[i]
+            labels[np.isin(labels, met)] = labels[i]
+    pairs = np.array(ends, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 _EDGE = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+_FOLD = 1 << 18  # edges that a task folds before it hands them on
 
 
 def _meet(p: JaccardParams):
-    """Compare the sets of a node, or of two blocks of a node, by their sketches."""
+    """Tie the sets of a node, or of two blocks of a node, by their sketches; edges of a task are folded."""
+
+    def edges(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(b"".join(g["sketch"].to_pylist()), np.uint8).reshape(g.num_rows, p.bins)
+        label, side = g["label"].to_numpy(), g["side"].to_numpy()
+        if (side == 2).all():
+            return tie(x, label, p.sketch_bar)
+        a, b = side == 0, side == 1
+        return tie_across(x[a], label[a], x[b], label[b], p.sketch_bar)
 
     def task(groups: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        found = [(np.empty(0, np.int64),) * 2]
+        held = 0
         for g in groups:
-            rows = g["row"].to_numpy()
-            if len(rows) < 2:
-                continue
-            x = np.frombuffer(b"".join(g["sketch"].to_pylist()), np.uint8).reshape(len(rows), p.bins)
-            side = g["side"].to_numpy()
-            a, b = (side != 1), (side != 0)  # 2: both sides
-            node, root = stars(_alike(x[a], x[b], p.sketch_bar), rows[a], rows[b])
-            if len(node):
+            if g.num_rows > 1:
+                found.append(edges(g))
+                held += len(found[-1][0])
+            if held > _FOLD:
+                node, root = fold(*map(np.concatenate, zip(*found)))
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], schema=_EDGE)
+                found, held = found[:1], 0
+        node, root = fold(*map(np.concatenate, zip(*found)))
+        if len(node):
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], schema=_EDGE)
 
     return task
 
 
-def _block_count(full: Column, rows: Column, p: JaccardParams) -> Column:
-    """Blocks for what fills ``full`` of them; more, up to ``share_blocks``, so that many tasks share."""
-    return F.greatest(F.ceil(full), F.least(F.ceil(rows / p.share_rows), F.lit(p.share_blocks))).cast("long")
-
-
 def _blocked(rows: DataFrame, key: str, id_: str, blocks: str) -> DataFrame:
     """Each row once for every block that its own meets: ``pair`` names the two, ``side`` its side."""
-    own = F.pmod(F.xxhash64(id_), F.col(blocks))
+    own = F.pmod(F.xxhash64(key, id_), F.col(blocks))
     rows = rows.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)))
     side = F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1)
     return (rows.withColumn("pair", F.concat_ws("/", F.col(key), F.least("_b", "_o"), F.greatest("_b", "_o")))
@@ -217,7 +266,8 @@ def _verify(p: JaccardParams):
             if (side != 2).all():  # two blocks: each link shows once
                 links[b] += close.T @ copies[a]
             root = rows.copy()
-            node, low = stars(close, rows[a], rows[b])
+            i, j = np.nonzero(close)
+            node, low = fold(rows[a][i], rows[b][j])
             place = np.searchsorted(rows, node)
             np.minimum.at(root, place, low)
             some = links > 0
@@ -252,8 +302,16 @@ def _signatures(docs: DataFrame, p: JaccardParams, key: str, text: str) -> DataF
 
 
 def _candidates(reps: DataFrame, p: JaccardParams, folder: str) -> DataFrame:
-    """Star edges between sets that meet in some node and have like sketches."""
-    edges = None
+    """``node, root``: candidate groups, tied by sets that meet in some node and have like sketches.
+
+    Nodes that stay large are compared within blocks first, and those blocks differ from node to
+    node.  Only nodes whose sets do not lie in one group by then are compared across blocks, and
+    there only sets of different groups.  So near copies, which meet in every node that one of them
+    goes to, cost a row each and node, not one for each block.
+    """
+    sketches = reps.select("row", "sketch")
+    form = "node long, root long"
+    found = None
     inner = None  # large nodes of the level above
     for level in range(1, p.depth + 1):
         if level == 1:
@@ -263,19 +321,35 @@ def _candidates(reps: DataFrame, p: JaccardParams, folder: str) -> DataFrame:
             split = split.select("row", F.col("x.p").alias("parent"), F.col("x.n").alias("node"))
             at = staged(join_counted(split, inner, "parent", "n").select("row", "node"), f"level-{level}", folder)
         counts = staged(at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), f"nodes-{level}", folder)
-        few = counts.filter(F.col("n") <= p.small)
-        met = at.join(few, "node").join(reps.select("row", "sketch"), "row").select(
-            F.col("node").cast("string").alias("pair"), "row", "sketch", F.lit(2).alias("side"))
-        found = map_groups(met, "pair", _meet(p), "node long, root long")
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        # The largest nodes are fewer than HEAVY; their sets leave before the rest is shuffled by node.
+        light = at.join(F.broadcast(counts.filter((F.col("n") > p.small) & (F.col("n") > total // HEAVY))), "node", "left_anti")
+        met = light.join(counts.filter(F.col("n") <= p.small), "node").join(sketches, "row").select(
+            F.col("node").cast("string").alias("pair"), "row", "sketch", F.lit(2).alias("side"), F.col("row").alias("label"))
+        edges = map_groups(met, "pair", _meet(p), form)
+        found = edges if found is None else found.unionByName(edges)
         inner = counts.filter(F.col("n") > p.small).withColumnRenamed("node", "parent")
-        if level == p.depth:
-            blocks = _block_count(F.col("n") / p.block, F.col("n"), p)
-            many = inner.select(F.col("parent").alias("node"), "n", blocks.alias("blocks"))
-            met = join_counted(at, many, "node", "n").join(reps.select("row", "sketch"), "row")
-            met = _blocked(met, "node", "row", "blocks").select("pair", "row", "sketch", "side")
-            found = found.unionByName(map_groups(met, "pair", _meet(p), "node long, root long"))
-        edges = found if edges is None else edges.unionByName(found)
-    return staged(edges.distinct(), "edges", folder)
+
+    many = inner.withColumnRenamed("parent", "node")
+    held = staged(join_counted(at, many, "node", "n"), "large", folder)
+    part = F.pmod(F.xxhash64("node", "row"), F.ceil(F.col("n") / p.part))
+    met = held.join(sketches, "row").select(
+        F.concat_ws("/", "node", part).alias("pair"), "row", "sketch", F.lit(2).alias("side"), F.col("row").alias("label"))
+    edges = staged(found.unionByName(map_groups(met, "pair", _meet(p), form)).distinct(), "edges", folder)
+    groups = staged(components(edges, "node", "root", folder, "near"), "near", folder)
+
+    label = F.coalesce("root", "row").alias("label")
+    held = staged(held.filter(F.col("n") > p.part).join(groups.withColumnRenamed("node", "row"), "row", "left")
+                  .select("node", "n", "row", label), "labelled", folder)
+    mixed = staged(held.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"))
+                   .filter("least < most").withColumn("blocks", F.ceil(F.col("n") / p.block).cast("long"))
+                   .select("node", "n", "blocks"), "mixed", folder)
+    if mixed.isEmpty():
+        return groups
+    met = join_counted(held.drop("n"), mixed, "node", "n").join(sketches, "row")
+    met = _blocked(met, "node", "row", "blocks").select("pair", "row", "sketch", "side", "label")
+    across = staged(map_groups(met, "pair", _meet(p), form).distinct(), "across", folder)
+    return components(groups.filter("node <> root").unionByName(across), "node", "root", folder, "groups")
 
 
 def jaccard_classes(docs: DataFrame, params: JaccardParams = JaccardParams(), key: str = "doc_id",
@@ -297,14 +371,18 @@ def jaccard_classes(docs: DataFrame, params: JaccardParams = JaccardParams(), ke
         F.min("row").alias("row"), F.count("*").alias("copies"), F.min(first_of()).alias("first")), "classes", folder)
     reps = staged(rows.drop("id", "digest").join(classes.select("row", "copies"), "row"), "reps", folder)
 
-    groups = components(_candidates(reps, p, folder), "node", "root", folder, "groups")
+    groups = _candidates(reps, p, folder)
     members = staged(groups.withColumnRenamed("node", "row").join(rows.select("row", "id", "digest", "size"), "row"),
                      "members", folder)
     sizes = staged(members.groupBy("root").agg(
-        _block_count(F.sum("size") / p.block_words, F.count("*"), p).alias("blocks"), F.count("*").alias("n")), "sizes", folder)
+        F.greatest(F.ceil(F.sum("size") / p.block_words), F.ceil(F.count("*") / p.block_rows)).cast("long").alias("blocks"),
+        F.count("*").alias("n")), "sizes", folder)
     members = join_counted(members, sizes, "root", "n").join(reps.select("row", "copies"), "row")
-    texts = docs.select(F.col(key).alias("_id"), F.md5(F.col(text)).alias("_digest"), F.col(text).alias("_text"))
-    members = members.join(texts, F.expr("_id <=> id AND _digest = digest")).select("row", "root", "blocks", "copies", "_text")
+    members = staged(members.select("digest", "id", "row", "root", "blocks", "copies"), "sized", folder)
+    # A text that many rows repeat stays where it is until one of them is left.
+    texts = docs.select(F.col(key).alias("_id"), F.md5(F.col(text)).alias("digest"), F.col(text).alias("_text"))
+    members = join_counted(texts, members, "digest", "copies").filter("_id <=> id").groupBy(
+        "row", "root", "blocks", "copies").agg(F.first("_text").alias("_text"))
 
     def tokens(batches):
         for batch in batches:

@@ -53,7 +53,7 @@ def corpus(groups=8, near=12, lone=20):
     return texts
 
 
-@pytest.mark.parametrize("p", [JaccardParams(), JaccardParams(small=4, block=8, block_words=500), JaccardParams(share_rows=3)])
+@pytest.mark.parametrize("p", [JaccardParams(), JaccardParams(small=4, block=8, block_words=500), JaccardParams(small=4, part=5, block=8, block_rows=3)])
 def test_links_match_brute_force(make, p):
     texts = corpus()
     docs = make([(i, t, None, None, None) for i, t in enumerate(texts)])
@@ -89,6 +89,68 @@ def test_empty_table(make):
     assert jaccard.drop_near_duplicates(make([])).count() == 0
 
 
+def near_copies(n):
+    """Copies of one text with up to two words changed."""
+    r = random.Random(3)
+    base = prose(4, 120).split()
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_edges_of_a_hot_group(make, spark, monkeypatch):
+    """A group that meets in every node costs at most a row a node and set, however many blocks it fills."""
+    texts = near_copies(700) + [prose(100 + i, 60) for i in range(50)]
+    seen = {}
+    write = jaccard.staged
+
+    def counting(df, name, folder=None):
+        out = write(df, name, folder)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counting)
+    p = JaccardParams(part=64, block=128, block_rows=128)
+    found = {r.id: r for r in jaccard.jaccard_classes(make([(i, t, None, None, None) for i, t in enumerate(texts)]), p).collect()}
+    assert [(found[i].n_links, found[i].class_id) for i in range(len(texts))] == brute(texts)
+    assert 0 < seen["edges"] <= seen["large"] + 750
+    assert seen["mixed"] <= 5
+
+
+def test_many_repeated_rows(make, spark):
+    a, b = near_copies(2)
+    rows = [(1, a, None, None, None)] * 3000 + [(2, b, None, None, None)]
+    found = jaccard.jaccard_classes(make(rows))
+    got = Counter((r.id, r.n_links, r.class_id, r.kept) for r in found.collect())
+    assert got == Counter({(1, 3000, 1, False): 2999, (1, 3000, 1, True): 1, (2, 3000, 1, False): 1})
+
+
+def test_ties_leave_no_link_out():
+    r = random.Random(2)
+    import numpy as np
+
+    x = np.array([[r.randint(1, 3) for _ in range(12)] for _ in range(60)], np.uint8)
+    like = {(i, j) for i in range(60) for j in range(60) if i != j and (x[i] == x[j]).sum() >= 0.6 * 12}
+    root = list(range(60))
+    for _ in range(60):
+        for i, j in like:
+            root[i] = root[j] = min(root[i], root[j])
+    labels = np.arange(60)
+    node, low = jaccard.fold(*jaccard.tie(x, labels, 0.6))
+    got = dict(zip(node.tolist(), low.tolist()))
+    assert [got.get(i, i) for i in range(60)] == root
+    parts = [jaccard.tie(x[:30], labels[:30], 0.6), jaccard.tie(x[30:], labels[30:], 0.6),
+             jaccard.tie_across(x[:30], labels[:30], x[30:], labels[30:], 0.6)]
+    node, low = jaccard.fold(*map(np.concatenate, zip(*parts)))
+    got = dict(zip(node.tolist(), low.tolist()))
+    assert [got.get(i, i) for i in range(60)] == root
+    assert len(jaccard.tie(np.ones((500, 12), np.uint8), np.arange(500), 0.6)[0]) == 499
+
+
 def test_components_of_chains_and_hubs(spark, folder):
     r = random.Random(1)
     chain = [(i, i + 1) for i in range(1000, 1060)]
