@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,6 +27,30 @@ def join_counted(rows: DataFrame, keys: DataFrame, key: str, count: str) -> Data
     return rows.join(heavy, key).unionByName(rest.join(light, key))
 
 
+class Sieve:
+    """Which 64-bit hashes may be among those of a table: a bit for each of ``bits`` ranges of them.
+
+    Its size is fixed, so it may be broadcast whatever the table holds.  It lets some others
+    through, more as the table grows, and keeps back none of the table's own.
+    """
+
+    def __init__(self, rows: pa.Table, bits: int):
+        self.shift = np.uint64(64 - (bits.bit_length() - 1))
+        self.map = np.zeros(bits >> 6, np.uint64)
+        self.map[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        at = h.view(np.uint64) >> self.shift
+        return (self.map[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def sieve(rows: DataFrame, h: str, bits: int = 1 << 24) -> Sieve:
+    """The sieve of the hashes in the column ``h``; at most ``bits / 64`` rows reach the driver."""
+    at = F.shiftrightunsigned(h, 64 - (bits.bit_length() - 1)).alias("at")
+    slots = rows.select(at).selectExpr("shiftright(at, 6) AS slot", "shiftleft(1L, cast(at & 63 AS int)) AS bit")
+    return Sieve(slots.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow(), bits)
+
+
 def map_groups(rows: DataFrame, key: str, task: Callable[[Iterator[pa.Table]], Iterator[pa.RecordBatch]],
                schema: str, order: tuple[str, ...] = ()) -> DataFrame:
     """Run ``task`` over the groups of ``key``, many groups to a task, one whole group in memory.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaero.llm import bpe, decontaminate, hmm, jaccard, langid, neardup, packing, quality, secrets, warc
+from quaero.llm import bpe, decontaminate, hmm, jaccard, langid, mainline, neardup, packing, quality, rangemax, secrets, stripes, warc
 from quaero.sources.workdir import staged
 
 
@@ -72,6 +72,19 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+def op11_ranked_search(spark, sf_dir):
+    found = rangemax.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+def op12_html_extraction(spark, sf_dir):
+    return mainline.extract_articles(table(spark, sf_dir, "pages")).withColumnRenamed("key", "page_id")
+
+
+def op13_collocations(spark, sf_dir):
+    return stripes.collocations(table(spark, sf_dir, "documents")).withColumnRenamed("grp", "lang")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_jaccard_join": op2_jaccard_join,
@@ -83,6 +96,9 @@ QUERIES = {
     "op8_embedding_near_dup": op8_embedding_near_dup,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -135,4 +151,46 @@ root as (select a, min(b) as low from reach group by all)
 select vec_id, (select count(*) from links where links.a = vec_id)::bigint as n_links,
     least(vec_id, coalesce(low, vec_id)) as component_id, vec_id <= coalesce(low, vec_id) as kept
 from embeddings left join root on a = vec_id""",
+    "op11_ranked_search": r"""
+with t as (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+d as (select doc_id, term, count(*) as tf from t group by all),
+n as (select doc_id, sum(tf)::bigint as n from d group by all),
+g as (select count(*) as docs, sum(n)::bigint as l from n),
+f as (select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::double))::bigint as w from d, g group by term),
+i as (
+    select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+s as (
+    select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // l)))))::bigint as score
+    from i join f using (term) join d using (term) join n using (doc_id), g group by all)
+select item_id, rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0)
+where rank <= 10""",
+    "op13_collocations": r"""
+with p as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+at as (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, (select unnest([1, 2, 3, 4, 5]) as m)),
+f as (
+    select lang, m, w[i:i + m - 1] as ws, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f from at
+    group by all having f >= 100 or m = 1),
+total as (select lang, sum(f)::hugeint as n from f where m = 1 group by lang),
+c as (select * from f where m > 1),
+inner_ as (
+    select lang, array_to_string(ws[i:i + k - 1], ' ') as phrase, max(f) as most
+    from (select *, unnest(range(1, m - k + 2)) as i from (select *, unnest(range(2, m)) as k from c)) group by all),
+kept as (select c.* from c left join inner_ using (lang, phrase) where most is null or 100 * most < 100 * f),
+cuts as (
+    select lang, phrase, f, k, array_to_string(ws[1:k], ' ') as a, array_to_string(ws[k + 1:m], ' ') as b
+    from (select *, unnest(range(1, m)) as k from kept)),
+s as (
+    select cuts.lang, cuts.phrase, cuts.f, n, x.f as l, y.f as r, k, (1000::hugeint * cuts.f * n) // (x.f::hugeint * y.f) as score
+    from cuts join f x on x.lang = cuts.lang and x.phrase = a join f y on y.lang = cuts.lang and y.phrase = b
+    join total on total.lang = cuts.lang),
+best as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, rank::int as rank, phrase, f::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, f desc, phrase) as rank from best) where rank <= 2000""",
 }
