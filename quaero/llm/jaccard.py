@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from quaero.llm import codes
-from quaero.llm.joins import HEAVY, components, first_of, join_counted, link_report, map_groups
+from quaero.llm.joins import HEAVY, components, first_of, join_counted, link_report, map_groups, sieve
 from quaero.sources.workdir import run_dir, staged
 
 _TWO64 = float(2**64)
@@ -276,6 +276,22 @@ def _verify(p: JaccardParams):
     return task
 
 
+def _once(shared):
+    """The texts that members of candidate groups may have, each once in a task however many rows repeat it."""
+
+    def run(batches):
+        seen = np.empty(0, np.int64)
+        for batch in batches:
+            h = batch.column(3).to_numpy()
+            first = np.zeros(len(h), bool)
+            first[np.unique(h, return_index=True)[1]] = True
+            first &= shared.value.holds(h) & ~np.isin(h, seen)
+            seen = np.concatenate((seen, h[first]))
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["_id", "digest", "_text"]).filter(pa.array(first))
+
+    return run
+
+
 def _signatures(docs: DataFrame, p: JaccardParams, key: str, text: str) -> DataFrame:
     """One narrow row per document: digest of the text, sketch, and the nodes of every level."""
     names = [f"{kind}{d}" for d in range(1, p.depth + 1) for kind in ("p", "n")]
@@ -309,7 +325,7 @@ def _candidates(reps: DataFrame, p: JaccardParams, folder: str) -> DataFrame:
     there only sets of different groups.  So near copies, which meet in every node that one of them
     goes to, cost a row each and node, not one for each block.
     """
-    sketches = reps.select("row", "sketch")
+    sketches = reps.select("row", "sketch").hint("merge")
     form = "node long, root long"
     found = None
     inner = None  # large nodes of the level above
@@ -339,7 +355,7 @@ def _candidates(reps: DataFrame, p: JaccardParams, folder: str) -> DataFrame:
     groups = staged(components(edges, "node", "root", folder, "near"), "near", folder)
 
     label = F.coalesce("root", "row").alias("label")
-    held = staged(held.filter(F.col("n") > p.part).join(groups.withColumnRenamed("node", "row"), "row", "left")
+    held = staged(held.filter(F.col("n") > p.part).join(groups.withColumnRenamed("node", "row").hint("merge"), "row", "left")
                   .select("node", "n", "row", label), "labelled", folder)
     mixed = staged(held.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"))
                    .filter("least < most").withColumn("blocks", F.ceil(F.col("n") / p.block).cast("long"))
@@ -369,19 +385,23 @@ def jaccard_classes(docs: DataFrame, params: JaccardParams = JaccardParams(), ke
     rows = staged(_signatures(docs, p, key, text), "rows", folder)
     classes = staged(rows.filter("size > 0").groupBy("digest").agg(
         F.min("row").alias("row"), F.count("*").alias("copies"), F.min(first_of()).alias("first")), "classes", folder)
-    reps = staged(rows.drop("id", "digest").join(classes.select("row", "copies"), "row"), "reps", folder)
+    # Sides that grow with the documents are merged, never broadcast, so that plans are alike at every size.
+    reps = staged(rows.drop("id", "digest").hint("merge").join(classes.select("row", "copies"), "row"), "reps", folder)
 
     groups = _candidates(reps, p, folder)
-    members = staged(groups.withColumnRenamed("node", "row").join(rows.select("row", "id", "digest", "size"), "row"),
+    members = staged(groups.withColumnRenamed("node", "row").hint("merge").join(rows.select("row", "id", "digest", "size"), "row"),
                      "members", folder)
     sizes = staged(members.groupBy("root").agg(
         F.greatest(F.ceil(F.sum("size") / p.block_words), F.ceil(F.count("*") / p.block_rows)).cast("long").alias("blocks"),
         F.count("*").alias("n")), "sizes", folder)
-    members = join_counted(members, sizes, "root", "n").join(reps.select("row", "copies"), "row")
+    members = join_counted(members, sizes, "root", "n").join(reps.select("row", "copies").hint("merge"), "row")
     members = staged(members.select("digest", "id", "row", "root", "blocks", "copies"), "sized", folder)
-    # A text that many rows repeat stays where it is until one of them is left.
+    mark = lambda i, d: F.xxhash64(F.col(i).cast("string"), d).alias("h")
+    shared = docs.sparkSession.sparkContext.broadcast(sieve(members.select(mark("id", "digest")), "h"))
     texts = docs.select(F.col(key).alias("_id"), F.md5(F.col(text)).alias("digest"), F.col(text).alias("_text"))
-    members = join_counted(texts, members, "digest", "copies").filter("_id <=> id").groupBy(
+    texts = texts.withColumn("h", mark("_id", "digest")).mapInArrow(
+        _once(shared), f"_id {docs.schema[key].dataType.simpleString()}, digest string, _text string")
+    members = members.hint("merge").join(texts, "digest").filter("_id <=> id").groupBy(
         "row", "root", "blocks", "copies").agg(F.first("_text").alias("_text"))
 
     def tokens(batches):
