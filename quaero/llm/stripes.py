@@ -2,8 +2,8 @@
 
 Tasks count stripes (prefix → {next word: occurrences}) over their own texts; stripes of a prefix
 are merged element by element.  A merged stripe holds all that the scores need: its entries are the
-occurrences of the phrases one word longer, its total is the prefix's own (a word at the end of a
-piece is followed by a mark), and its largest entry tells whether a longer phrase subsumes the prefix.
+occurrences of the phrases one word longer, and its largest entry tells whether a longer phrase
+subsumes the prefix.  The stripe of the empty prefix has the words, and its total is their number.
 
 Stripes grow by a word from pass to pass.  A phrase can only be frequent if the phrases it holds are,
 so a pass counts only where a filter of fixed size has both phrases one word shorter.  What the filter
@@ -26,8 +26,7 @@ from quaero.llm.joins import Sieve, sieve
 from quaero.sources.workdir import run_dir, staged
 
 # What parts pieces, what parts words.
-_PIECE = "[.,;:!?\n\x0b\x0c\r]+"
-_SPACE = "[ \t]+"
+_KIND = words.table(space=b" \t", mark=b".,;:!?\n\x0b\x0c\r")
 _CUT = re.compile("[ \t.,;:!?\n\x0b\x0c\r]")
 _BLANK = pa.scalar(" ", pa.large_string())
 _END = "\n"  # follows the last word of a piece; no word holds it
@@ -40,25 +39,26 @@ class PhraseParams:
     best: int = 2000            # phrases returned for a group
     filter_bits: int = 1 << 24  # of the filter that is broadcast: 2 MB, whatever the input
     hold: int = 400_000         # entries that a task merges before it hands stripes on
-    spread: int = 32            # parts of the stripe of a word, dealt by the next word; longer prefixes have fewer
+    spread: int = 32            # parts of the stripe of a word, dealt by the next word; longer prefixes have fewer,
+    words: int = 8192           # the empty prefix, whose stripe is the vocabulary, more
 
 
 def _tokens(texts: list[str], carry: int) -> Iterator[tuple[np.ndarray, pa.Array, int]]:
     """(numbers of the words, the words, how many were there before) for parts of the texts.
 
-    Word 0 is the end of a piece.  A text that goes on in the next part hands its last words on.
+    Number 0 is the end of a piece.  A text that goes on in the next part hands its last words on.
     """
     carried: list[str] = []
     for bundle in words.bundles(texts, _CUT):
-        whole = pa.array([p + _END if last else p for _, p, last in bundle], pa.large_string())
-        marked = pc.replace_substring_regex(pc.ascii_lower(whole), _PIECE, f" {_END} ")
-        flat = pc.split_pattern_regex(marked, _SPACE).flatten()
-        flat = flat.filter(pc.not_equal(flat, ""))
-        flat = pa.concat_arrays([pa.array([_END, *carried], pa.large_string()), flat])
-        coded = flat.dictionary_encode()
-        number = coded.indices.to_numpy()[1:]  # the first only makes the end number 0
+        _, found, marks = words.split([p + _END if last else p for _, p, last in bundle], _KIND, words.LOWER)
+        # The first word only makes the end number 0.
+        coded = pa.concat_arrays([pa.array([_END, *carried], pa.large_string()), found]).dictionary_encode()
+        number = coded.indices.to_numpy()
+        after = np.flatnonzero(np.diff(marks, prepend=0))  # words, or the end, behind a mark
+        number = np.insert(number, after + 1 + len(carried), 0)[1:]
         yield number, coded.dictionary, len(carried)
-        carried = [] if bundle[-1][2] else flat[max(1, len(flat) - carry):].to_pylist()
+        tail = number[max(0, len(number) - carry):]
+        carried = [] if bundle[-1][2] else coded.dictionary.take(pa.array(tail)).to_pylist()
 
 
 def _chain(h: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -73,8 +73,8 @@ def _phrase_hashes(group: str, phrases: pa.Array, size: int) -> np.ndarray:
     return h
 
 
-def count_followers(number: np.ndarray, carried: int, size: int, may: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(where a distinct phrase of ``size`` words starts, its occurrences); of two words, the second may be the end.
+def count_phrases(number: np.ndarray, carried: int, size: int, may: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(where a distinct phrase of ``size`` words starts, its occurrences).
 
     ``may`` tells where a phrase one word shorter starts that may be frequent.
     """
@@ -82,17 +82,16 @@ def count_followers(number: np.ndarray, carried: int, size: int, may: np.ndarray
     ends = np.flatnonzero(number == 0)
     until = np.append(ends, n)[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # words up to the end of the piece
     start = np.arange(max(0, n - size + 1))
-    fits = until[start] >= (size if size > 2 else 1)
-    fits &= start + size - 1 >= carried
+    fits = (until[start] >= size) & (start + size - 1 >= carried)
     if may is not None:
         fits &= may[start] & may[start + 1]
     start = start[fits]
     key = number[start].astype(np.int64)
     many = int(number.max(initial=0)) + 1
     for k in range(1, size):  # numbers of distinct beginnings, so that no two phrases share a key
-        key = key * many + number[start + k]
-        if k < size - 1:
+        if k > 1:
             key = np.unique(key, return_inverse=True)[1]
+        key = key * many + number[start + k]
     _, first, times = np.unique(key, return_index=True, return_counts=True)
     return start[first], times
 
@@ -102,7 +101,7 @@ _ENTRIES = pa.schema([("prefix", pa.large_string()), ("next", pa.large_string())
 
 def _count(p: PhraseParams, size: int, known):
     """Stripes of the texts of a task: ``grp, prefix, part, next, n`` with lists of words and counts."""
-    spread = max(1, p.spread >> 2 * (size - 2))
+    spread = p.words if size == 1 else max(1, p.spread >> 2 * (size - 2))
 
     def stripes(group: str, held: list[pa.Table]) -> pa.RecordBatch:
         merged = _merged(held)
@@ -125,10 +124,10 @@ def _count(p: PhraseParams, size: int, known):
                     h = _chain(h[:len(number) - k], each[number[k:]])
                 may = np.zeros(len(number) + 1, bool)
                 may[:len(h)] = known.value.holds(h)
-            start, times = count_followers(number, carried, size, may)
+            start, times = count_phrases(number, carried, size, may)
             if len(start):
                 each = [vocabulary.take(pa.array(number[start + k])) for k in range(size)]
-                prefix = pc.binary_join_element_wise(*each[:-1], _BLANK) if size > 2 else each[0]
+                prefix = _joined(each[:-1]) if size > 1 else pa.array([""] * len(start), pa.large_string())
                 yield pa.Table.from_arrays([prefix, each[-1], pa.array(times, pa.int64())], schema=_ENTRIES)
 
     def run(batches):
@@ -153,6 +152,10 @@ def _count(p: PhraseParams, size: int, known):
     return run
 
 
+def _joined(each: list) -> pa.Array:
+    return pc.binary_join_element_wise(*each, _BLANK) if len(each) > 1 else each[0]
+
+
 def _merged(tables: list[pa.Table]) -> pa.Table:
     """Counts of equal entries added up."""
     if len(tables) == 1:
@@ -188,8 +191,8 @@ _MERGED = "grp string, prefix string, next string, n long, most long, h long"
 def _merge(p: PhraseParams, size: int):
     """Merge the stripes of each prefix element by element.
 
-    A frequent entry is a row; a row without next word has the total and the largest entry of a
-    stripe, of which only the first is needed for words and only the second for longer prefixes.
+    A frequent entry is a row.  A row without next word has the total of a part of the empty
+    prefix's stripe, or the largest entry of another's.
     """
 
     def run(batches):
@@ -199,21 +202,18 @@ def _merge(p: PhraseParams, size: int):
             flat = pa.table({"grp": table["grp"].combine_chunks().take(row), "prefix": table["prefix"].cast(pa.large_string()).combine_chunks().take(row),
                              "next": lists.flatten().cast(pa.large_string()), "n": table["n"].combine_chunks().flatten()})
             added = flat.group_by(["grp", "prefix", "next"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
-            phrases = added.filter(pc.not_equal(added["next"], _END))
-            often = phrases.filter(pc.greater_equal(phrases["n"], p.least))
-            if size == 2:
-                stripe = added.group_by(["grp", "prefix"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
-                most = pa.array([0] * stripe.num_rows, pa.int64())
-            else:
-                stripe = often.group_by(["grp", "prefix"]).aggregate([("n", "max")])
-                stripe, most = stripe.append_column("n", stripe["n_max"]), stripe["n_max"]
+            often = added.filter(pc.greater_equal(added["n"], p.least))
             for g in pc.unique(often["grp"]).to_pylist():
                 some = often.filter(pc.equal(often["grp"], g))
-                joined = pc.binary_join_element_wise(some["prefix"], some["next"], _BLANK).combine_chunks()
-                h = _phrase_hashes(g, joined, size).view(np.int64)
+                phrases = _joined([some["prefix"], some["next"]] if size > 1 else [some["next"]]).combine_chunks()
+                h = _phrase_hashes(g, phrases, size).view(np.int64)
                 yield _batch(some["grp"], some["prefix"], some["next"], some["n"], None, h)
-            if stripe.num_rows:
-                yield _batch(stripe["grp"], stripe["prefix"], None, stripe["n"], most, None)
+            if size == 1:
+                total = added.group_by(["grp", "prefix"]).aggregate([("n", "sum")])
+                yield _batch(total["grp"], total["prefix"], None, total["n_sum"], None, None)
+            elif size > 2 and often.num_rows:
+                most = often.group_by(["grp", "prefix"]).aggregate([("n", "max")])
+                yield _batch(most["grp"], most["prefix"], None, None, most["n_max"], None)
 
     return run
 
@@ -257,32 +257,30 @@ def collocations(docs: DataFrame, params: PhraseParams = PhraseParams(), group:
     rows = docs.select(F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("grp"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
     known, levels = None, []
-    for size in range(2, p.longest + 1):
+    for size in range(1, p.longest + 1):
         level = merged_stripes(rows, size, p, known, folder)
         levels.append(level)
         if size < p.longest:
             known = sieve(level.filter("next IS NOT NULL"), "h", p.filter_bits)
 
-    totals = levels[0].filter("next IS NULL").groupBy("grp", F.col("prefix").alias("phrase")).agg(F.sum("n").alias("f"))
-    totals = staged(totals, "words", folder)
-    sizes = staged(totals.groupBy("grp").agg(F.sum("f").alias("n")), "sizes", folder)
+    sizes = staged(levels[0].filter("next IS NULL").groupBy("grp").agg(F.sum("n").alias("n")), "sizes", folder)
+    often = levels[0].filter("next IS NOT NULL").select("grp", F.col("next").alias("phrase"), F.col("n").alias("f"))
     phrases, longer = None, None
-    for size, level in enumerate(levels, 2):
+    for size, level in enumerate(levels[1:], 2):
         some = level.filter("next IS NOT NULL").select(
             "grp", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.col("n").alias("f"), F.lit(size).alias("size"))
         # What a phrase subsumes at the same count: its beginning, from the stripe, and its end.
-        ends = some.select("grp", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("phrase"), F.col("f").alias("most"))
         if size > 2:
+            ends = some.select("grp", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("phrase"), F.col("f").alias("most"))
             ends = ends.unionByName(level.filter("next IS NULL").select("grp", F.col("prefix").alias("phrase"), "most"))
             longer = ends if longer is None else longer.unionByName(ends)
         phrases = some if phrases is None else phrases.unionByName(some)
     phrases = staged(phrases, "phrases", folder)
+    kept = phrases
     if longer is not None:
         longer = longer.groupBy("grp", "phrase").agg(F.max("most").alias("most"))
         kept = phrases.join(longer, ["grp", "phrase"], "left").filter("most IS NULL OR most < f").drop("most")
-    else:
-        kept = phrases
-    often = staged(totals.filter(F.col("f") >= p.least).unionByName(phrases.select("grp", "phrase", "f")), "often", folder)
+    often = staged(often.unionByName(phrases.select("grp", "phrase", "f")), "often", folder)
 
     word = F.split("phrase", " ")
     cuts = kept.join(sizes, "grp").select(
@@ -294,6 +292,9 @@ def collocations(docs: DataFrame, params: PhraseParams = PhraseParams(), group:
     big = {c: f"cast({c} AS decimal(18, 0))" for c in ("a", "n", "l", "r")}
     scored = cuts.withColumn("score", F.expr(f"(1000 * {big['a']} * {big['n']}) div ({big['l']} * {big['r']})"))
     least = scored.groupBy("grp", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("x"))
-    ranked = least.select("grp", "phrase", "x.a", "x.l", "x.r", "x.n", "x.score").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), F.desc("a"), "phrase")))
-    return ranked.filter(F.col("rank") <= p.best).select("grp", "rank", "phrase", "a", "l", "r", "n", "score")
+    # In two steps, so that a group with most phrases does not bring them all to one place.
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    ranked = least.select("grp", "phrase", "x.a", "x.l", "x.r", "x.n", "x.score", F.pmod(F.xxhash64("phrase"), F.lit(32)).alias("salt"))
+    for by in (["grp", "salt"], ["grp"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= p.best)
+    return ranked.select("grp", "rank", "phrase", "a", "l", "r", "n", "score")
