@@ -27,8 +27,9 @@ from quaero.llm import words
 from quaero.sources.workdir import run_dir, staged
 
 # What lies between terms; the weights of the score.
-_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-_CUT = re.compile(_BETWEEN)
+_BETWEEN = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
+_KIND = words.table(between=_BETWEEN)
+_CUT = re.compile("[" + re.escape(_BETWEEN.decode()) + "]")
 
 
 @dataclass(frozen=True)
@@ -42,11 +43,8 @@ class RankParams:
 def _terms(texts: list[str]) -> Iterator[tuple[np.ndarray, pa.Array]]:
     """(number of the text of each term, the terms) for parts of the texts."""
     for bundle in words.bundles(texts, _CUT):
-        lists = pc.split_pattern_regex(pc.ascii_lower(pa.array([p for _, p, _ in bundle], pa.large_string())), _BETWEEN + "+")
-        owner = np.repeat([i for i, _, _ in bundle], pc.list_value_length(lists).to_numpy())
-        flat = lists.flatten()
-        some = pc.not_equal(flat, "")
-        yield owner[some.to_numpy(zero_copy_only=False)], flat.filter(some)
+        part, found, _ = words.split([f"{p} " for _, p, _ in bundle], _KIND, words.LOWER)
+        yield np.array([i for i, _, _ in bundle])[part], found
 
 
 def _counts(vocabulary: pa.Array):

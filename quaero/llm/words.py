@@ -54,3 +54,37 @@ def bundles(texts: list[str], cut: re.Pattern, limit: int = PART) -> Iterator[li
                 held, size = [], 0
     if held:
         yield held
+
+
+def split(texts: list[str], kind: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(text of each word, the words, marks before it) of texts that are apart.
+
+    ``kind`` tells of each byte of UTF-8 whether it is of a word (0), between words (1) or a mark
+    between words (2); ``lower`` is what it becomes.  The last count of marks is that of all.
+    """
+    data = [t.encode() for t in texts]
+    size = np.cumsum([len(d) for d in data], dtype=np.int64) if data else np.empty(0, np.int64)
+    whole = np.frombuffer(b"".join(data), np.uint8)
+    kinds = kind[whole]
+    inside = kinds == 0
+    padded = np.zeros(len(whole) + 1, bool)
+    padded[:-1] = inside
+    starts = np.flatnonzero(inside & ~np.concatenate((np.zeros(1, bool), inside[:-1]))) if len(whole) else np.empty(0, np.int64)
+    ends = np.flatnonzero(padded[:-1] & ~padded[1:]) + 1
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends - starts)))
+    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(lower[whole[inside]]))
+    marks = np.concatenate((np.zeros(1, np.int64), np.cumsum(kinds == 2)))
+    return np.searchsorted(size, starts, side="right"), found, np.append(marks[starts], marks[-1])
+
+
+def table(**of: bytes) -> np.ndarray:
+    """A table over all bytes: the number of the group that a byte is in, 0 for none."""
+    out = np.zeros(256, np.uint8)
+    for i, group in enumerate(of.values(), 1):
+        out[list(group)] = i
+    return out
+
+
+# A–Z in lower case, all other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
