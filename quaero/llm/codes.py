@@ -36,12 +36,6 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def pieces(text: str) -> Iterator[str]:
-    """The text in pieces of bounded length."""
-    for at in range(0, len(text), PIECE):
-        yield text[at:at + PIECE]
-
-
 def word_pieces(text: str) -> Iterator[str]:
     """The text in pieces that are cut at white space, so that every word lies in one."""
     at = 0

@@ -20,7 +20,11 @@ class LangParams:
     clusters: int = 4         # centroids per language
     sample: int = 600         # labelled rows per language that the centroids are fitted on, about
     rounds: int = 10
-    quantile: float = 0.005   # of the cosines of labelled rows by language and length; lower ones are rejected
+    starts: int = 4           # of the clustering, the best of which is taken
+    support: float = 0.05     # of its language's fitted rows that a centroid must hold
+    between: float = 0.2      # where the bar lies between the median cosine of other languages and the own one
+    spread: float = 5.0       # without other languages: deviations below the own median
+    rows: int = 20            # of either kind that a length needs for a bar of its own
 
 
 @dataclass(frozen=True)
@@ -35,7 +39,7 @@ class LangModel:
 def gram_counts(text: str | None, bins: int) -> np.ndarray:
     """Counts of the hashed n-grams of one to three letters of the whole text."""
     out = np.zeros(bins, np.int64)
-    for part in codes.pieces(text or ""):
+    for part in codes.word_pieces(text or ""):
         a = codes.words_only(part).astype(np.uint64)
         if not len(a):
             continue
@@ -54,45 +58,80 @@ def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.where(norm == 0, 1, norm)
 
 
-def _cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Unit centroids by cosine; starts from the mean and then the row farthest from all chosen."""
-    first = x[np.argmax(x @ x.mean(axis=0))]
-    centres = [first]
-    near = x @ first
-    while len(centres) < min(k, len(x)):
-        i = int(np.argmin(near))
-        if near[i] > 1 - 1e-9:
-            break
-        centres.append(x[i])
-        near = np.maximum(near, x @ x[i])
-    c = np.array(centres)
-    for _ in range(rounds):
-        own = np.argmax(x @ c.T, axis=1)
-        new = np.array([x[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
-        c = new / np.linalg.norm(new, axis=1, keepdims=True)
-    return c
-
-
-def _bars(counts: dict[tuple[int, int], int], quantile: float) -> list[float]:
-    """Largest distance by length from rows by ``(length, thousandths of the cosine)``, not smaller for
-    shorter texts.  The longest lengths count as one until they hold enough rows for the quantile.
-    Few rows say little of the tail, so n rows lower the cosine by its 1/sqrt(n)."""
+def _cluster(x: np.ndarray, p: LangParams) -> np.ndarray:
+    """Unit centroids by cosine, each with at least ``support`` of the rows.
+
+    Starts are drawn with chances that grow with the distance to those drawn.  A centroid without
+    support, be it of odd rows or of rows with a wrong label, gives its rows to the nearest of the
+    others, among which they are too few to matter.
+    """
+    def rounds(c: np.ndarray) -> np.ndarray:
+        for _ in range(p.rounds):
+            own = np.argmax(x @ c.T, axis=1)
+            new = np.array([x[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
+            c = new / np.linalg.norm(new, axis=1, keepdims=True)
+        return c
+
+    best, value = None, -np.inf
+    for seed in range(p.starts):
+        draw = np.random.default_rng(seed)
+        centres = [x[draw.integers(len(x))]]
+        near = x @ centres[0]
+        while len(centres) < min(p.clusters, len(x)):
+            far = np.clip(1 - near.astype(np.float64), 0, None) ** 2
+            if far.sum() < 1e-12:
+                break
+            centres.append(x[draw.choice(len(x), p=far / far.sum())])
+            near = np.maximum(near, x @ centres[-1])
+        c = rounds(np.array(centres))
+        held = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+        c = rounds(c[held >= min(p.support * len(x), held.max())])
+        total = float((x @ c.T).max(axis=1).sum())
+        if total > value:
+            best, value = c, total
+    return best
+
+
+def _quantile(counts: dict[int, int], share: float) -> float:
+    """The cosine below which ``share`` of the rows lie, from rows by thousandths of it."""
+    left = share * sum(counts.values())
+    for c in sorted(counts):
+        left -= counts[c]
+        if left <= 0:
+            return c / 1000
+    return max(counts) / 1000
+
+
+def _bars(own: dict[int, dict[int, int]], others: dict[int, dict[int, int]], p: LangParams) -> list[float]:
+    """Largest distance by length, from rows by length and thousandths of the cosine, not smaller for shorter texts.
+
+    The bar lies between the medians of the language's own rows and of all others' to its centroids,
+    which a few odd or wrong labels do not move.  Lengths with few rows count together with the next
+    shorter ones.
+    """
     bars = [2.0] * 64
-    lengths = sorted({b for b, _ in counts}, reverse=True)
-    worst, held, unset, pooled = 0.0, [], 63, True
-    for b in lengths:
-        held += [(c, k) for (at, c), k in counts.items() if at == b]
-        n = sum(k for _, k in held)
-        if pooled and n * quantile < 1 and b != lengths[-1]:
+    lowest, upto = 1.0, 64
+    for band in sorted(own, reverse=True):
+        pools = []
+        for side in (own, others):
+            pool: dict[int, int] = {}
+            for at in range(band, upto):
+                for c, n in side.get(at, {}).items():
+                    pool[c] = pool.get(c, 0) + n
+            pools.append(pool)
+        mine, rest = pools
+        enough = sum(mine.values()) >= p.rows and (not others or sum(rest.values()) >= p.rows)
+        if not enough and band != min(own):
             continue
-        seen = 0
-        for c, k in sorted(held):
-            seen += k
-            if seen > quantile * n:
-                break
-        worst = max(worst, 1 - c / 1000 * (1 - n ** -0.5))
-        bars[b:unset + 1] = [worst] * (unset + 1 - b)
-        held, unset, pooled = [], b - 1, False
+        middle = _quantile(mine, 0.5)
+        if others and rest:
+            low = _quantile(rest, 0.5)
+            bar = low + p.between * max(0.0, middle - low)
+        else:  # the distance from the median to the lowest tenth is 1.28 deviations of a normal tail
+            bar = middle - p.spread * (middle - _quantile(mine, 0.1)) / 1.2816 - sum(mine.values()) ** -0.5 / 10
+        lowest = min(lowest, bar)
+        bars[band:upto] = [1 - lowest] * (upto - band)
+        upto = band
     return bars
 
 
@@ -129,8 +168,9 @@ def fit(docs: DataFrame, params: LangParams = LangParams(), key: str = "doc_id",
     if not sizes:
         return LangModel([], np.zeros((0, bins), np.float32), idf, {}, params)
     share = F.create_map(*[F.lit(x) for y, n in sizes.items() for x in (y, params.sample / n)])
-    drawn = F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sampled = rows.filter(drawn < share[F.col("y")])
+    drawn = F.pmod(F.xxhash64(F.col("k").cast("string"), "t"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # Equal texts count once, so neither a key nor a text that many rows repeat fills the sample.
+    sampled = rows.filter(drawn < share[F.col("y")]).groupBy("y", F.md5("t").alias("h")).agg(F.first("t").alias("t"))
 
     def vectors(batches):
         for batch in batches:
@@ -146,7 +186,7 @@ def fit(docs: DataFrame, params: LangParams = LangParams(), key: str = "doc_id",
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "v"])
         x = np.frombuffer(b"".join(group.v), np.float32).reshape(len(group), bins)
-        c = _cluster(x, params.clusters, params.rounds)
+        c = _cluster(x, params)
         return pd.DataFrame({"y": group.y.iloc[0], "c": [r.astype(np.float32).tobytes() for r in c]})
 
     learned = (sampled.select("t", "y").mapInArrow(vectors, "y string, v binary, size long")
@@ -157,8 +197,10 @@ def fit(docs: DataFrame, params: LangParams = LangParams(), key: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(centres.T), idf))
 
     def cosines(batches):
-        """Rows by language, length and thousandths of the cosine, of rows that are nearest to their own label."""
+        """Rows by language, length and thousandths of the cosine: own rows that are nearest to their label, and all others."""
         langs, centres, idf = shared.value
+        names = sorted(set(langs))
+        of = np.array([names.index(x) for x in langs])
         found: dict[tuple, int] = {}
         for batch in batches:
             texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -166,20 +208,24 @@ def fit(docs: DataFrame, params: LangParams = LangParams(), key: str = "doc_id",
                 counts = np.array([gram_counts(t, bins) for t in texts[start:start + 64]])
                 near = vector(counts, idf).astype(np.float32) @ centres
                 for row, n, y in zip(near, counts.sum(axis=1), labels[start:start + 64]):
-                    i = int(np.argmax(row))
-                    if n and langs[i] == y:
-                        at = y, int(np.log2(n)), int(1000 * row[i])
-                        found[at] = found.get(at, 0) + 1
+                    if not n:
+                        continue
+                    nearest = names[of[int(np.argmax(row))]]
+                    for i, name in enumerate(names):
+                        if name != y or nearest == y:
+                            at = name, name == y, int(np.log2(n)), max(0, int(1000 * row[of == i].max()))
+                            found[at] = found.get(at, 0) + 1
         yield pa.RecordBatch.from_pydict(
-            {"y": [a[0] for a in found], "band": [a[1] for a in found], "c": [a[2] for a in found], "n": list(found.values())},
-            schema=pa.schema([("y", pa.string()), ("band", pa.int64()), ("c", pa.int64()), ("n", pa.int64())]))
+            {"y": [a[0] for a in found], "own": [a[1] for a in found], "band": [a[2] for a in found], "c": [a[3] for a in found],
+             "n": list(found.values())},
+            schema=pa.schema([("y", pa.string()), ("own", pa.bool_()), ("band", pa.int64()), ("c", pa.int64()), ("n", pa.int64())]))
 
     # At most some thousand rows per language, whatever the input.
-    tails: dict[str, dict] = {}
-    for r in rows.select("t", "y").mapInArrow(cosines, "y string, band long, c long, n long").groupBy("y", "band", "c").agg(
+    seen: dict[str, tuple[dict, dict]] = {y: ({}, {}) for y in langs}
+    for r in rows.select("t", "y").mapInArrow(cosines, "y string, own boolean, band long, c long, n long").groupBy("y", "own", "band", "c").agg(
             F.sum("n").alias("n")).collect():
-        tails.setdefault(r.y, {})[r.band, r.c] = r.n
-    bars = {y: _bars(tails[y], params.quantile) if y in tails else [2.0] * 64 for y in langs}
+        seen[r.y][0 if r.own else 1].setdefault(r.band, {})[r.c] = r.n
+    bars = {y: _bars(*seen[y], params) for y in langs}
     return LangModel(langs, centres, idf, bars, params)
 
 
@@ -209,8 +255,8 @@ def predict(docs: DataFrame, model: LangModel, keep: list[str], text: str = "tex
 
     A null text or one without letters is ``und`` with score 0 and is rejected.  Otherwise the
     nearest centroid names the language, ties going to the first by name; ``score`` is the cosine,
-    not below 0.  ``rejected`` marks texts farther from every centroid than nearly all labelled
-    texts of that language and like length: the cosine is under their ``quantile``.  Texts shorter than all
+    not below 0.  ``rejected`` marks texts whose cosine is under the bar of that language and like
+    length, which lies ``between`` that of other languages' labelled texts and its own.  Texts shorter than all
     in training are not rejected, as nothing tells how far those may be; nor is any by a model that
     knows no language, which calls all ``und``.  Columns of ``keep`` with the names of results give
     way to these.
@@ -233,7 +279,11 @@ def predict(docs: DataFrame, model: LangModel, keep: list[str], text: str = "tex
 
 
 def drop_unknown(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text `predict` does not reject."""
+    """The rows of ``docs``, all columns as they are, whose text `predict` does not reject.
+
+    Null texts and texts without letters go; repeated rows all stay or all go.  Long texts are read
+    whole.  No column is added, so none clashes; an empty table stays empty.
+    """
     at = docs.columns.index(text)
     shared = _shared(docs, model)
 
