@@ -4,9 +4,12 @@ DataFrame functions only.  A candidate is a long run of encoding characters with
 digits.  Its encoding (hex, base 32, 36, 62, 64) follows from its characters.  Three tests ask
 whether its symbols look drawn at random: chi-squared uniformity over the alphabet, runs above and
 below the middle of the alphabet, correlation of neighbours.  A candidate that fails them jointly
-is structured and never reported.  For the others the same chi-squared statistic is held against
-ordinary text, where it grows with the length; the resulting p-values, strict for long strings and
-weak for short ones, pass Benjamini and Hochberg's step-up rule within strata of like length.
+is structured and never reported.  For the others two of the statistics are held against ordinary
+text: the chi-squared one, which grows with the length there, and the runs of letters, digits and
+capitals, of which ordinary text has few.  The joint p-values, strict for long strings and weak for
+short ones, pass Benjamini and Hochberg's step-up rule within strata of one encoding and like
+length, with Storey's estimate of how many of a stratum's candidates are ordinary text: where
+nothing else looks like an encoding, a short key of it is enough.
 """
 
 from __future__ import annotations
@@ -42,6 +45,9 @@ class SecretParams:
     discovery: float = 0.01      # false-discovery rate within a stratum of lengths
     text_coincidence: float = 0.065  # chance that two characters of ordinary text are equal
     hex_coincidence: float = 0.1     # the same for ordinary runs of hex digits
+    text_changes: float = 0.15       # chance that ordinary text turns from letters to digits, back, or to a capital,
+                                     # or, where it has small letters, has a capital after a capital
+    doubtful: float = 0.05           # p-value against ordinary text above which nothing is reported
 
 
 def _found(text: Column, pattern: str, kind: int) -> Column:
@@ -110,21 +116,46 @@ def _battery(candidates: DataFrame, p: SecretParams) -> DataFrame:
     coincidence = F.when(F.col("encoding") == "hex", p.hex_coincidence).otherwise(p.text_coincidence)
     excess = (F.col("n") - 1) * (F.col("k") * coincidence - 1)
     z_text = (F.col("chi") - df - excess) / F.sqrt(2 * df + 4 * excess)
-    return rows.withColumn("fisher", logs).withColumn("p_random", F.exp(-half) * (1 + half + half * half / 2)).withColumn(
-        "p_text", F.greatest(_below(z_text), F.lit(tiny)))
+    rows = rows.withColumn("fisher", logs).withColumn("p_random", F.exp(-half) * (1 + half + half * half / 2))
+    plain = F.regexp_replace(m, "[^A-Za-z0-9]", "")
+    turns = "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])"
+    changes = F.when(m.rlike("[a-z]"), F.regexp_count(plain, F.lit(turns + "|(?<=[A-Z])(?=[A-Z])"))).otherwise(
+        F.regexp_count(plain, F.lit(turns)))
+    rows = rows.withColumn("steps", F.greatest(F.length(plain) - 1, F.lit(1))).withColumn("changes", changes)
+    logs = F.log(F.greatest(_below(z_text), F.lit(tiny))) + F.log(F.greatest(_many(F.col("steps"), F.col("changes"), p.text_changes), F.lit(tiny)))
+    return rows.withColumn("half", -logs).withColumn(  # chi-squared with four degrees of freedom
+        "p_text", F.greatest(F.exp(-F.col("half")) * (1 + F.col("half")), F.lit(tiny)))
+
+
+def _many(n: Column, x: Column, chance: float) -> Column:
+    """Chance of ``x`` or more hits in ``n`` tries; Chernoff's bound beyond 400 tries."""
+    odds = chance / (1 - chance)
+    first = F.struct(F.pow(F.lit(1 - chance), n).alias("at"), F.when(x <= 0, F.pow(F.lit(1 - chance), n)).otherwise(0.0).alias("total"))
+
+    def step(acc, i):
+        at = acc["at"] * (n - i + 1) / i * odds
+        return F.struct(at.alias("at"), (acc["total"] + F.when(i >= x, at).otherwise(0.0)).alias("total"))
+
+    exact = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(400))), first, step, lambda acc: F.least(acc["total"], F.lit(1.0)))
+    share = F.least(x / n, F.lit(1 - 1e-9))
+    bound = F.exp(-n * (share * F.log(share / chance) + (1 - share) * F.log((1 - share) / (1 - chance))))
+    return F.when(n <= 400, exact).when(share > chance, bound).otherwise(1.0)
 
 
 def _discovered(tested: DataFrame, p: SecretParams) -> DataFrame:
     """Benjamini and Hochberg by stratum, on p-values rounded up to a tenth of a decade."""
     p_text = F.when(F.col("p_random") >= p.structured, F.col("p_text")).otherwise(1.0)
     tested = tested.withColumn("step", F.least(F.floor(-10 * F.log10(p_text)), F.lit(400)).cast("long")).withColumn(
-        "stratum", F.floor(F.log2("n")).cast("long"))
+        "stratum", F.concat_ws("/", "encoding", F.floor(F.log2("n")).cast("string")))
     counts = tested.groupBy("stratum", "step").agg(F.count("*").alias("rows"))  # at most 401 rows a stratum
     up = Window.partitionBy("stratum").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("rank", F.sum("rows").over(up)).withColumn(
-        "all", F.sum("rows").over(Window.partitionBy("stratum")))
-    passed = counts.filter(F.pow(F.lit(10.0), -F.col("step") / 10) * F.col("all") <= p.discovery * F.col("rank"))
-    bars = passed.groupBy("stratum").agg(F.min("step").alias("bar"))  # one row for each power of two of the length
+    whole = Window.partitionBy("stratum")
+    # Ordinary text has a p-value above one half (step 3) as often as not.
+    ordinary = 2 * (1 + F.sum(F.when(F.col("step") < 3, F.col("rows")).otherwise(0)).over(whole))
+    counts = counts.withColumn("rank", F.sum("rows").over(up)).withColumn("ordinary", F.least(ordinary, F.sum("rows").over(whole)))
+    value = F.pow(F.lit(10.0), -F.col("step") / 10)
+    passed = counts.filter((value * F.col("ordinary") <= p.discovery * F.col("rank")) & (value <= p.doubtful))
+    bars = passed.groupBy("stratum").agg(F.min("step").alias("bar"))  # a row for each encoding and power of two
     return tested.join(F.broadcast(bars), "stratum").filter("step >= bar")
 
 
@@ -150,7 +181,7 @@ def find_secrets(docs: DataFrame, params: SecretParams = SecretParams(), key: st
     value = F.regexp_extract("match", ASSIGN, 1)
     base = places.filter(F.col("kind") < 3).filter((F.col("kind") > 0) | (F.length(value) >= ASSIGN_CHARS))
     mixed = places.filter("kind = 3").filter(F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]"))
-    tested = staged(_battery(mixed, p).select("row", "kind", "start", "end", "n", "p_random", "p_text"), "tested", folder)
+    tested = staged(_battery(mixed, p).select("row", "kind", "start", "end", "n", "encoding", "p_random", "p_text"), "tested", folder)
     names = ("row", "kind", "start", "end")
     spans = base.select(*names).unionByName(_discovered(tested, p).select(*names))
     # A random span goes if a base span of the row ends after its start or begins before its end.
@@ -191,7 +222,9 @@ def redact(docs: DataFrame, params: SecretParams = SecretParams(), key: str = "d
            mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of a secret replaced by ``mark``; spans that overlap become one.
 
-    All rows and columns stay, other columns as they are.
+    All rows and columns stay, other columns as they are, whatever their names.  A null text stays
+    null, an empty one empty, long ones are masked whole; repeated rows are masked alike.  An empty
+    table stays empty.
     """
     rows, spans = find_secrets(docs, params, key, text)
     upto = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
