@@ -11,13 +11,15 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+
+from quaero.sources.workdir import staged
 
 
 @dataclass(frozen=True)
@@ -25,7 +27,7 @@ class EditParams:
     error_share: float = 0.1     # edits per character of an item
     whole_pieces: int = 2        # pieces that must occur unchanged before a distance is computed
     min_chars: int = 20          # shorter items, in their plain form, match unchanged, as whole words
-    block_chars: int = 1 << 23   # characters of items that are sent to the tasks at once
+    block_chars: int = 1 << 21   # characters of distinct items that are sent to the tasks at once
 
 
 MARK = re.compile(r"[^\w\s]|_")
@@ -104,12 +106,21 @@ def _close(hits: list[tuple[int, int]], k: int, need: int) -> list[int]:
     return out
 
 
+def _automaton(words: dict) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for word, value in words.items():
+        out.add_word(word, value)
+    if words:
+        out.make_automaton()
+    return out
+
+
 class Finder:
     """The items of one block, with the automaton of their pieces."""
 
     def __init__(self, items: list[tuple], params: EditParams):
-        self.items = []
-        self.short = []
+        self.items: list[tuple] = []
+        short: dict[str, list] = {}
         self.need = max(1, params.whole_pieces)
         found: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
@@ -117,17 +128,14 @@ class Finder:
             if not item:
                 continue
             if len(item) < params.min_chars:
-                self.short.append((key, f" {item} "))
+                short.setdefault(f" {item} ", []).append(key)
                 continue
             k = budget(len(item), params.error_share)
             for at, piece in cut(item, min(len(item), k + self.need)):
                 found.setdefault(piece, []).append((len(self.items), at + len(piece)))
             self.items.append((key, item, k))
-        self.pieces = ahocorasick.Automaton()
-        for piece, uses in found.items():
-            self.pieces.add_word(piece, uses)
-        if found:
-            self.pieces.make_automaton()
+        self.pieces = _automaton(found)
+        self.short = _automaton({item: (item, keys) for item, keys in short.items()})
 
     def windows(self, text: str) -> dict[int, list[list[int]]]:
         """For each item the parts of ``text`` that may hold it, merged where they overlap."""
@@ -156,11 +164,13 @@ class Finder:
         t = plain(text)
         if not t:
             return
-        if self.short:
-            words = f" {t} "
-            for key, item in self.short:
-                if (at := words.find(item)) >= 0:
-                    yield key, 0, at, at + len(item) - 2
+        if len(self.short):
+            seen = set()
+            for end, (item, keys) in self.short.iter(f" {t} "):
+                if item not in seen:
+                    seen.add(item)
+                    start = end + 1 - len(item)
+                    yield from ((key, 0, start, start + len(item) - 2) for key in keys)
         if not self.items:
             return
         for i, parts in sorted(self.windows(t).items()):
@@ -175,19 +185,42 @@ class Finder:
                 yield key, distance, end - back[1], end
 
 
-def _blocks(items: DataFrame, params: EditParams, key: str, text: str) -> Iterator[list[tuple]]:
-    """The items in blocks of about ``block_chars``, one at a time on the driver."""
-    rows = items.select(F.col(key), F.col(text)).filter(F.col(text).isNotNull())
-    total = rows.agg(F.sum(F.length(text))).first()[0] or 0
-    n = -(-total // params.block_chars)
-    for b in range(n):
-        part = rows.filter(F.pmod(F.xxhash64(text), F.lit(n)) == b)
-        yield sorted((tuple(r) for r in part.collect()), key=repr)
+_FINDERS: dict[str, Finder] = {}
+
+
+def _finder(shared) -> Finder:
+    """The finder of a block, made once in a worker process for all tasks that it gets."""
+    name, items, params = shared.value
+    if name not in _FINDERS:
+        if len(_FINDERS) > 1:  # two blocks may be in turn in one stage
+            _FINDERS.clear()
+        _FINDERS[name] = Finder(items, params)
+    return _FINDERS[name]
+
 
+def _distinct(items: DataFrame, text: str) -> DataFrame:
+    """``number, text`` of the distinct texts, so that copies of an item are searched once."""
+    texts = items.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct()
+    return staged(texts.withColumn("number", F.monotonically_increasing_id()), "items")
 
-def _per_block(docs, items, params, item_key, item_text, run):
-    for block in _blocks(items, params, item_key, item_text):
-        yield run(docs.sparkSession.sparkContext.broadcast((block, params)))
+
+def _blocks(texts: DataFrame, params: EditParams) -> Iterator:
+    """The texts, broadcast in blocks that end as soon as they hold ``block_chars``.
+
+    The driver holds one block and one part of the texts, which are dealt into parts of about that
+    size.
+    """
+    context = texts.sparkSession.sparkContext
+    total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    held, size = [], 0
+    for row in texts.repartition(max(1, 2 * total // params.block_chars), "number").sortWithinPartitions("number").toLocalIterator():
+        held.append((row.number, row.text))
+        size += len(row.text)
+        if size >= params.block_chars:
+            yield context.broadcast((uuid.uuid4().hex, held, params))
+            held, size = [], 0
+    if held:
+        yield context.broadcast((uuid.uuid4().hex, held, params))
 
 
 def find_items(docs: DataFrame, items: DataFrame, params: EditParams = EditParams(), key: str = "doc_id",
@@ -198,16 +231,17 @@ def find_items(docs: DataFrame, items: DataFrame, params: EditParams = EditParam
     distance, both in plain form (see `plain`); items under ``min_chars`` occur only unchanged, as
     whole words.  The row names the closest such part, the first on
     ties, by places in the plain text.  Null and empty texts and items match nothing.  Repeated
-    rows give repeated results.  Other columns are not read.  Each block of items is one pass over
-    the documents, without a shuffle.
+    rows give repeated results; the text of items that repeat is searched once.  Other columns are not
+    read.  Long texts are searched whole.  Empty tables give no row.  Each block of items is one pass
+    over the documents, without a shuffle.
     """
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     kinds = [docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()]
-    schema = f"doc {kinds[0]}, item {kinds[1]}, distance long, start long, end long"
+    schema = f"doc {kinds[0]}, number long, distance long, start long, end long"
 
     def scan(shared):
         def run(batches):
-            finder = Finder(*shared.value)
+            finder = _finder(shared)
             for batch in batches:
                 at, found = [], []
                 for i, t in enumerate(batch.column(1).to_pylist()):
@@ -216,32 +250,40 @@ def find_items(docs: DataFrame, items: DataFrame, params: EditParams = EditParam
                         found.append(m)
                 cols = list(zip(*found)) or [()] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[0], item_type),
-                     *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc", "item", "distance", "start", "end"])
+                    [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)],
+                    names=["doc", "number", "distance", "start", "end"])
 
         return rows.mapInArrow(run, schema)
 
-    item_type = to_arrow_type(items.schema[item_key].dataType)
-    out = docs.sparkSession.createDataFrame([], schema)
-    for part in _per_block(docs, items, params, item_key, item_text, scan):
-        out = out.unionByName(part)
-    return out
+    texts = _distinct(items, item_text)
+    out = None
+    for shared in _blocks(texts, params):
+        out = scan(shared) if out is None else out.unionByName(scan(shared))
+    named = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).join(texts, "text").select("number", "item")
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], schema)
+    return out.join(staged(named, "named"), "number").select("doc", "item", "distance", "start", "end")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, params: EditParams = EditParams(), text: str = "text",
-                      item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text no item occurs."""
+                      item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in whose text no item occurs.
+
+    Null and empty texts stay; repeated rows stay or go together; long texts are searched whole.  No
+    column is added.  Without items all rows stay.  Each block of items is one pass over the rows
+    that the blocks before left.
+    """
     at = docs.columns.index(text)
 
     def scan(shared):
         def run(batches):
-            finder = Finder(*shared.value)
+            finder = _finder(shared)
             for batch in batches:
                 clean = [next(finder.matches(t), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run
 
-    for run in _per_block(docs, items, params, item_key, item_text, scan):
-        docs = docs.mapInArrow(run, docs.schema)
+    for shared in _blocks(_distinct(items, item_text), params):
+        docs = docs.mapInArrow(scan(shared), docs.schema)
     return docs

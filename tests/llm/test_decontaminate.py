@@ -104,6 +104,33 @@ def test_short_items_match_as_whole_words(spark, make):
     assert {r.doc_id for r in d.drop_contaminated(docs, items).collect()} == {2, 3}
 
 
+def test_many_short_items_cost_one_pass():
+    import time
+
+    items = [(i, f"q {i} ab") for i in range(20_000)]
+    finder = d.Finder(items, EditParams())
+    text = prose(1, 300) + " q 77 ab. Q 19999, ab q 5 abc"
+    at = time.perf_counter()
+    for _ in range(20):
+        found = sorted(finder.matches(text))
+    assert (time.perf_counter() - at) / 20 < 0.005
+    plain = d.plain(text)
+    assert [(k, plain[a:b]) for k, _, a, b in found] == [(77, "q 77 ab"), (19_999, "q 19999 ab")]
+
+
+def test_a_text_that_many_items_repeat_is_searched_once(spark, make):
+    item = prose(1000, 30)
+    items = make([(i, item if i % 3 else prose(2000 + i, 30)) for i in range(300)], "item_id long, text string")
+    p = EditParams(block_chars=500)  # the text repeats far beyond a block
+    texts = d._distinct(items, "text")
+    assert texts.count() == 101
+    sizes = [[len(t) for _, t in b.value[1]] for b in d._blocks(texts, p)]
+    assert sum(map(len, sizes)) == 101 and all(sum(s[:-1]) < 500 for s in sizes)
+    few = EditParams(block_chars=6000)
+    found = d.find_items(make([(7, f"x {item} y", None, None, None)]), items, few).collect()
+    assert Counter((r.doc, r.item) for r in found) == Counter((7, i) for i in range(300) if i % 3)
+
+
 def test_registered_query_against_substrings(spark):
     found = {(r.doc_id, r.item_id) for r in queries.op6_decontamination(spark, SMALL).collect()}
     docs = queries.table(spark, SMALL, "documents").collect()
