@@ -1,11 +1,13 @@
 """All pairs of vectors with a cosine of at least a threshold, by cover trees and dual traversal.
 
-Unit vectors with cosine c lie sqrt(2 - 2c) apart, so the threshold is a radius.  Vectors are dealt
-to the nearest of a few anchors; each such cell, cut into pieces of bounded size, is a subtree.
-Within a piece, nested nets of halving radii make a cover tree.  Two pieces whose cells could hold
-a link meet in a task, which walks both trees at once: a pair of nodes farther apart than both
-covering radii and the link radius is dropped, others are opened, and points are compared in double
-precision.  Pairs never become rows: tasks emit link counts and one edge per vector.
+Unit vectors with cosine c lie sqrt(2 - 2c) apart, so the threshold is a radius.  The upper levels of
+the tree are tables: a node with more vectors than a task should hold deals them to the nearest of
+some of its own, and each child has a centre and a covering radius of its own.  Pairs of nodes are
+opened level by level, and a pair farther apart than both radii and the link radius is dropped with
+all that lies below.  Within a leaf, nested nets of halving radii make the rest of the cover tree.
+Two leaves that are still a pair meet in a task, which walks both trees at once by the same rule and
+compares points in double precision.  Pairs of vectors never become rows: tasks emit link counts and
+one edge per vector.
 """
 
 from __future__ import annotations
@@ -13,20 +15,22 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from quaero.llm.joins import first_of, link_report, map_groups
+from quaero.llm.joins import first_of, join_counted, link_report, map_groups
 from quaero.sources.workdir import run_dir, staged
 
 
 @dataclass(frozen=True)
 class NearParams:
     threshold: float = 0.9
-    cell: int = 8192         # vectors in a piece, about
-    anchors: int = 256       # cells at most; a larger cell is cut into pieces
+    cell: int = 8192         # vectors in a leaf, about
+    fan: int = 64            # children of a node, at most
+    depth: int = 8           # levels of splitting; what is still larger then is cut by a hash
     levels: int = 4          # nets of the link radius, half of it, ...
     tile: int = 1024         # nodes on a side that are compared at once
 
@@ -235,6 +239,114 @@ def _meet(p: NearParams):
     return task
 
 
+_DEALT = "row long, vector binary, copies long, node string, gap double"
+
+
+def _deal(batches):
+    """Vectors to the nearest centre of their node; the centres of a key come before its vectors."""
+    last, names, centres = None, [], None
+    for batch in batches:
+        keys = batch.column("key").to_pylist()
+        kinds = batch.column("kind").to_pylist()
+        turns = [0, *(i for i in range(1, len(keys)) if (keys[i], kinds[i]) != (keys[i - 1], kinds[i - 1])), len(keys)]
+        for lo, hi in zip(turns, turns[1:]):
+            if hi == lo:
+                continue
+            part = batch.slice(lo, hi - lo)
+            x = units(np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float64).reshape(hi - lo, -1))
+            if kinds[lo] == 0:
+                new = part.column("node").to_pylist()
+                names, centres = (new, x) if keys[lo] != last else (names + new, np.concatenate((centres, x)))
+                last = keys[lo]
+                continue
+            near = x @ centres.T
+            own = near.argmax(axis=1)
+            gap = np.sqrt(np.maximum(0, 2 - 2 * near[np.arange(len(x)), own]))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row"), part.column("vector"), part.column("copies"), pa.array([names[i] for i in own.tolist()]), pa.array(gap)],
+                names=["row", "vector", "copies", "node", "gap"])
+
+
+def _near_pairs(reach: float):
+    """The pairs of nodes that may hold a link; a node without a centre is never dropped."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for u, v, r, s in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "r", "s"))):
+                if u is None or v is None:
+                    keep.append(True)
+                    continue
+                x, y = units(np.frombuffer(u, np.float64)), units(np.frombuffer(v, np.float64))
+                keep.append(float(np.linalg.norm(x - y)) <= r + s + reach + 1e-7)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _leaves(reps: DataFrame, p: NearParams, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors by ``piece``, pairs ``a, b`` of pieces that may hold a link, a piece with itself too).
+
+    A root for each vector length.  The children's centres are the first of the node's distinct
+    vectors by a hash, and a node's rows are dealt in parts of bounded size, each of which is sent the
+    centres, so neither a large node nor the number of nodes is held in one place.
+    """
+    done: list[DataFrame] = []
+    moving = reps.withColumn("node", F.octet_length("vector").cast("string")).withColumn("gap", F.lit(2.0))
+    moving = staged(moving, "node-0", folder)
+    pairs = moving.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
+    leaves = None  # nodes that are not split any more, with centre and radius
+    kids = moving.select(F.col("node")).distinct().select("node", F.lit(None).cast("binary").alias("centre"), F.lit(2.0).alias("radius"))
+    for level in range(1, p.depth + 1):
+        sizes = staged(moving.groupBy("node").agg(F.count("*").alias("n")), f"sizes-{level}", folder)
+        large = sizes.filter(F.col("n") > p.cell)
+        small = moving.join(large, "node", "left_anti")
+        done.append(small)
+        still = kids.join(large, "node", "left_anti")
+        leaves = still if leaves is None else leaves.unionByName(still)
+        if large.isEmpty():
+            break
+        rows = join_counted(moving, large, "node", "n")
+        order = Window.partitionBy("node").orderBy(F.xxhash64("vector", F.lit(level)), "row")
+        first = rows.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= p.fan)
+        first = first.filter(F.col("i") <= F.greatest(F.lit(2), F.ceil(2 * F.col("n") / p.cell)))
+        centres = staged(first.select(F.col("node").alias("parent"), F.concat_ws(".", "node", "i").alias("node"),
+                                      F.col("vector").alias("centre"), "n"), f"centres-{level}", folder)
+        parts = F.ceil(F.col("n") / p.cell)
+        none = F.lit(None).cast("long")
+        sent = centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select(
+            F.concat_ws("/", "parent", "part").alias("key"), F.lit(0).alias("kind"), "node", none.alias("row"),
+            F.col("centre").alias("vector"), none.alias("copies"))
+        asked = rows.select(F.concat_ws("/", "node", F.pmod(F.xxhash64("row"), parts)).alias("key"), F.lit(1).alias("kind"),
+                            "node", "row", "vector", "copies")
+        dealt = sent.unionByName(asked).repartition("key").sortWithinPartitions("key", "kind", "node")
+        moving = staged(dealt.mapInArrow(_deal, _DEALT), f"node-{level}", folder)
+        radius = moving.groupBy("node").agg(F.max("gap").alias("radius"))
+        kids = staged(centres.join(radius, "node").select("parent", "node", "centre", "radius"), f"kids-{level}", folder)
+        # Pairs of this level: the children of split nodes, the others as they are.
+        below = kids.unionByName(leaves.select(F.col("node").alias("parent"), "node", "centre", "radius"))
+        one = below.select(F.col("parent").alias("pa"), F.col("node").alias("x"), F.col("centre").alias("u"), F.col("radius").alias("r"))
+        two = below.select(F.col("parent").alias("pb"), F.col("node").alias("y"), F.col("centre").alias("v"), F.col("radius").alias("s"))
+        opened = pairs.join(one, F.col("a") == F.col("pa")).join(two, F.col("b") == F.col("pb"))
+        opened = opened.filter("a <> b OR x <= y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "u", "v", "r", "s")
+        pairs = staged(opened.mapInArrow(_near_pairs(p.reach), "a string, b string"), f"pairs-{level}", folder)
+        kids = kids.drop("parent")
+    else:
+        done.append(moving)
+        leaves = leaves.unionByName(kids)
+    rows = reduce(DataFrame.unionByName, done).select("row", "vector", "copies", "node")
+    # What splitting could not make small is cut by a hash; its pieces all meet.
+    sizes = staged(rows.groupBy("node").agg(F.count("*").alias("n")), "leaf-sizes", folder)
+    cut = F.ceil(F.col("n") / (2 * p.cell))
+    rows = join_counted(rows, sizes, "node", "n").select(
+        "row", "vector", "copies", F.concat_ws("#", "node", F.pmod(F.xxhash64("row"), cut)).alias("piece"))
+    pieces = sizes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1))).select(
+        "node", F.concat_ws("#", "node", "i").alias("piece"))
+    named = pairs.join(pieces.select(F.col("node").alias("a"), F.col("piece").alias("x")), "a").join(
+        pieces.select(F.col("node").alias("b"), F.col("piece").alias("y")), "b")
+    return rows, staged(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs", folder)
+
+
 def cosine_classes(vectors: DataFrame, params: NearParams = NearParams(), key: str = "vec_id",
                    vector: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: ``id, n_links, class_id``.
@@ -263,78 +375,28 @@ def cosine_classes(vectors: DataFrame, params: NearParams = NearParams(), key: s
                                                 F.min(first_of()).alias("first")), "classes", folder)
     reps = good.select("row", "vector").join(classes.select("row", "copies"), "row")
 
-    # Anchors: a bounded, fixed choice that only deals out rows; one at least of each length.
-    n = classes.count()
-    order = F.xxhash64("vector")
-    lengths = good.groupBy(F.octet_length("vector").alias("size")).agg(F.min_by("vector", order).alias("vector"))
-    chosen = {bytes(r.vector) for r in good.orderBy(order, "row").select("vector").limit(min(p.anchors, -(-n // p.cell))).collect()}
-    chosen |= {bytes(r.vector) for r in lengths.collect()}
-    by_length: dict[int, tuple[int, np.ndarray]] = {}
-    first = 0
-    for size in sorted({len(u) for u in chosen}):
-        same = np.frombuffer(b"".join(sorted(u for u in chosen if len(u) == size)), np.float64).reshape(-1, size // 8)
-        by_length[size] = first, units(same)
-        first += len(same)
-
-    def deal(batches):
-        for batch in batches:
-            cells, gaps = [], []
-            for u in batch.column(1).to_pylist():
-                start, anchors = by_length[len(u)]
-                near = anchors @ units(np.frombuffer(u, np.float64))
-                i = int(np.argmax(near))
-                cells.append(start + i)
-                gaps.append(float(np.sqrt(max(0.0, 2 - 2 * near[i]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int64()), pa.array(gaps, pa.float64())],
-                                             names=["row", "vector", "copies", "cell", "gap"])
-
-    dealt = staged(reps.select("row", "vector", "copies").mapInArrow(deal, "row long, vector binary, copies long, cell long, gap double"),
-                   "dealt", folder)
-    cells = {r.cell: r for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()}
-    pieces = {c: -(-r.n // p.cell) for c, r in cells.items()}
-    partners: dict[int, list[tuple[int, int]]] = {}
-    reach = p.reach
-    for start, anchors in by_length.values():
-        gap = np.sqrt(np.maximum(0, 2 - 2 * anchors @ anchors.T))
-        for i in range(len(anchors)):
-            partners[start + i] = [(start + j, pieces[start + j]) for j in range(len(anchors))
-                                   if start + i in cells and start + j in cells
-                                   and gap[i, j] <= cells[start + i].radius + cells[start + j].radius + reach + 1e-7]
-    piece_count = F.create_map(*[F.lit(x) for c, k in (pieces or {0: 1}).items() for x in (c, k)])[F.col("cell")]
-    dealt = dealt.withColumn("piece", F.concat_ws(".", "cell", F.pmod(F.xxhash64("row"), piece_count)))
+    leaves, pairs = _leaves(reps.select("row", "vector", "copies"), p, folder)
 
     def grow(groups):
         for g in groups:
             x = np.frombuffer(b"".join(g["vector"].to_pylist()), np.float64).reshape(g.num_rows, -1)
             leaders = np.ascontiguousarray(nets(units(x), p).T)
             yield pa.RecordBatch.from_arrays(
-                [*(g[c].combine_chunks() for c in ("row", "vector", "copies", "cell", "piece")), pa.array(range(g.num_rows), pa.int64()),
-                 pa.array([r.tobytes() for r in leaders], pa.binary())], names=["row", "vector", "copies", "cell", "piece", "nth", "leaders"])
+                [*(g[c].combine_chunks() for c in ("row", "vector", "copies", "piece")), pa.array(range(g.num_rows), pa.int64()),
+                 pa.array([r.tobytes() for r in leaders], pa.binary())], names=["row", "vector", "copies", "piece", "nth", "leaders"])
 
-    trees = staged(map_groups(dealt.select("row", "vector", "copies", "cell", "piece"), "piece", grow,
-                              "row long, vector binary, copies long, cell long, piece string, nth long, leaders binary", ("row",)),
+    trees = staged(map_groups(leaves, "piece", grow,
+                              "row long, vector binary, copies long, piece string, nth long, leaders binary", ("row",)),
                    "trees", folder)
-    shared = vectors.sparkSession.sparkContext.broadcast(partners)
-
-    def visit(batches):
-        """Each row once for every piece that its own meets."""
-        for batch in batches:
-            at, pairs, sides = [], [], []
-            for i, (cell, piece) in enumerate(zip(batch["cell"].to_pylist(), batch["piece"].to_pylist())):
-                for other, count in shared.value[cell]:
-                    for k in range(count):
-                        to = f"{other}.{k}"
-                        at.append(i)
-                        pairs.append(f"{min(piece, to)}/{max(piece, to)}")
-                        sides.append(2 if piece == to else int(piece > to))
-            for lo in range(0, len(at), 20_000):
-                some = slice(lo, lo + 20_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs[some]), pa.array(sides[some], pa.int32()),
-                     *(batch[c].take(pa.array(at[some], pa.int64())) for c in ("row", "vector", "copies", "nth", "leaders"))],
-                    names=["pair", "side", "row", "vector", "copies", "nth", "leaders"])
-
-    met = trees.mapInArrow(visit, "pair string, side int, row long, vector binary, copies long, nth long, leaders binary")
+    # Each row once for every leaf that its own meets.
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    others = staged(both.groupBy(F.col("a").alias("piece")).agg(F.collect_list("b").alias("others")).join(
+        trees.groupBy("piece").agg(F.count("*").alias("n")), "piece"), "others", folder)
+    met = join_counted(trees, others, "piece", "n").withColumn("other", F.explode("others"))
+    met = met.select(
+        F.concat_ws("/", F.least("piece", "other"), F.greatest("piece", "other")).alias("pair"),
+        F.when(F.col("piece") == F.col("other"), 2).when(F.col("piece") < F.col("other"), 0).otherwise(1).alias("side"),
+        "row", "vector", "copies", "nth", "leaders")
     links = staged(map_groups(met, "pair", _meet(p), "row long, links long, root long"), "links", folder)
     found = link_report(good, classes, links, folder).select("id", "n_links", "class_id")
     alone = rows.filter("digest IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_id"))

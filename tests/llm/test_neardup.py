@@ -32,7 +32,7 @@ def clusters(seed, n, dim=12):
     return [list(map(float, np.float32(centres[i % 6] * r.uniform(0.5, 4) + r.standard_normal(dim) * r.choice([0.1, 0.25, 0.5, 1.5])))) for i in range(n)]
 
 
-@pytest.mark.parametrize("p", [NearParams(), NearParams(cell=40, anchors=7, tile=16), NearParams(threshold=0.5, cell=64, levels=2)])
+@pytest.mark.parametrize("p", [NearParams(), NearParams(cell=40, fan=7, tile=16), NearParams(cell=10, fan=3, depth=2), NearParams(threshold=0.5, cell=64, levels=2)])
 def test_links_match_brute_force(make, p):
     vectors = clusters(1, 500) + clusters(2, 30, dim=3)
     vectors += vectors[:20] + vectors[:5] * 3 + [[1.0, 0.0], [9.0, 19 ** 0.5], [0.0, 1.0]]
@@ -41,6 +41,35 @@ def test_links_match_brute_force(make, p):
     assert [found[i] for i in range(len(vectors))] == brute(vectors, p.threshold)
 
 
+def test_tight_clusters_meet_few_others(make, monkeypatch):
+    """Rows before the comparison grow about in proportion to the vectors."""
+    r = np.random.default_rng(7)
+    centres = r.standard_normal((400, 32))
+    met = []
+    write = neardup.staged
+
+    def counting(df, name, folder=None):
+        out = write(df, name, folder)
+        if name == "others":
+            met.append(sum(len(x.others) * x.n for x in out.collect()))
+        return out
+
+    monkeypatch.setattr(neardup, "staged", counting)
+    for n in (600, 2400):
+        rows = [(i, list(map(float, centres[i % (n // 100)] + 0.02 * r.standard_normal(32))), 0) for i in range(n)]
+        found = neardup.cosine_classes(make(rows, VECTORS), NearParams(cell=60, fan=64)).collect()
+        assert len({x.class_id for x in found}) == n // 100
+    assert met[1] <= 8 * met[0] and met[1] <= 20 * 2400, met
+
+
+def test_a_repeated_vector_does_not_take_all_centres(make):
+    """Whichever vector sorts first, its copies leave room for others."""
+    vectors = clusters(5, 60)
+    rows = [(i, v, 0) for i, v in enumerate(vectors)] + [(1000 + i, vectors[j], 0) for j in range(3) for i in range(200 * j, 200 * j + 200)]
+    found = {r.id: (r.n_links, r.class_id) for r in neardup.cosine_classes(make(rows, VECTORS), NearParams(cell=20, fan=8)).collect()}
+    assert [found[i] for i, _, _ in rows] == [(n, rows[c][0]) for n, c in brute([v for _, v, _ in rows])]
+
+
 def test_odd_vectors(make):
     nan, inf = float("nan"), float("inf")
     a = [1.0, 2.0]
