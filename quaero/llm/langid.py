@@ -84,8 +84,12 @@ def _cluster(x: np.ndarray, p: LangParams) -> np.ndarray:
             centres.append(x[draw.choice(len(x), p=far / far.sum())])
             near = np.maximum(near, x @ centres[-1])
         c = rounds(np.array(centres))
-        held = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
-        c = rounds(c[held >= min(p.support * len(x), held.max())])
+        while True:  # rows that a centroid loses may leave another without support
+            held = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+            some = held >= min(p.support * len(x), held.max())
+            if some.all():
+                break
+            c = rounds(c[some])
         total = float((x @ c.T).max(axis=1).sum())
         if total > value:
             best, value = c, total
