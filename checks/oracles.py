@@ -100,10 +100,10 @@ def merged(source, limit, out):
          CASE WHEN f.n + s.n <= {limit} THEN f.n + s.n ELSE s.n END
   FROM {out}_fold f JOIN {out}_sized s ON s.k = f.k AND s.i = f.i + 1),
 {out}_joined AS (
-  SELECT k, g, {strip("string_agg(t || chr(10), '' ORDER BY i)")} AS t
+  SELECT k, g, {strip("string_agg(t || chr(10), '' ORDER BY i)")} AS t, min(i) AS first
   FROM {out}_fold GROUP BY k, g),
 {out} AS (
-  SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY g) AS i
+  SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY g) AS i, first
   FROM {out}_joined WHERE t <> '')"""
 
 
@@ -158,8 +158,9 @@ def first_sentence(x):
     return strip(f"regexp_extract({x}, '{SENTENCE}', 0)")
 
 
-def with_context(title, i, n, page, content):
-    place = f"concat_ws(' › ', nullif({title}, ''), 'part ' || {i} || ' of ' || {n})"
+def with_context(title, i, n, page, content, heading=None):
+    headed = f"nullif({first_sentence(heading)}, ''), " if heading else ""
+    place = f"concat_ws(' › ', nullif({title}, ''), {headed}'part ' || {i} || ' of ' || {n})"
     return f"concat_ws(': ', {place}, nullif({first_sentence(page)}, '')) || chr(10) || chr(10) || {content}"
 
 
@@ -523,7 +524,7 @@ def page_corpus(context, custom):
 
     ``custom`` is a SELECT of further contents.
     """
-    content = with_context("title", "chunk_no", "n", "page_contents", "t") if context else "t"
+    content = with_context("title", "chunk_no", "n", "page_contents", "t", "heading") if context else "t"
     return f"""{sections('p')},
 texts_ AS (SELECT url AS k, section_no + 1 AS i, heading || chr(10) || body AS t FROM sections),
 {merged('texts_', 256, 'buffers')},
@@ -534,8 +535,9 @@ page AS (
   FROM sections GROUP BY url),
 page_chunks AS MATERIALIZED (
   SELECT k[1] AS url, t, (row_number() OVER w)::integer AS chunk_no,
-         count(*) OVER (PARTITION BY k[1]) AS n
-  FROM page_pieces WHERE {n_tokens('t')} > 20
+         count(*) OVER (PARTITION BY k[1]) AS n, heading
+  FROM (SELECT p.*, s.heading FROM page_pieces p JOIN buffers b ON b.k = p.k[1] AND b.i = p.k[2]::bigint
+        JOIN sections s ON s.url = b.k AND s.section_no + 1 = b.first) WHERE {n_tokens('t')} > 20
   WINDOW w AS (PARTITION BY k[1] ORDER BY k[2]::integer, lo)),
 corpus AS MATERIALIZED (
   SELECT url, chunk_no, {content} AS content, page_contents
@@ -764,3 +766,25 @@ UNION ALL SELECT item_id, 'route', 'ValueError: refused' FROM benchmark WHERE it
 UNION ALL SELECT item_id, 'rewrite', 'ValueError: refused' FROM benchmark WHERE item_id % 3 = 0
 UNION ALL SELECT item_id, 'hyde', 'ValueError: refused' FROM benchmark WHERE item_id % 7 = 0
 UNION ALL SELECT item_id, 'answer', 'ValueError: refused' FROM benchmark WHERE item_id % 4 = 0"""
+
+# The same results by other ways.
+for _name, _same in (("keyword_postings", "keyword_topk"), ("vector_cells", "vector_topk"),
+                     ("index_diff_ranges", "index_diff"), ("index_compact", "index_sync"), ("change_feed", "index_sync")):
+    ORACLES[_name] = ORACLES[_same]
+
+ORACLES["change_images"] = f"""WITH {CLEAN}
+SELECT 1::bigint AS batch_id, id, CASE op WHEN 'insert' THEN 'insert' ELSE 'update_after' END AS change, url, content
+FROM diff JOIN clean USING (id) WHERE op <> 'delete'
+UNION ALL
+SELECT 1, id, CASE op WHEN 'update' THEN 'update_before' ELSE 'delete' END, source, text
+FROM diff JOIN documents ON doc_id = id WHERE op <> 'insert'"""
+
+ORACLES["dense_ids"] = f"""WITH k AS (SELECT doc_id, {content_hash('text')} AS key FROM documents),
+a AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS id FROM (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0)),
+b AS (SELECT key, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY key) - 1 AS id
+      FROM (SELECT DISTINCT key FROM k WHERE key NOT IN (SELECT key FROM a)))
+SELECT doc_id, id FROM k JOIN (SELECT * FROM a UNION ALL SELECT * FROM b) USING (key)"""
+
+ORACLES["dead_letter_queue"] = """
+SELECT doc_id AS id, 't' AS tag, CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 0 END AS run,
+  CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 1 END AS attempts FROM documents"""

@@ -27,8 +27,13 @@ from quaero.operators.rerank import question_profiles, rerank
 from quaero.params import Params
 from quaero.plans import answer as A
 from quaero.plans import evaluate as EV
+from quaero.plans import changes as CH
+from quaero.plans import deadletters as DL
+from quaero.plans import identity as ID
 from quaero.plans import index as IX
+from quaero.operators.cells import build_cells, cells_topk
 from quaero.plans.corpus import build_corpus, corpus_parts
+from quaero.plans.digests import range_diff, range_digests
 from quaero.plans.frontier import url_frontier
 from quaero.plans.retrieve import payload, retrieve
 from quaero.sources.tables import (
@@ -417,6 +422,19 @@ def keyword_topk(spark, sf):
     return retrieve(_benchmark(spark, sf, "text"), index, mode="keyword")
 
 
+def keyword_postings(spark, sf):
+    """The same search over posting blocks, of which only those are read that may hold a hit."""
+    params = Params(part_rows=1024, shard_rows=64)
+    index = IX.build_index(_passages(spark, sf), params, vectors=False, postings=True)
+    return retrieve(_benchmark(spark, sf, "text"), index, mode="keyword", params=params)
+
+
+def vector_cells(spark, sf):
+    """Trained cells, probed until no other cell can hold a nearer row."""
+    rows, searches = _vectors(spark, sf)
+    return cells_topk(build_cells(rows), searches, Params.k, normalised=False, exact=True)
+
+
 def hybrid_topk(spark, sf):
     return retrieve(_benchmark(spark, sf, "text"), _index(spark, sf),
                     threshold=HYBRID_THRESHOLD, mode="hybrid")
@@ -494,7 +512,8 @@ def extractive_answer(spark, sf):
 
 
 def answer_questions(spark, sf):
-    answers, _ = A.answer(_benchmark(spark, sf), _passage_index(spark, sf), mode="keyword")
+    index = IX.build_index(_document_passages(spark, sf), vectors=False, lookup=True)
+    answers, _ = A.answer(_benchmark(spark, sf), index, mode="keyword")
     return answers.select("query_id", "question", "route", "prompt", "answer")
 
 
@@ -608,6 +627,62 @@ def index_sync(spark, sf):
     return IX.current_rows(spark, path, columns=("id", "url", "content", "content_hash"))
 
 
+def index_diff_ranges(spark, sf):
+    """The same comparison by digests of id ranges."""
+    old, new = IX.with_hash(_passages(spark, sf)), IX.with_hash(_clean_passages(spark, sf))
+    return range_diff(old, range_digests(old, 16), new, 16)
+
+
+def index_compact(spark, sf):
+    """Two syncs folded into one: the state is the same."""
+    path = run_dir(spark, "synced")
+    IX.sync_index(_passages(spark, sf), f"{path}/index", 0)
+    IX.sync_index(_clean_passages(spark, sf), f"{path}/index", 1)
+    return IX.compact(spark, f"{path}/index", f"{path}/compact").select("id", "url", "content", "content_hash")
+
+
+def change_feed(spark, sf):
+    """The second state of an index, made from the first and the change feed alone."""
+    path = run_dir(spark, "synced")
+    IX.sync_index(_passages(spark, sf), path, 0)
+    IX.sync_index(_clean_passages(spark, sf), path, 1)
+    first = IX.current_rows(spark, path, before=1, columns=("id", "url", "content", "content_hash"))
+    return CH.apply_changes(first, CH.changes(spark, path, after=0))
+
+
+def change_images(spark, sf):
+    """What the second sync did: every change with the rows before and after."""
+    path = run_dir(spark, "synced")
+    IX.sync_index(_passages(spark, sf), path, 0)
+    IX.sync_index(_clean_passages(spark, sf), path, 1)
+    return CH.changes(spark, path, after=0).select("batch_id", "id", "change", "url", "content")
+
+
+def dense_ids(spark, sf):
+    """Gapless ids in two syncs: half of the texts, then all; a text keeps the id it got first."""
+    path = run_dir(spark, "ids")
+    docs = _documents(spark, sf).select("doc_id", "text")
+    ID.assign_ids(docs.where("doc_id % 2 = 0"), path, ["text"], 0)
+    return ID.assign_ids(docs, path, ["text"], 1).select("doc_id", "id")
+
+
+def dead_letter_queue(spark, sf):
+    """Rows whose model fails twice: queued, tried again when due, and no other row is sent again."""
+    path = run_dir(spark, "letters")
+    model = _picky("content", "tag", lambda b: (b["id"] % 7 == 0) & (b["attempts"] < 2), "t")
+    work = lambda rows: apply_model(rows, model, "tag string")
+    rows = _passages(spark, sf).select("id", "content")
+    done = staged(work(rows.withColumn("attempts", F.lit(0))), "first", path)
+    DL.post(done.where("error is not null"), f"{path}/queue", "tag", "id", 0, now=0)
+    parts = [done.where("error is null").select("id", "tag", F.lit(0).alias("run"))]
+    for run, now in ((1, 30), (2, 60), (3, 180)):  # too early, fails again, works
+        again = DL.replay(spark, f"{path}/queue", "tag", "id bigint, content string", "id", work, run, now)
+        parts.append(again.select("id", "tag", F.lit(run).alias("run")))
+    tries = DL.letters(spark, f"{path}/queue").where("done").select(F.col("key").cast("bigint").alias("id"), "attempts")
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return every.join(tries, "id", "left").select("id", "tag", "run", F.coalesce("attempts", F.lit(1)).alias("attempts"))
+
+
 def index_sync_report(spark, sf):
     path = run_dir(spark, "synced")
     IX.sync_index(_passages(spark, sf), path, 0)
@@ -704,4 +779,12 @@ QUERIES = {
     "index_dead_letters": index_dead_letters,
     "sync_then_stream": sync_then_stream,
     "evaluation_sink": evaluation_sink,
+    "keyword_postings": keyword_postings,
+    "vector_cells": vector_cells,
+    "index_diff_ranges": index_diff_ranges,
+    "index_compact": index_compact,
+    "change_feed": change_feed,
+    "change_images": change_images,
+    "dense_ids": dense_ids,
+    "dead_letter_queue": dead_letter_queue,
 }

@@ -24,9 +24,28 @@ def page_text(sections: Column | str) -> Column:
     return F.array_join(F.transform(column(sections), lambda s: s["body"]), "")
 
 
-def section_texts(sections: Column | str) -> Column:
-    """Heading, line break, body."""
-    return F.transform(column(sections), lambda s: F.concat(s["heading"], F.lit("\n"), s["body"]))
+def _merged(sized: Column, limit: int) -> Column:
+    """Greedy merge of ``array<struct<t, n, h>>`` to ``array<struct<t, h>>``; a buffer has its first ``h``."""
+    buffer = "array<struct<t:string,h:string>>"
+    start = F.struct(F.lit("").alias("buf"), F.lit(0).alias("n"), F.lit("").alias("h"),
+                     F.array().cast(buffer).alias("out"))
+
+    def step(acc, s):
+        fits = acc["n"] + s["n"] <= limit
+        return F.struct(
+            F.when(fits, F.concat(acc["buf"], s["t"], F.lit("\n")))
+            .otherwise(F.concat(s["t"], F.lit("\n"))).alias("buf"),
+            F.when(fits, acc["n"] + s["n"]).otherwise(s["n"]).alias("n"),
+            F.when(fits & (acc["buf"] != ""), acc["h"]).otherwise(s["h"]).alias("h"),
+            F.when(fits, acc["out"]).otherwise(F.concat(acc["out"], closed(acc))).alias("out"),
+        )
+
+    def closed(acc):
+        return F.array(F.struct(acc["buf"].alias("t"), acc["h"].alias("h")))
+
+    merged = F.aggregate(sized, start, step, lambda acc: F.concat(acc["out"], closed(acc)))
+    return F.filter(F.transform(merged, lambda b: F.struct(strip(b["t"]).alias("t"), b["h"].alias("h"))),
+                    lambda b: b["t"] != "")
 
 
 def merge_texts(texts: Column | str, limit: int) -> Column:
@@ -35,23 +54,18 @@ def merge_texts(texts: Column | str, limit: int) -> Column:
     A text that does not fit starts the next buffer, whatever its size.  Counting each text once
     is enough, because a buffer ends in a line break and tokens never reach across one.
     """
-    sized = F.transform(column(texts), lambda t: F.struct(t.alias("t"), token_count(t).alias("n")))
-    start = F.struct(F.lit("").alias("buf"), F.lit(0).alias("n"),
-                     F.array().cast("array<string>").alias("out"))
+    sized = F.transform(column(texts), lambda t: F.struct(
+        t.alias("t"), token_count(t).alias("n"), F.lit("").alias("h")))
+    return F.transform(_merged(sized, limit), lambda b: b["t"])
 
-    def step(acc, s):
-        fits = acc["n"] + s["n"] <= limit
-        return F.struct(
-            F.when(fits, F.concat(acc["buf"], s["t"], F.lit("\n")))
-            .otherwise(F.concat(s["t"], F.lit("\n"))).alias("buf"),
-            F.when(fits, acc["n"] + s["n"]).otherwise(s["n"]).alias("n"),
-            F.when(fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["buf"])))
-            .alias("out"),
-        )
 
-    merged = F.aggregate(sized, start, step,
-                         lambda acc: F.concat(acc["out"], F.array(acc["buf"])))
-    return F.filter(F.transform(merged, strip), lambda b: b != "")
+def merge_sections(sections: Column | str, limit: int) -> Column:
+    """`merge_texts` of heading, line break and body of each section (S7), as ``array<struct<t, h>>``
+    with the heading that a buffer starts with."""
+    sized = F.transform(column(sections), lambda s: let(
+        F.concat(s["heading"], F.lit("\n"), s["body"]),
+        lambda t: F.struct(t.alias("t"), token_count(t).alias("n"), s["heading"].alias("h"))))
+    return _merged(sized, limit)
 
 
 def _atoms(text: Column, size: int, level: int = 0) -> Column:
@@ -65,41 +79,43 @@ def _atoms(text: Column, size: int, level: int = 0) -> Column:
 
 
 def _pack(atoms: Column, size: int, overlap: int) -> Column:
-    """Greedy packing of atoms; each new chunk starts with the last atoms that fit the overlap."""
+    """Greedy packing of atoms; each new chunk starts with the last atoms that fit the overlap.
+
+    One pass: the state is the first atom of the chunk and its tokens so far.  Where a chunk ends,
+    its own atoms are looked at once to find those that the next one starts with.
+    """
     counted = F.transform(atoms, lambda a: F.struct(a.alias("t"), token_count(a).alias("n")))
-    # ends[j] = tokens in the first j atoms
-    empty = F.struct(F.lit(0).alias("s"), F.array(F.lit(0)).alias("ends"))
-    ends = lambda sized: F.aggregate(
-        sized, empty,
-        lambda a, x: F.struct((a["s"] + x["n"]).alias("s"),
-                              F.concat(a["ends"], F.array(a["s"] + x["n"])).alias("ends")),
-        lambda a: a["ends"])
-
-    def windows(e):
-        # Atom i (1-based) runs from e[i-1] to e[i]; the state is the first atom of the chunk.
-        first = F.struct(F.lit(1).alias("lo"),
+
+    def windows(sized):
+        first = F.struct(F.lit(1).alias("lo"), F.lit(0).alias("n"),
                          F.array().cast("array<struct<lo:int,n:int>>").alias("out"))
 
+        def skipped(acc, i, c):
+            """Atoms at the chunk's start, and their tokens, that go so that the rest fits."""
+            limit = F.greatest(acc["n"] - overlap, acc["n"] + c - size)
+            return F.aggregate(
+                F.slice(sized, acc["lo"], i - acc["lo"]), F.struct(F.lit(0).alias("k"), F.lit(0).alias("s")),
+                lambda a, x: F.when(a["s"] >= limit, a).otherwise(
+                    F.struct((a["k"] + 1).alias("k"), (a["s"] + x["n"]).alias("s"))))
+
         def step(acc, i):
-            before, through = F.element_at(e, i), F.element_at(e, i + 1)
-            fits = through - F.element_at(e, acc["lo"]) <= size
-            kept = F.size(F.filter(e, lambda x: (before - x > overlap) | (through - x > size)))
-            return F.when(fits, acc).otherwise(F.struct(
-                F.least(kept + 1, i).alias("lo"),
+            c = F.element_at(sized, i)["n"]
+            cut = lambda gone: F.struct(
+                (acc["lo"] + gone["k"]).alias("lo"), (acc["n"] - gone["s"] + c).alias("n"),
                 F.concat(acc["out"], F.array(F.struct(
-                    acc["lo"].alias("lo"), (i - acc["lo"]).alias("n")))).alias("out"),
-            ))
+                    acc["lo"].alias("lo"), (i - acc["lo"]).alias("n")))).alias("out"))
+            longer = F.struct(acc["lo"].alias("lo"), (acc["n"] + c).alias("n"), acc["out"].alias("out"))
+            return F.when(acc["n"] + c <= size, longer).otherwise(let(skipped(acc, i, c), cut))
 
-        n = F.size(e) - 1
         return F.aggregate(
-            F.sequence(F.lit(1), n), first, step,
+            F.sequence(F.lit(1), F.size(sized)), first, step,
             lambda acc: F.concat(acc["out"], F.array(F.struct(
-                acc["lo"].alias("lo"), (n - acc["lo"] + 1).alias("n")))))
+                acc["lo"].alias("lo"), (F.size(sized) - acc["lo"] + 1).alias("n")))))
 
-    return let(counted, lambda sized: let(ends(sized), lambda e: F.transform(
-        windows(e),
+    return let(counted, lambda sized: F.transform(
+        windows(sized),
         lambda w: strip(F.array_join(
-            F.transform(F.slice(sized, w["lo"], w["n"]), lambda a: a["t"]), "")))))
+            F.transform(F.slice(sized, w["lo"], w["n"]), lambda a: a["t"]), ""))))
 
 
 def recursive_split(text: Column | str, size: int, overlap: int) -> Column:
@@ -121,17 +137,21 @@ def fixed_windows(text: Column | str, size: int, overlap: int) -> Column:
         lambda i: F.slice(t, i + 1, F.lit(size))))
 
 
-def chunk_texts(texts: Column | str, params: Params) -> Column:
-    """Merge small neighbours, cut what is too large, drop what is too small."""
-    merged = merge_texts(texts, params.merge_tokens)
-    cut = F.flatten(F.transform(
-        merged, lambda b: recursive_split(b, params.chunk_tokens, params.overlap_tokens)))
-    return F.filter(cut, lambda c: token_count(c) > params.min_tokens)
+def chunk_sections(sections: Column | str, params: Params) -> Column:
+    """``array<struct<content, heading>>``: small neighbours merged, what is too large cut, what is
+    too small dropped (S9, S10).  All pieces of a buffer have its heading."""
+    merged = merge_sections(sections, params.merge_tokens)
+    cut = F.flatten(F.transform(merged, lambda b: F.transform(
+        recursive_split(b["t"], params.chunk_tokens, params.overlap_tokens),
+        lambda c: F.struct(c.alias("content"), b["h"].alias("heading")))))
+    return F.filter(cut, lambda c: token_count(c["content"]) > params.min_tokens)
 
 
 def chunk_articles(articles: DataFrame, params: Params = Params()) -> DataFrame:
     """``articles(url, title, text)`` to one row per chunk, numbered from 1 within its page.
 
+    ``heading`` is that of the section which the chunk starts with, or was cut from; '' without one.
+
     An article without text has no chunks.  There is no filter for it: Spark would move that
     below the extraction and extract twice.
     """
@@ -141,7 +161,7 @@ def chunk_articles(articles: DataFrame, params: Params = Params()) -> DataFrame:
         .alias("sections"))
     chunked = sectioned.select(
         *kept, page_text("sections").alias("page_contents"),
-        chunk_texts(section_texts("sections"), params).alias("chunks"))
+        chunk_sections("sections", params).alias("chunks"))
     rows = exploded(chunked, [*kept, "page_contents", F.size("chunks").alias("n_chunks")],
-                    F.col("chunks"), "content", "pos")
-    return rows.withColumn("chunk_no", F.col("pos") + 1).drop("pos")
+                    F.col("chunks"), "chunk", "pos")
+    return rows.select("*", "chunk.content", "chunk.heading", (F.col("pos") + 1).alias("chunk_no")).drop("pos", "chunk")

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quaero.functions.arrays import exploded
 from quaero.functions.text import terms
-from quaero.operators.scoring import BlendKernel, TermKernel
-from quaero.operators.topk import rank_within, topk_join
+from quaero.operators.scoring import BlendKernel, PairKernel, TermKernel
+from quaero.operators.topk import blend_topk, fits_broadcast, rank_within, topk_join
 from quaero.operators.vector import matching, vector_topk
 from quaero.params import Params
+from quaero.sources.workdir import staged
 
 
 @dataclass(frozen=True)
@@ -108,7 +109,9 @@ def hybrid_topk(index: DataFrame, queries: DataFrame, stats: CorpusStats, k: int
     """Vector and keyword search in one ranking.
 
     ``linear`` blends both scores of every index row and is graded in [0, 1], so that a
-    threshold means something; rows and queries without a vector count by their words.  ``rrf`` only looks at the ranks of the two top-k lists.
+    threshold means something; rows and queries without a vector count by their words.  The index is
+    read once (`blend_topk`), or, for queries beyond the broadcast bound, once for the best BM25 of
+    each query and once for the blend.  ``rrf`` only looks at the ranks of the two top-k lists.
     """
     if fusion == "rrf":
         if threshold is not None:
@@ -121,13 +124,12 @@ def hybrid_topk(index: DataFrame, queries: DataFrame, stats: CorpusStats, k: int
     lexical = weighted_queries(queries, stats, text)
     kernel = TermKernel(stats.avg_len, params.bm25_k1, params.bm25_b)
     rows = matching(index, where)
+    pair = PairKernel(kernel, params.vector_weight)
+    asked = staged(queries.select("query_id", "embedding").join(lexical, "query_id", "left").select(
+        "query_id", "embedding", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
+        F.coalesce("weights", F.array().cast("array<double>")).alias("weights")), "asked")
+    if params.vector_weight >= 0.001 and fits_broadcast(asked, pair, params):
+        return blend_topk(rows, asked, pair, k, params, threshold)
     best = topk_join(rows, lexical, kernel, 1, params).select("query_id", F.col("score").alias("best"))
-    blended = (
-        queries.select("query_id", "embedding")
-        .join(lexical, "query_id", "left").join(best, "query_id", "left")
-        .select("query_id", "embedding",
-                F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
-                F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
-                F.coalesce("best", F.lit(0.0)).alias("best"))
-    )
+    blended = asked.join(best, "query_id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
     return topk_join(rows, blended, BlendKernel(kernel, params.vector_weight), k, params, threshold)

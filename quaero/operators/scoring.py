@@ -211,3 +211,109 @@ def best_of(batches, queries: pa.Table, kernel, k: int, min_score, tile_cells: i
             tile = batch.slice(at, step)
             best.add(tile.column("id").to_numpy(zero_copy_only=False), kernel.scores(block, tile))
     return best.batch(queries["query_id"].combine_chunks())
+
+
+@dataclass(frozen=True)
+class PairKernel:
+    """Both scores of the blend apart: mapped cosine (0 without vectors), BM25, and is it a hit by vector."""
+
+    terms: TermKernel
+    weight: float
+    digits: int = 4
+
+    index_columns = ("embedding", "terms")
+    query_columns = ("embedding", "terms", "weights")
+
+    def block(self, queries: pa.Table):
+        return _vectors(queries["embedding"].combine_chunks()), self.terms.block(queries)
+
+    def pairs(self, block, batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (asked, has_asked), terms = block
+        rows, has_row = _vectors(batch.column("embedding"))
+        both = has_asked[:, None] & has_row[None, :]
+        cos = np.zeros(both.shape)
+        if both.any():
+            cos = np.where(both, (1.0 + asked @ rows.T) / 2.0, 0.0)
+        return cos, self.terms.raw(terms, batch), both
+
+
+class Skyband:
+    """The rows that can be among the k best of weight * cos + (1 - weight) * lex / best, whatever best is.
+
+    A row goes if k others have at least its scores and win every tie.  Blends are rounded, so a
+    row with a larger id must have no larger cosine, one with a smaller id one that is smaller by
+    ``margin``.  Points that k rows dominate are kept per query and sort out most of a tile at once.
+    """
+
+    LEANINGS = (1.0, 0.8, 0.5, 0.0)
+
+    def __init__(self, n_queries: int, k: int, margin: float):
+        self.k, self.margin = k, margin
+        self.points = np.full((n_queries, len(self.LEANINGS), 2), -np.inf)
+        self.held = [[np.zeros(0, np.int64), np.zeros(0), np.zeros(0)] for _ in range(n_queries)]
+
+    def _points(self, cos: np.ndarray, lex: np.ndarray) -> np.ndarray:
+        """For each leaning the point that the k rows best by it dominate; for rows of a matrix."""
+        cos = np.maximum(cos, 0.0)
+        out = np.empty((len(cos), len(self.LEANINGS), 2))
+        top = np.maximum(lex.max(axis=1, keepdims=True), 1e-300)
+        for i, a in enumerate(self.LEANINGS):
+            best = np.argpartition(-(a * cos + (1 - a) * lex / top), self.k - 1, axis=1)[:, :self.k]
+            out[:, i, 0] = np.take_along_axis(cos, best, axis=1).min(axis=1)
+            out[:, i, 1] = np.take_along_axis(lex, best, axis=1).min(axis=1)
+        return out
+
+    def _below(self, cos, lex, points) -> np.ndarray:
+        cos = np.maximum(cos, 0.0)  # what a row without a vector adds to the blend
+        out = np.zeros(cos.shape, bool)
+        for i in range(points.shape[1]):
+            out |= (cos <= points[:, i, 0, None] - self.margin) & (lex <= points[:, i, 1, None])
+        return out
+
+    def add(self, ids: np.ndarray, cos: np.ndarray, lex: np.ndarray, hit: np.ndarray) -> None:
+        passing = hit & ~self._below(cos, lex, self.points)
+        if cos.shape[1] > 4 * self.k and np.count_nonzero(passing) > 8 * self.k * len(cos):
+            # Rows that are no hits have no scores, so they dominate none.
+            passing &= ~self._below(cos, lex, self._points(np.where(hit, cos, -1.0), np.where(hit, lex, -1.0)))
+        for q in np.flatnonzero(passing.any(axis=1)):
+            at = np.flatnonzero(passing[q])
+            new = (ids[at], cos[q, at], lex[q, at])
+            self.held[q] = [np.concatenate(x) for x in zip(self.held[q], new)]
+            if len(self.held[q][0]) > 16 * self.k:
+                self._cut(q)
+
+    def _cut(self, q: int) -> None:
+        ids, cos, lex = self.held[q]
+        keep = np.ones(len(ids), bool)
+        x = np.maximum(cos, 0.0)
+        for at in range(0, len(ids), 512):
+            part = slice(at, at + 512)
+            over = lex[None, :] >= lex[part, None]
+            over &= (x[None, :] >= x[part, None] + self.margin) | ((x[None, :] >= x[part, None]) & (ids[None, :] < ids[part, None]))
+            keep[part] = over.sum(axis=1) < self.k
+        self.held[q] = [ids[keep], cos[keep], lex[keep]]
+        if keep.sum() >= self.k:
+            self.points[q] = self._points(cos[keep][None], lex[keep][None])[0]
+
+    def batch(self, query_ids: pa.Array) -> pa.RecordBatch:
+        for q in range(len(self.held)):
+            self._cut(q)
+        sizes = [len(h[0]) for h in self.held]
+        columns = [np.concatenate([h[i] for h in self.held]) if self.held else np.zeros(0) for i in range(3)]
+        return pa.RecordBatch.from_arrays(
+            [query_ids.take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(columns[0].astype(np.int64)),
+             pa.array(columns[1]), pa.array(columns[2])], names=["query_id", "id", "cos", "lex"])
+
+
+def skyband_of(batches, queries: pa.Table, kernel: PairKernel, k: int, tile_cells: int):
+    """The rows of the batches that may be among the k best of each query's blend."""
+    block = kernel.block(queries)
+    band = Skyband(queries.num_rows, k, 10.0 ** -kernel.digits / kernel.weight)
+    step = max(64, tile_cells // max(1, queries.num_rows))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            tile = batch.slice(at, step)
+            cos, lex, both = kernel.pairs(block, tile)
+            # -1 marks a row without a vector: it has no part in the cosine, but may hit by its words.
+            band.add(tile.column("id").to_numpy(zero_copy_only=False), np.where(both, cos, -1.0), lex, both | (lex > 0))
+    return band.batch(queries["query_id"].combine_chunks())

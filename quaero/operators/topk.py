@@ -6,10 +6,11 @@ sends only those on, so the shuffle carries queries x k x tasks rows, not querie
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quaero.operators.scoring import best_of
+from quaero.operators.scoring import best_of, skyband_of
 from quaero.params import Params
 from quaero.sources.workdir import staged
 
@@ -75,6 +76,42 @@ def scan_topk(index: DataFrame, queries: DataFrame, kernel, k: int, params: Para
     return merged_topk(partial, k)
 
 
+def blend_topk(index: DataFrame, queries: DataFrame, kernel, k: int, params: Params,
+               min_score: float | None = None) -> DataFrame:
+    """The k best of a blend whose second score is divided by its best over all rows, in one scan.
+
+    The best is known only when all rows are read, so each task keeps the rows that may win
+    whatever it is, with both scores apart (`Skyband`), and the blend is made of these.
+    """
+    asked = queries.select("query_id", *kernel.query_columns).toArrow()
+    shared = index.sparkSession.sparkContext.broadcast(asked)
+    tile, weight, digits = params.tile_cells, kernel.weight, kernel.digits
+
+    def run(batches):
+        yield skyband_of(batches, shared.value, kernel, k, tile)
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    found = staged(index.select("id", *kernel.index_columns).mapInArrow(
+        run, f"query_id {kind}, id bigint, cos double, lex double"), "band")
+    best = found.groupBy("query_id").agg(F.max("lex").alias("best"))  # one row a query
+
+    def blend(batches):
+        for batch in batches:
+            cos, lex, top = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cos", "lex", "best"))
+            top = np.round(top, digits)
+            lexical = lex * np.divide(1.0, top, out=np.zeros_like(top), where=top > 0)
+            score = np.round(weight * np.maximum(cos, 0.0) + (1.0 - weight) * lexical, digits)
+            hit = (cos >= 0) | (lexical > 0)
+            if min_score is not None:
+                hit &= score >= min_score
+            out = pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(score)],
+                                             names=["query_id", "id", "score"])
+            yield out.filter(pa.array(hit))
+
+    scored = found.join(best, "query_id").select("query_id", "id", "cos", "lex", "best").mapInArrow(blend, _hits_schema(queries))
+    return merged_topk(scored, k)
+
+
 HEAVY = 1000
 
 
@@ -155,10 +192,7 @@ def grid_topk(index: DataFrame, queries: DataFrame, kernel, k: int, params: Para
 def topk_join(index: DataFrame, queries: DataFrame, kernel, k: int, params: Params,
               min_score: float | None = None) -> DataFrame:
     """Exact top-k: broadcast the queries if they are proven small, else use the grid."""
-    # Kept on the executors between the check and the use; recomputed if one is lost.
-    queries = queries.select("query_id", *kernel.query_columns).persist()
-    try:
-        run = scan_topk if fits_broadcast(queries, kernel, params) else grid_topk
-        return run(index, queries, kernel, k, params, min_score)
-    finally:
-        queries.unpersist()
+    # Written, as the check and the way taken both read them.
+    queries = staged(queries.select("query_id", *kernel.query_columns), "asked")
+    run = scan_topk if fits_broadcast(queries, kernel, params) else grid_topk
+    return run(index, queries, kernel, k, params, min_score)

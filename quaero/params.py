@@ -50,3 +50,19 @@ class Params:
     cell_queries: int = 20_000
     # Doubles in one scoring tile (queries x rows).
     tile_cells: int = 4_000_000
+
+    # --- search structures that a search reads in part
+    part_rows: int = 65_536          # rows whose postings share a folder
+    shard_rows: int = 512            # rows of one shard; a block holds a term's postings in one
+    posting_group_bytes: int = 4 << 20
+    seed_shards: int = 4             # shards that each query scores before the others' bounds are held against it
+    pushed_terms: int = 256          # up to so many words are named to the parquet reader
+    cell_sample: int = 50_000        # rows that the centroids are fitted on, about
+    most_cells: int = 4096
+    cell_rounds: int = 8
+    cell_queries_measured: int = 200
+    target_recall: float = 0.95
+    exact_probes: int = 4            # cells an exact search looks into before it asks which others can matter
+    lookup_ids: int = 200_000        # hits up to which the lookup table is read by ranges of ids
+    lookup_ranges: int = 64
+    lookup_group_bytes: int = 1 << 20

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quaero.functions.arrays import exploded
 from quaero.functions.keys import content_hash
 from quaero.functions.text import terms
+from quaero.operators.cells import Cells, build_cells
 from quaero.operators.keyword import CorpusStats, corpus_stats, term_counts
+from quaero.operators.postings import Postings, build_postings
 from quaero.operators.vector import embed
 from quaero.params import Params
 from quaero.sources.workdir import run_dir, staged
@@ -33,6 +35,9 @@ class Index:
     rows: DataFrame
     stats: CorpusStats | None
     failed: DataFrame | None = None  # ``id, error`` of rows without a vector, if a model made these
+    postings: Postings | None = None  # what keyword search reads in part
+    cells: Cells | None = None        # what approximate vector search reads in part
+    lookup: DataFrame | None = None   # the rows without vectors, sorted by id
 
 
 def with_terms(chunks: DataFrame) -> DataFrame:
@@ -64,10 +69,13 @@ def refuse_conflicts(rows: DataFrame) -> None:
 
 
 def build_index(chunks: DataFrame, params: Params = Params(), embedder=None,
-                folder: str | None = None, vectors: bool = True) -> Index:
+                folder: str | None = None, vectors: bool = True, postings: bool = False,
+               cells: bool = False, lookup: bool = False) -> Index:
     """Write rows and term table once; every search reads the written tables.
 
     Refuses rows that share an id.  ``vectors=False`` leaves the embedding out, for an index that only serves keyword search.
+    ``postings``, ``cells`` and ``lookup`` add what keyword search, approximate search and the
+    fetching of texts read in part instead of whole; each is one more copy of what it holds.
     """
     folder = folder or run_dir(chunks.sparkSession, "index")
     full = (searchable(chunks, params, embedder) if vectors
@@ -75,12 +83,35 @@ def build_index(chunks: DataFrame, params: Params = Params(), embedder=None,
     rows = staged(full, "rows", folder)
     refuse_conflicts(rows)
     failed = rows.where("error is not null").select("id", "error") if "error" in rows.columns else None
-    return Index(rows.drop("error"), corpus_stats(rows, staged(term_counts(rows), "terms", folder)), failed)
+    stats = corpus_stats(rows, staged(term_counts(rows), "terms", folder))
+    rows = rows.drop("error")
+    return Index(rows, stats, failed, **search_structures(rows, stats, params, folder, postings, cells and vectors, lookup))
 
 
-def load_index(spark: SparkSession, path: str) -> Index:
+def search_structures(rows: DataFrame, stats: CorpusStats, params: Params, folder: str, postings: bool = False,
+                      cells: bool = False, lookup: bool = False) -> dict:
+    """The parts of an `Index` that searches read in part, written under ``folder``."""
+    return {
+        "postings": build_postings(rows, stats.avg_len, params, f"{folder}/postings") if postings else None,
+        "cells": build_cells(rows.select("id", "embedding"), params, f"{folder}/cells") if cells else None,
+        "lookup": by_id(rows, params, f"{folder}/lookup") if lookup else None,
+    }
+
+
+def by_id(rows: DataFrame, params: Params, path: str) -> DataFrame:
+    """The rows without vectors in files of disjoint ranges of ids, sorted, with small row groups."""
+    narrow = rows.drop("embedding")
+    (narrow.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite")
+        .option("parquet.block.size", params.lookup_group_bytes).parquet(path))
+    return rows.sparkSession.read.schema(narrow.schema).parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, params: Params = Params(), postings: bool = False,
+               cells: bool = False, lookup: bool = False) -> Index:
     """Open the synced index at ``path`` with the statistics of its latest state.
 
+    The search structures are built for that state if asked for.
+
     Each sync leaves what it changed in the counts, so opening adds these up and does not read
     the passages.
     """
@@ -88,8 +119,10 @@ def load_index(spark: SparkSession, path: str) -> Index:
     rows, sized, words = deltas.where("term IS NULL").agg(
         *[F.coalesce(F.sum(c), F.lit(0)) for c in ("rows", "sized", "words")]).first()
     terms_ = deltas.where("term IS NOT NULL").groupBy("term").agg(F.sum("rows").alias("df")).where("df > 0")
-    return Index(current_rows(spark, path),
-                 CorpusStats(staged(terms_, "terms"), rows, float(words) / sized if words else 1.0))
+    stats = CorpusStats(staged(terms_, "terms"), rows, float(words) / sized if words else 1.0)
+    state = current_rows(spark, path)
+    built = search_structures(state, stats, params, run_dir(spark, "index"), postings, cells, lookup)
+    return Index(state, stats, **built)
 
 
 # Changes of the counts: rows by term; all rows, those with terms and their terms where it is NULL.
@@ -170,7 +203,8 @@ NO_VECTOR = ""
 
 def next_batch(spark: SparkSession, path: str) -> int:
     """The number after that of the last sync."""
-    last = _log(spark, path, None).agg(F.max("batch_id")).first()[0]
+    # The folders' names hold it, so no file is opened for the passages.
+    last = _log(spark, path, None).select("batch_id").distinct().agg(F.max("batch_id")).first()[0]
     return 0 if last is None else last + 1
 
 

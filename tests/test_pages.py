@@ -212,7 +212,7 @@ def test_corpus_puts_context_on_page_chunks_only(spark):
     rows = build_corpus(df, rules, custom=custom.union(custom)).orderBy("url", "chunk_no").collect()
     assert [(r.url, r.chunk_no) for r in rows] == [("", 0), ("u", 1), ("u", 2)]
     assert rows[0].content == "custom text"
-    assert rows[1].content.startswith("Title › part 1 of 2: w0 w1")
+    assert rows[1].content.startswith("Title › a › part 1 of 2: w0 w1")
     assert rows[2].content.endswith("\n\nb\n" + words(30))
     assert len({r.id for r in rows}) == 3
     again = {r.id for r in build_corpus(df, None, custom=custom).collect()}
