@@ -38,7 +38,7 @@ class PhraseParams:
     least: int = 100            # occurrences of a candidate
     best: int = 2000            # phrases returned for a group
     filter_bits: int = 1 << 24  # of the filter that is broadcast: 2 MB, whatever the input
-    hold: int = 400_000         # entries that a task merges before it hands stripes on
+    hold: int = 200_000         # entries that a task merges before it hands stripes on
     spread: int = 32            # parts of the stripe of a word, dealt by the next word; longer prefixes have fewer,
     words: int = 8192           # the empty prefix, whose stripe is the vocabulary, more
 
@@ -96,6 +96,7 @@ def count_phrases(number: np.ndarray, carried: int, size: int, may: np.ndarray |
     return start[first], times
 
 
+_ROWS = 8192  # of a batch that a task hands on
 _ENTRIES = pa.schema([("prefix", pa.large_string()), ("next", pa.large_string()), ("n", pa.int64())])
 
 
@@ -103,15 +104,17 @@ def _count(p: PhraseParams, size: int, known):
     """Stripes of the texts of a task: ``grp, prefix, part, next, n`` with lists of words and counts."""
     spread = p.words if size == 1 else max(1, p.spread >> 2 * (size - 2))
 
-    def stripes(group: str, held: list[pa.Table]) -> pa.RecordBatch:
+    def stripes(group: str, held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         merged = _merged(held)
         part = (words.hashes(merged["next"].combine_chunks()) % np.uint64(spread)).astype(np.int32)
         lists = merged.append_column("part", pa.array(part)).group_by(["prefix", "part"]).aggregate([("next", "list"), ("n", "list")])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([group] * lists.num_rows, pa.string()), lists["prefix"].cast(pa.string()).combine_chunks(),
-             lists["part"].combine_chunks(), lists["next_list"].cast(pa.list_(pa.string())).combine_chunks(),
-             lists["n_list"].combine_chunks()],
-            names=["grp", "prefix", "part", "next", "n"])
+        for at in range(0, lists.num_rows, _ROWS):
+            some = lists.slice(at, _ROWS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([group] * some.num_rows, pa.string()), some["prefix"].cast(pa.string()).combine_chunks(),
+                 some["part"].combine_chunks(), some["next_list"].cast(pa.list_(pa.string())).combine_chunks(),
+                 some["n_list"].combine_chunks()],
+                names=["grp", "prefix", "part", "next", "n"])
 
     def entries(group: str, texts: list[str]) -> Iterator[pa.Table]:
         mark = words.hashes(pa.array([group]))[0]
@@ -145,9 +148,12 @@ def _count(p: PhraseParams, size: int, known):
                         held = {x: [_merged(tables)] for x, tables in held.items()}
                         total = sum(tables[0].num_rows for tables in held.values())
                         if total > p.hold // 2:
-                            yield from (stripes(x, tables) for x, tables in held.items())
-                            held, total = {}, 0
-        yield from (stripes(x, tables) for x, tables in held.items())
+                            for x in list(held):
+                                yield from stripes(x, held.pop(x))
+                            total = 0
+                            pa.default_memory_pool().release_unused()
+        for x in list(held):
+            yield from stripes(x, held.pop(x))
 
     return run
 
