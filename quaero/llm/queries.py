@@ -173,9 +173,9 @@ with p as (
     select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
 w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
-at as (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, (select unnest([1, 2, 3, 4, 5]) as m)),
+places as (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, (select unnest([1, 2, 3, 4, 5]) as m)),
 f as (
-    select lang, m, w[i:i + m - 1] as ws, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f from at
+    select lang, m, w[i:i + m - 1] as ws, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f from places
     group by all having f >= 100 or m = 1),
 total as (select lang, sum(f)::hugeint as n from f where m = 1 group by lang),
 c as (select * from f where m > 1),
