@@ -22,7 +22,7 @@ class LangParams:
     rounds: int = 10
     starts: int = 4           # of the clustering, the best of which is taken
     support: float = 0.05     # of its language's fitted rows that a centroid must hold
-    between: float = 0.2      # where the bar lies between the median cosine of other languages and the own one
+    between: float = 0.15     # where the bar lies between the median cosine of other languages and the own one
     spread: float = 5.0       # without other languages: deviations below the own median
     rows: int = 20            # of either kind that a length needs for a bar of its own
 
