@@ -28,7 +28,7 @@ from quaero.sources.workdir import run_dir, staged
 # What parts pieces, what parts words.
 _KIND = words.table(space=b" \t", mark=b".,;:!?\n\x0b\x0c\r")
 _CUT = re.compile("[ \t.,;:!?\n\x0b\x0c\r]")
-_BLANK = pa.scalar(" ", pa.large_string())
+_BLANK, _TAB, _LINE = (pa.scalar(x, pa.large_string()) for x in " \t\n")
 _END = "\n"  # follows the last word of a piece; no word holds it
 
 
@@ -100,21 +100,29 @@ _ROWS = 8192  # of a batch that a task hands on
 _ENTRIES = pa.schema([("prefix", pa.large_string()), ("next", pa.large_string()), ("n", pa.int64())])
 
 
-def _count(p: PhraseParams, size: int, known):
-    """Stripes of the texts of a task: ``grp, prefix, part, next, n`` with lists of words and counts."""
+def _count(p: PhraseParams, size: int, known, buckets: int):
+    """Stripes of the texts of a task: ``grp, bucket, stripes``, many to a row, as one text.
+
+    A stripe is a line for each entry, ``prefix, next, n`` between tabs, which no word holds.  Entries
+    are dealt to buckets by prefix and, for prefixes with many followers, by the part of the next word.
+    """
     spread = p.words if size == 1 else max(1, p.spread >> 2 * (size - 2))
 
     def stripes(group: str, held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         merged = _merged(held)
-        part = (words.hashes(merged["next"].combine_chunks()) % np.uint64(spread)).astype(np.int32)
-        lists = merged.append_column("part", pa.array(part)).group_by(["prefix", "part"]).aggregate([("next", "list"), ("n", "list")])
-        for at in range(0, lists.num_rows, _ROWS):
-            some = lists.slice(at, _ROWS)
+        prefix, following = merged["prefix"].combine_chunks(), merged["next"].combine_chunks()
+        part = words.hashes(following) % np.uint64(spread)
+        bucket = (codes.mix(words.hashes(prefix) + part) % np.uint64(buckets)).astype(np.int64)
+        order = pa.array(np.argsort(bucket, kind="stable"))
+        lines = pc.binary_join_element_wise(prefix, following, merged["n"].combine_chunks().cast(pa.large_string()), _TAB).take(order)
+        bucket = np.sort(bucket)
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        blobs = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(starts, len(bucket))), lines), _LINE)
+        for at in range(0, len(starts), _ROWS):
+            some = slice(at, at + _ROWS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([group] * some.num_rows, pa.string()), some["prefix"].cast(pa.string()).combine_chunks(),
-                 some["part"].combine_chunks(), some["next_list"].cast(pa.list_(pa.string())).combine_chunks(),
-                 some["n_list"].combine_chunks()],
-                names=["grp", "prefix", "part", "next", "n"])
+                [pa.array([group] * len(starts[some]), pa.string()), pa.array(bucket[starts[some]]), blobs[some].cast(pa.string())],
+                names=["grp", "bucket", "stripes"])
 
     def entries(group: str, texts: list[str]) -> Iterator[pa.Table]:
         mark = words.hashes(pa.array([group]))[0]
@@ -203,10 +211,12 @@ def _merge(p: PhraseParams, size: int):
 
     def run(batches):
         for table in _whole(batches, "slot"):
-            lists = table["next"].combine_chunks()
+            lists = pc.split_pattern(table["stripes"].combine_chunks().cast(pa.large_string()), "\n")
             row = pa.array(np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()))
-            flat = pa.table({"grp": table["grp"].combine_chunks().take(row), "prefix": table["prefix"].cast(pa.large_string()).combine_chunks().take(row),
-                             "next": lists.flatten().cast(pa.large_string()), "n": table["n"].combine_chunks().flatten()})
+            cells = pc.split_pattern(lists.flatten(), "\t").flatten()
+            column = lambda i: cells.take(pa.array(np.arange(i, len(cells), 3)))
+            flat = pa.table({"grp": table["grp"].combine_chunks().take(row), "prefix": column(0), "next": column(1),
+                             "n": column(2).cast(pa.int64())})
             added = flat.group_by(["grp", "prefix", "next"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
             often = added.filter(pc.greater_equal(added["n"], p.least))
             for g in pc.unique(often["grp"]).to_pylist():
@@ -239,8 +249,10 @@ def merged_stripes(rows: DataFrame, size: int, p: PhraseParams, known: Sieve | N
     """The stripes of all prefixes one word shorter than ``size``, merged, as one written table."""
     context = rows.sparkSession.sparkContext
     shared = None if known is None else context.broadcast(known)
-    parts = rows.mapInArrow(_count(p, size, shared), "grp string, prefix string, part int, next array<string>, n array<long>")
-    parts = parts.withColumn("slot", F.xxhash64("grp", "prefix", "part"))
+    # Buckets go with the partitions, so that a bucket stays a small part of what a task reads.
+    buckets = 64 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.mapInArrow(_count(p, size, shared, buckets), "grp string, bucket long, stripes string")
+    parts = parts.withColumn("slot", F.xxhash64("grp", "bucket"))
     merged = parts.repartition("slot").sortWithinPartitions("slot").mapInArrow(_merge(p, size), _MERGED)
     return staged(merged, f"stripes-{size}", folder)
 
