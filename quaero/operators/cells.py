@@ -165,4 +165,4 @@ def cells_topk(cells: Cells, queries: DataFrame, k: int, params: Params = Params
     asked = queries.select("query_id", "embedding").join(kth, "query_id", "left").select(
         "query_id", "embedding", F.coalesce("floor", F.lit(least)).alias("floor"))
     shared = queries.sparkSession.sparkContext.broadcast((cells.centroids, cells.reach))
-    return topk_join(cells.rows, asked, CellKernel(normalised, shared=shared), k, params, threshold)
+    return topk_join(cells.rows, asked, CellKernel(normalised, shared=shared), k, params, threshold, distinct=True)

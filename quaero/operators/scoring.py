@@ -330,10 +330,13 @@ class BlendKernel(_Whole):
 
 
 class Best:
-    """The k best hits per query seen so far; ties go to the smaller id.  Nothing else is kept."""
+    """The k best hits per query seen so far; ties go to the smaller id.  Nothing else is kept.
 
-    def __init__(self, n_queries: int, k: int, min_score: float | None):
-        self.k = k
+    With ``distinct`` rows that come twice count once.
+    """
+
+    def __init__(self, n_queries: int, k: int, min_score: float | None, distinct: bool = False):
+        self.k, self.distinct, self.copies = k, distinct, 1
         self.floor = np.full(n_queries, -np.inf if min_score is None else min_score)
         self.query = np.zeros(0, np.int64)
         self.id = np.zeros(0, np.int64)
@@ -349,9 +352,10 @@ class Best:
         if least > -np.inf:
             found &= raw > least
         width = raw.shape[1]
-        if width > self.k and np.count_nonzero(found) > 2 * self.k * len(raw):
+        deep = self.k * self.copies  # so many rows have k distinct ids at least
+        if width > deep and np.count_nonzero(found) > 2 * deep * len(raw):
             # Whatever lies below the tile's own k-th score cannot be among the k best.
-            found &= raw >= low(np.partition(raw, width - self.k, axis=1)[:, width - self.k].astype(np.float64))
+            found &= raw >= low(np.partition(raw, width - deep, axis=1)[:, width - deep].astype(np.float64))
         return np.divmod(np.flatnonzero(found), width)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
@@ -372,6 +376,9 @@ class Best:
         query, id_, score = np.r_[self.query[old], q], np.r_[self.id[old], ids], np.r_[self.score[old], scores]
         order = np.lexsort((id_, -score, query))
         query, id_, score = query[order], id_[order], score[order]
+        if self.distinct:
+            new = np.append(True, (np.diff(query) != 0) | (np.diff(id_) != 0) | (score[1:] != score[:-1]))
+            query, id_, score = query[new], id_[new], score[new]
         rank = np.arange(len(query)) - np.searchsorted(query, query)
         keep, full = rank < self.k, rank == self.k - 1
         self.floor[query[full]] = np.maximum(self.floor[query[full]], score[full])
@@ -385,7 +392,7 @@ class Best:
             ["query_id", "id", "score"])
 
 
-def best_of(batches, queries: pa.Table, kernel, k: int, min_score, tile_cells: int):
+def best_of(batches, queries: pa.Table, kernel, k: int, min_score, tile_cells: int, distinct: bool = False):
     """The k best hits of each query among the rows of all batches, as one batch for each block of queries.
 
     A tile is a block of queries by a slice of rows, both about the root of ``tile_cells`` if there
@@ -396,12 +403,14 @@ def best_of(batches, queries: pa.Table, kernel, k: int, min_score, tile_cells: i
     rows = max(64, math.isqrt(tile_cells), min(8192, tile_cells // max(1, queries.num_rows)))
     size = max(1, tile_cells // rows)
     shared, blocks = kernel.blocks(queries, size)
-    found = [Best(min(size, queries.num_rows - i * size), k, min_score) for i in range(len(blocks))]
+    found = [Best(min(size, queries.num_rows - i * size), k, min_score, distinct) for i in range(len(blocks))]
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             tile = batch.slice(at, rows)
             ids, encoded = tile.column("id").to_numpy(zero_copy_only=False), kernel.encoded(shared, tile)
+            copies = int(np.unique(ids, return_counts=True)[1].max(initial=1)) if distinct else 1
             for block, best in zip(blocks, found):
+                best.copies = copies
                 kernel.into(block, encoded, ids, best)
     names = queries["query_id"].combine_chunks()
     for i, best in enumerate(found):

@@ -68,17 +68,24 @@ def fits_broadcast(queries: DataFrame, kernel, params: Params) -> bool:
 
 
 def scan_topk(index: DataFrame, queries: DataFrame, kernel, k: int, params: Params,
-              min_score: float | None = None) -> DataFrame:
-    """Every index partition scores all queries; the index itself is not shuffled."""
+              min_score: float | None = None, distinct: bool = False) -> DataFrame:
+    """Every index partition scores all queries; the index itself is not shuffled.
+
+    With ``distinct`` a pair of query and row that comes twice is one hit, as in `grid_topk`.
+    """
     rows = queries.select("query_id", *kernel.query_columns).toArrow()
     shared = index.sparkSession.sparkContext.broadcast(rows)
     tile = params.tile_cells
 
     def run(batches):
-        yield from best_of(batches, shared.value, kernel, k, min_score, tile)
+        yield from best_of(batches, shared.value, kernel, k, min_score, tile, distinct)
 
     partial = index.select("id", *kernel.index_columns).mapInArrow(run, _hits_schema(queries))
-    return merged_topk(partial, k)
+    return merged_topk(_once(partial) if distinct else partial, k)
+
+
+def _once(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
 def blend_topk(index: DataFrame, queries: DataFrame, kernel, k: int, params: Params,
@@ -218,16 +225,15 @@ def grid_topk(index: DataFrame, queries: DataFrame, kernel, k: int, params: Para
                     part = next(parts, None)
 
             if held:
-                yield from best_of(rows_of_cell(), pa.Table.from_batches(held), kernel, k, min_score, tile)
+                yield from best_of(rows_of_cell(), pa.Table.from_batches(held), kernel, k, min_score, tile, True)
             else:
                 for _ in rows_of_cell():
                     pass
 
     both = asked.unionByName(rows, allowMissingColumns=True).repartition(_tasks(index), *cell)
     partial = both.sortWithinPartitions(*cell, "side").mapInArrow(run, schema)
-    if bucketed:  # a pair may meet in several buckets; its score is the same in each
-        partial = partial.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return merged_topk(partial, k)
+    # A pair may meet in several buckets; its score is the same in each.
+    return merged_topk(_once(partial), k)
 
 
 def _cells(batches, cell: list[str]):
@@ -241,9 +247,10 @@ def _cells(batches, cell: list[str]):
 
 
 def topk_join(index: DataFrame, queries: DataFrame, kernel, k: int, params: Params,
-              min_score: float | None = None) -> DataFrame:
+              min_score: float | None = None, distinct: bool = False) -> DataFrame:
     """Exact top-k: broadcast the queries if they are proven small, else use the grid."""
     # Written, as the check and the way taken both read them.
     queries = staged(queries.select("query_id", *kernel.query_columns), "asked")
-    run = scan_topk if fits_broadcast(queries, kernel, params) else grid_topk
-    return run(index, queries, kernel, k, params, min_score)
+    if fits_broadcast(queries, kernel, params):
+        return scan_topk(index, queries, kernel, k, params, min_score, distinct)
+    return grid_topk(index, queries, kernel, k, params, min_score)

@@ -108,3 +108,15 @@ def test_terms_are_hashed_as_the_formula_says(spark):
         else:
             counts = np.bincount(np.array(row.p, int), minlength=16)
             assert np.allclose(row.v, counts / max(1, np.linalg.norm(counts)))
+
+
+def test_a_pair_that_comes_twice_is_one_hit_of_the_grid_and_of_cells(spark, folder):
+    x = np.random.default_rng(6).normal(size=(120, 4)).astype(np.float32)
+    index, queries = (_vectors(spark, x, name) for name in ("id", "query_id"))
+    index, queries = index.unionByName(index.where("id % 3 = 0")), queries.unionByName(queries.where("query_id % 5 = 0"))
+    want = _exact(x.astype(float), x.astype(float), 6)
+    grid = grid_topk(index, queries, VectorKernel(False), 6, Params(cell_rows=50, cell_queries=50))
+    probed = cells_topk(build_cells(index, folder=folder), queries, 6, normalised=False, exact=True)
+    for hits in (grid, probed):
+        found = [(r.query_id, r.id, r.score) for r in hits.collect()]
+        assert len(found) == len(set(found)) and set(found) == want
