@@ -163,6 +163,16 @@ def test_tokens_count_each_cjk_character(spark):
     assert df.select(tokens("t")).first()[0] == ["AI", "入", "学", "2024", "年", "で", "す"]
 
 
+def test_tokens_are_the_same_by_script_for_every_character(spark):
+    """The expression asks for plain letters first and for scripts where they can be; this is the plain definition."""
+    cjk = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+    plain = F.lit(rf"[\p{{L}}\p{{N}}&&[^{cjk}]]+|[{cjk}]")
+    c = F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')")
+    texts = spark.range(0x110000).where("id < 55296 or id > 57343").select(F.concat(F.lit("aé"), c, c, F.lit("9")).alias("t"))
+    assert texts.where(tokens("t") != F.regexp_extract_all("t", plain, F.lit(0))).count() == 0
+    assert texts.where(token_count("t") != F.regexp_count("t", plain)).count() == 0
+
+
 def test_strip_and_sentences(spark):
     df = spark.createDataFrame([(" 　\n a b \t",), ("..One. . two!? 三。四\n\n.five",)], "t string")
     assert df.select(strip("t")).first()[0] == "a b"
