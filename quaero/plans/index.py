@@ -228,7 +228,8 @@ def sync_index(chunks: DataFrame, path: str, batch_id: int | None = None, params
     """
     spark = chunks.sparkSession
     batch_id = next_batch(spark, path) if batch_id is None else batch_id
-    source = with_hash(chunks.select("id", "url", "content"))
+    # Read by the comparison and by the wide join, so whatever makes the chunks runs once.
+    source = staged(with_hash(chunks.select("id", "url", "content")), "source")
     current = current_rows(spark, path, batch_id, ("id", "content_hash"))
     # Written once, so that the wide join below does not repeat the comparison.
     changes = staged(index_diff(current, source, deletes), "changes")

@@ -48,6 +48,20 @@ def test_sync_follows_inserts_updates_and_deletes(spark, folder):
     assert {r.id: r.content for r in small.collect()} == {1: "a", 2: "BB", 3: "c", 4: "d"}
 
 
+def test_what_makes_the_chunks_of_a_sync_runs_once(spark, folder):
+    """It ran for the comparison and again for the rows that changed."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i, "u", f"text {i}") for i in range(40)], SCHEMA).mapInArrow(count, SCHEMA)
+    assert ops(IX.sync_index(rows, folder + "/i", 0)) == {"insert": 40}
+    assert made.value == 40
+
+
 def test_synced_index_can_be_searched(spark, folder):
     IX.sync_index(chunks(spark, c1="red cat", c2="blue dog"), folder + "/i", 0)
     index = IX.load_index(spark, folder + "/i")
