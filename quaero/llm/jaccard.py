@@ -36,7 +36,7 @@ class JaccardParams:
     depth: int = 3             # levels of splitting; what is still large then is compared in blocks
     bins: int = 128            # bytes of the sketch
     sketch_bar: float = 0.62   # five standard errors (0.035) below a similarity of 0.8
-    part: int = 512            # sets of a large node that are compared first
+    part: int = 512            # sets of a large node of the deepest level that are compared first, ``small`` above it
     block: int = 2048          # sets in one block of a node that is compared across such parts
     block_words: int = 1 << 20  # n-grams in one block of a candidate group,
     block_rows: int = 512       # and sets
@@ -320,48 +320,52 @@ def _signatures(docs: DataFrame, p: JaccardParams, key: str, text: str) -> DataF
 def _candidates(reps: DataFrame, p: JaccardParams, folder: str) -> DataFrame:
     """``node, root``: candidate groups, tied by sets that meet in some node and have like sketches.
 
-    Nodes that stay large are compared within blocks first, and those blocks differ from node to
-    node.  Only nodes whose sets do not lie in one group by then are compared across blocks, and
+    A large node is compared in parts first, and the parts differ from node to node.  Only nodes whose
+    sets do not lie in one group by then are split, or at the deepest level compared across blocks, and
     there only sets of different groups.  So near copies, which meet in every node that one of them
-    goes to, cost a row each and node, not one for each block.
+    goes to, are sent down one level and cost a row each and node there, not one for each block.
     """
     sketches = reps.select("row", "sketch").hint("merge")
     form = "node long, root long"
-    found = None
-    inner = None  # large nodes of the level above
+    groups = None
+    inner = None  # large nodes of the level above, of more than one group
     for level in range(1, p.depth + 1):
+        place = f"{folder}/level-{level}"
         if level == 1:
             at = reps.select("row", F.explode("n1").alias("node"))
         else:
             split = reps.select("row", F.explode(F.arrays_zip(F.col(f"p{level}").alias("p"), F.col(f"n{level}").alias("n"))).alias("x"))
             split = split.select("row", F.col("x.p").alias("parent"), F.col("x.n").alias("node"))
-            at = staged(join_counted(split, inner, "parent", "n").select("row", "node"), f"level-{level}", folder)
-        counts = staged(at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), f"nodes-{level}", folder)
+            at = staged(join_counted(split, inner, "parent", "n").select("row", "node"), "sets", place)
+        counts = staged(at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "nodes", place)
         total = counts.agg(F.sum("n")).first()[0] or 0
         # The largest nodes are fewer than HEAVY; their sets leave before the rest is shuffled by node.
         light = at.join(F.broadcast(counts.filter((F.col("n") > p.small) & (F.col("n") > total // HEAVY))), "node", "left_anti")
         met = light.join(counts.filter(F.col("n") <= p.small), "node").join(sketches, "row").select(
             F.col("node").cast("string").alias("pair"), "row", "sketch", F.lit(2).alias("side"), F.col("row").alias("label"))
         edges = map_groups(met, "pair", _meet(p), form)
-        found = edges if found is None else found.unionByName(edges)
-        inner = counts.filter(F.col("n") > p.small).withColumnRenamed("node", "parent")
-
-    many = inner.withColumnRenamed("parent", "node")
-    held = staged(join_counted(at, many, "node", "n"), "large", folder)
-    part = F.pmod(F.xxhash64("node", "row"), F.ceil(F.col("n") / p.part))
-    met = held.join(sketches, "row").select(
-        F.concat_ws("/", "node", part).alias("pair"), "row", "sketch", F.lit(2).alias("side"), F.col("row").alias("label"))
-    edges = staged(found.unionByName(map_groups(met, "pair", _meet(p), form)).distinct(), "edges", folder)
-    groups = staged(components(edges, "node", "root", folder, "near"), "near", folder)
-
-    label = F.coalesce("root", "row").alias("label")
-    held = staged(held.filter(F.col("n") > p.part).join(groups.withColumnRenamed("node", "row").hint("merge"), "row", "left")
-                  .select("node", "n", "row", label), "labelled", folder)
-    mixed = staged(held.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"))
-                   .filter("least < most").withColumn("blocks", F.ceil(F.col("n") / p.block).cast("long"))
-                   .select("node", "n", "blocks"), "mixed", folder)
-    if mixed.isEmpty():
-        return groups
+
+        held = staged(join_counted(at, counts.filter(F.col("n") > p.small), "node", "n"), "large", place)
+        size = p.part if level == p.depth else p.small
+        part = F.pmod(F.xxhash64("node", "row"), F.ceil(F.col("n") / size))
+        met = held.join(sketches, "row").select(
+            F.concat_ws("/", "node", part).alias("pair"), "row", "sketch", F.lit(2).alias("side"), F.col("row").alias("label"))
+        edges = edges.unionByName(map_groups(met, "pair", _meet(p), form))
+        if groups is not None:
+            edges = edges.unionByName(groups.filter("node <> root"))
+        edges = staged(edges.distinct(), "edges", place)
+        groups = staged(components(edges, "node", "root", place, "near"), "near", place)
+
+        label = F.coalesce("root", "row").alias("label")
+        held = staged(held.filter(F.col("n") > size).join(groups.withColumnRenamed("node", "row").hint("merge"), "row", "left")
+                      .select("node", "n", "row", label), "labelled", place)
+        mixed = staged(held.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"))
+                       .filter("least < most").withColumn("blocks", F.ceil(F.col("n") / p.block).cast("long"))
+                       .select("node", "n", "blocks"), "mixed", place)
+        if mixed.isEmpty():
+            return groups
+        inner = mixed.select(F.col("node").alias("parent"), "n")
+
     met = join_counted(held.drop("n"), mixed, "node", "n").join(sketches, "row")
     met = _blocked(met, "node", "row", "blocks").select("pair", "row", "sketch", "side", "label")
     across = staged(map_groups(met, "pair", _meet(p), form).distinct(), "across", folder)

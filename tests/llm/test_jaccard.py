@@ -121,6 +121,24 @@ def test_edges_of_a_hot_group(make, spark, monkeypatch):
     assert seen["mixed"] <= 5
 
 
+def test_near_copies_are_not_split(make, monkeypatch):
+    """Sets of a large node that lie in one group by then do not go on; each went down to the deepest level, about 50 rows."""
+    texts = near_copies(700) + [prose(100 + i, 60) for i in range(50)]
+    seen = []
+    write = jaccard.staged
+
+    def counting(df, name, folder=None):
+        out = write(df, name, folder)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counting)
+    found = {r.id: r for r in jaccard.jaccard_classes(make([(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    assert [(found[i].n_links, found[i].class_id) for i in range(len(texts))] == brute(texts)
+    split = [n for name, n in seen if name in ("sets", "level-2", "level-3")]
+    assert sum(split) <= 750
+
+
 def test_many_repeated_rows(make, spark):
     a, b = near_copies(2)
     rows = [(1, a, None, None, None)] * 3000 + [(2, b, None, None, None)]
