@@ -96,33 +96,38 @@ def count_phrases(number: np.ndarray, carried: int, size: int, may: np.ndarray |
     return start[first], times
 
 
-_ROWS = 8192  # of a batch that a task hands on
+_CELLS = 4  # of an entry's line: group, prefix, next word, occurrences
+_CHUNK = 8 << 20  # characters of stripes that are taken apart at once
 _ENTRIES = pa.schema([("prefix", pa.large_string()), ("next", pa.large_string()), ("n", pa.int64())])
 
 
 def _count(p: PhraseParams, size: int, known, buckets: int):
-    """Stripes of the texts of a task: ``grp, bucket, stripes``, many to a row, as one text.
+    """Stripes of the texts of a task: ``groups, bucket, stripes``, all of a bucket in a row, as one text.
 
-    A stripe is a line for each entry, ``prefix, next, n`` between tabs, which no word holds.  Entries
-    are dealt to buckets by prefix and, for prefixes with many followers, by the part of the next word.
+    A stripe is a line for each entry, ``group, prefix, next, n`` between tabs, which no word holds; the
+    group is its place in ``groups``.  Entries are dealt to buckets by group, prefix and, for prefixes
+    with many followers, by the part of the next word.
     """
     spread = p.words if size == 1 else max(1, p.spread >> 2 * (size - 2))
 
-    def stripes(group: str, held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        merged = _merged(held)
-        prefix, following = merged["prefix"].combine_chunks(), merged["next"].combine_chunks()
-        part = words.hashes(following) % np.uint64(spread)
-        bucket = (codes.mix(words.hashes(prefix) + part) % np.uint64(buckets)).astype(np.int64)
-        order = pa.array(np.argsort(bucket, kind="stable"))
-        lines = pc.binary_join_element_wise(prefix, following, merged["n"].combine_chunks().cast(pa.large_string()), _TAB).take(order)
+    def stripes(held: dict[str, list[pa.Table]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        lines, places = [], []
+        for i, (group, tables) in enumerate(held.items()):
+            merged = _merged(tables)
+            prefix, following = merged["prefix"].combine_chunks(), merged["next"].combine_chunks()
+            part = words.hashes(following) % np.uint64(spread) + words.hashes(pa.array([group]))[0]
+            places.append((codes.mix(words.hashes(prefix) + part) % np.uint64(buckets)).astype(np.int64))
+            number = pa.array([str(i)] * len(merged), pa.large_string())
+            lines.append(pc.binary_join_element_wise(number, prefix, following, merged["n"].combine_chunks().cast(pa.large_string()), _TAB))
+        bucket = np.concatenate(places)
+        lines = pa.concat_arrays(lines).take(pa.array(np.argsort(bucket, kind="stable")))
         bucket = np.sort(bucket)
         starts = np.flatnonzero(np.diff(bucket, prepend=-1))
         blobs = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(starts, len(bucket))), lines), _LINE)
-        for at in range(0, len(starts), _ROWS):
-            some = slice(at, at + _ROWS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([group] * len(starts[some]), pa.string()), pa.array(bucket[starts[some]]), blobs[some].cast(pa.string())],
-                names=["grp", "bucket", "stripes"])
+        names = pa.array([list(held)] * len(starts), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([names, pa.array(bucket[starts].astype(np.int32)), blobs.cast(pa.string())], names=["groups", "bucket", "stripes"])
 
     def entries(group: str, texts: list[str]) -> Iterator[pa.Table]:
         mark = words.hashes(pa.array([group]))[0]
@@ -156,12 +161,10 @@ def _count(p: PhraseParams, size: int, known, buckets: int):
                         held = {x: [_merged(tables)] for x, tables in held.items()}
                         total = sum(tables[0].num_rows for tables in held.values())
                         if total > p.hold // 2:
-                            for x in list(held):
-                                yield from stripes(x, held.pop(x))
-                            total = 0
+                            yield from stripes(held)
+                            held, total = {}, 0
                             pa.default_memory_pool().release_unused()
-        for x in list(held):
-            yield from stripes(x, held.pop(x))
+        yield from stripes(held)
 
     return run
 
@@ -178,25 +181,40 @@ def _merged(tables: list[pa.Table]) -> pa.Table:
     return both.rename_columns({"n_sum": "n"}).select(["prefix", "next", "n"]).cast(_ENTRIES)
 
 
-def _whole(batches, key: str) -> Iterator[pa.Table]:
-    """Rows sorted by ``key`` in tables that end where its value changes."""
-    rest: list[pa.RecordBatch] = []
+def _taken_apart(batches, p: PhraseParams) -> pa.Table:
+    """The entries of a bucket, ``grp, prefix, next, n``, rows of stripes added up a part at a time."""
+    held: list[pa.Table] = []
+    waiting: list[tuple[list, str]] = []
+    characters = settled = 0
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        both = pa.concat_tables(tables).group_by(["grp", "prefix", "next"]).aggregate([("n", "sum")])
+        return both.rename_columns({"n_sum": "n"}).select(["grp", "prefix", "next", "n"])
+
+    def entries() -> pa.Table:
+        lists = pc.split_pattern(pa.array([text for _, text in waiting], pa.large_string()), "\n")
+        sizes = pc.list_value_length(lists).to_numpy()
+        cells = pc.split_pattern(lists.flatten(), "\t").flatten()
+        column = lambda i: cells.take(pa.array(np.arange(i, len(cells), _CELLS)))
+        names = [n for groups, _ in waiting for n in groups]
+        shift = np.cumsum([0, *(len(groups) for groups, _ in waiting[:-1])])
+        group = column(0).cast(pa.int64()).to_numpy() + np.repeat(shift, sizes)
+        return pa.table({"grp": pa.array(names, pa.large_string()).take(pa.array(group)), "prefix": column(1),
+                         "next": column(2), "n": column(3).cast(pa.int64())})
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        at = batch.column(key).to_numpy()
-        turns = np.flatnonzero(at[1:] != at[:-1])
-        if rest and rest[-1].column(key)[-1].as_py() != at[0]:
-            yield pa.Table.from_batches(rest)
-            rest = []
-        if len(turns):
-            cut = int(turns[-1]) + 1
-            yield pa.Table.from_batches([*rest, batch.slice(0, cut)])
-            rest = [batch.slice(cut)]
-        else:
-            rest.append(batch)
-    if rest:
-        yield pa.Table.from_batches(rest)
+        for groups, text in zip(batch.column("groups").to_pylist(), batch.column("stripes").to_pylist()):
+            waiting.append((groups, text))
+            characters += len(text)
+            if characters > _CHUNK:
+                held.append(added([entries()]))
+                waiting, characters = [], 0
+                if sum(t.num_rows for t in held) > 2 * settled + p.hold:
+                    held = [added(held)]
+                    settled = held[0].num_rows
+    if waiting:
+        held.append(entries())
+    return added(held) if held else None
 
 
 _MERGED = "grp string, prefix string, next string, n long, most long, h long"
@@ -210,14 +228,8 @@ def _merge(p: PhraseParams, size: int):
     """
 
     def run(batches):
-        for table in _whole(batches, "slot"):
-            lists = pc.split_pattern(table["stripes"].combine_chunks().cast(pa.large_string()), "\n")
-            row = pa.array(np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()))
-            cells = pc.split_pattern(lists.flatten(), "\t").flatten()
-            column = lambda i: cells.take(pa.array(np.arange(i, len(cells), 3)))
-            flat = pa.table({"grp": table["grp"].combine_chunks().take(row), "prefix": column(0), "next": column(1),
-                             "n": column(2).cast(pa.int64())})
-            added = flat.group_by(["grp", "prefix", "next"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+        added = _taken_apart(batches, p)
+        if added is not None:
             often = added.filter(pc.greater_equal(added["n"], p.least))
             for g in pc.unique(often["grp"]).to_pylist():
                 some = often.filter(pc.equal(often["grp"], g))
@@ -249,11 +261,10 @@ def merged_stripes(rows: DataFrame, size: int, p: PhraseParams, known: Sieve | N
     """The stripes of all prefixes one word shorter than ``size``, merged, as one written table."""
     context = rows.sparkSession.sparkContext
     shared = None if known is None else context.broadcast(known)
-    # Buckets go with the partitions, so that a bucket stays a small part of what a task reads.
-    buckets = 64 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.mapInArrow(_count(p, size, shared, buckets), "grp string, bucket long, stripes string")
-    parts = parts.withColumn("slot", F.xxhash64("grp", "bucket"))
-    merged = parts.repartition("slot").sortWithinPartitions("slot").mapInArrow(_merge(p, size), _MERGED)
+    # A bucket is what a task reads: a task hands on at most a row for each, and no more rows than entries.
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.mapInArrow(_count(p, size, shared, buckets), "groups array<string>, bucket int, stripes string")
+    merged = parts.repartitionById(buckets, "bucket").mapInArrow(_merge(p, size), _MERGED)
     return staged(merged, f"stripes-{size}", folder)
 
 

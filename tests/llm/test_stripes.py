@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from quaero.llm import stripes, words
@@ -88,3 +89,25 @@ def test_repeated_rows_count_and_empty_tables_give_none(make):
                                                                   ("en", 2, "two three four five six", 100, 600)]
     assert stripes.collocations(make([])).count() == 0
     assert stripes.collocations(make([(1, None, None, None, None), (2, "", "en", None, None)])).count() == 0
+
+
+def test_rows_of_stripes_are_at_most_one_a_bucket(monkeypatch):
+    """However many groups and buckets there are; they were one for each group and each of 64 buckets a partition."""
+    p = PhraseParams(least=2)
+    rows = [(f"g{i % 7}", prose(i, 200, 400)) for i in range(70)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["grp", "text"])
+    out = list(stripes._count(p, 2, None, 5)([batch]))
+    assert 0 < sum(b.num_rows for b in out) <= 5
+    want, _ = occurrences(rows, 2)
+    want = {(g, *w): n for (g, w), n in want.items() if len(w) == 2}
+    for chunk, hold in ((1 << 20, 10**6), (100, 10), (1, 1)):
+        monkeypatch.setattr(stripes, "_CHUNK", chunk)
+        seen = Counter()
+        for b in out * 2:
+            for i in range(b.num_rows):
+                table = stripes._taken_apart([b.slice(i, 1)], PhraseParams(hold=hold))
+                for r in table.to_pylist():
+                    seen[r["grp"], r["prefix"], r["next"]] += r["n"]
+        assert seen == {k: 2 * n for k, n in want.items()}
+        whole = stripes._taken_apart(out * 2, PhraseParams(hold=hold))
+        assert {(r["grp"], r["prefix"], r["next"]): r["n"] for r in whole.to_pylist()} == seen
