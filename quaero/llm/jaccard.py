@@ -36,7 +36,8 @@ class JaccardParams:
     depth: int = 3             # levels of splitting; what is still large then is compared in blocks
     bins: int = 128            # bytes of the sketch
     sketch_bar: float = 0.62   # five standard errors (0.035) below a similarity of 0.8
-    part: int = 512            # sets of a large node of the deepest level that are compared first, ``small`` above it
+    part: int = 512            # sets of a large node of the deepest level that are compared first, ``small`` above it;
+                               # so many sets beside a node's largest group are compared with all of the node
     block: int = 2048          # sets in one block of a node that is compared across such parts
     block_words: int = 1 << 20  # n-grams in one block of a candidate group,
     block_rows: int = 512       # and sets
@@ -218,6 +219,14 @@ def _blocked(rows: DataFrame, key: str, id_: str, blocks: str) -> DataFrame:
             .withColumn("side", side).drop("_b", "_o"))
 
 
+def _beside(rows: DataFrame) -> DataFrame:
+    """The ``lead`` group of each node once, block by block, and every other set of the node in each of its ``blocks``."""
+    own = F.pmod(F.xxhash64("node", "row"), F.col("blocks"))
+    block = F.when(F.col("label") == F.col("lead"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    return rows.withColumn("_b", F.explode(block)).select(
+        F.concat_ws("/", "node", "_b", F.lit("beside")).alias("pair"), "row", F.lit(2).alias("side"), "label")
+
+
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of 0/1 matrices over slices of the shared tokens."""
     if len(a) == 1 or len(b) == 1:
@@ -321,14 +330,17 @@ def _candidates(reps: DataFrame, p: JaccardParams, folder: str) -> DataFrame:
     """``node, root``: candidate groups, tied by sets that meet in some node and have like sketches.
 
     A large node is compared in parts first, and the parts differ from node to node.  Only nodes whose
-    sets do not lie in one group by then are split, or at the deepest level compared across blocks, and
-    there only sets of different groups.  So near copies, which meet in every node that one of them
-    goes to, are sent down one level and cost a row each and node there, not one for each block.
+    sets do not lie in one group by then go on.  Where all but ``part`` sets lie in one group, these few
+    are compared with all others at once: near copies share most tokens, so splitting would send nearly
+    the whole group down every level, and cost more than that.  Other nodes are split, or at the deepest
+    level compared across blocks, and there only sets of different groups.
     """
     sketches = reps.select("row", "sketch").hint("merge")
-    form = "node long, root long"
+    meet = lambda rows: map_groups(
+        rows.join(sketches, "row").select("pair", "row", "sketch", "side", "label"), "pair", _meet(p), "node long, root long")
+    alone = (F.lit(2).alias("side"), F.col("row").alias("label"))
     groups = None
-    inner = None  # large nodes of the level above, of more than one group
+    inner = beside = None  # large nodes of the level above that go on; what meets in those that do not
     for level in range(1, p.depth + 1):
         place = f"{folder}/level-{level}"
         if level == 1:
@@ -341,16 +353,13 @@ def _candidates(reps: DataFrame, p: JaccardParams, folder: str) -> DataFrame:
         total = counts.agg(F.sum("n")).first()[0] or 0
         # The largest nodes are fewer than HEAVY; their sets leave before the rest is shuffled by node.
         light = at.join(F.broadcast(counts.filter((F.col("n") > p.small) & (F.col("n") > total // HEAVY))), "node", "left_anti")
-        met = light.join(counts.filter(F.col("n") <= p.small), "node").join(sketches, "row").select(
-            F.col("node").cast("string").alias("pair"), "row", "sketch", F.lit(2).alias("side"), F.col("row").alias("label"))
-        edges = map_groups(met, "pair", _meet(p), form)
+        met = light.join(counts.filter(F.col("n") <= p.small), "node").select(F.col("node").cast("string").alias("pair"), "row", *alone)
 
         held = staged(join_counted(at, counts.filter(F.col("n") > p.small), "node", "n"), "large", place)
         size = p.part if level == p.depth else p.small
         part = F.pmod(F.xxhash64("node", "row"), F.ceil(F.col("n") / size))
-        met = held.join(sketches, "row").select(
-            F.concat_ws("/", "node", part).alias("pair"), "row", "sketch", F.lit(2).alias("side"), F.col("row").alias("label"))
-        edges = edges.unionByName(map_groups(met, "pair", _meet(p), form))
+        met = met.unionByName(held.select(F.concat_ws("/", "node", part).alias("pair"), "row", *alone))
+        edges = meet(met if beside is None else met.unionByName(beside))
         if groups is not None:
             edges = edges.unionByName(groups.filter("node <> root"))
         edges = staged(edges.distinct(), "edges", place)
@@ -359,16 +368,22 @@ def _candidates(reps: DataFrame, p: JaccardParams, folder: str) -> DataFrame:
         label = F.coalesce("root", "row").alias("label")
         held = staged(held.filter(F.col("n") > size).join(groups.withColumnRenamed("node", "row").hint("merge"), "row", "left")
                       .select("node", "n", "row", label), "labelled", place)
-        mixed = staged(held.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"))
-                       .filter("least < most").withColumn("blocks", F.ceil(F.col("n") / p.block).cast("long"))
-                       .select("node", "n", "blocks"), "mixed", place)
+        mixed = staged(held.groupBy("node", "label").agg(F.count("*").alias("sets"))
+                       .groupBy("node").agg(F.sum("sets").alias("n"), F.max(F.struct("sets", "label")).alias("most"))
+                       .withColumn("others", F.col("n") - F.col("most.sets")).filter("others > 0")
+                       .withColumn("blocks", F.ceil(F.col("n") / p.block).cast("long"))
+                       .select("node", "n", F.col("most.label").alias("lead"), "others", "blocks"), "mixed", place)
         if mixed.isEmpty():
             return groups
-        inner = mixed.select(F.col("node").alias("parent"), "n")
-
-    met = join_counted(held.drop("n"), mixed, "node", "n").join(sketches, "row")
-    met = _blocked(met, "node", "row", "blocks").select("pair", "row", "sketch", "side", "label")
-    across = staged(map_groups(met, "pair", _meet(p), form).distinct(), "across", folder)
+        beside = _beside(join_counted(held.drop("n"), mixed.filter(F.col("others") <= p.part), "node", "n"))
+        inner = mixed.filter(F.col("others") > p.part).select(F.col("node").alias("parent"), "n", "blocks")
+        if inner.isEmpty():
+            met = beside
+            break
+    else:
+        met = join_counted(held.drop("n"), inner.withColumnRenamed("parent", "node"), "node", "n")
+        met = beside.unionByName(_blocked(met, "node", "row", "blocks").select("pair", "row", "side", "label"))
+    across = staged(meet(met).distinct(), "across", folder)
     return components(groups.filter("node <> root").unionByName(across), "node", "root", folder, "groups")
 
 

@@ -87,8 +87,12 @@ def _groups(batches, key) -> Iterator[pa.Table]:
         yield pa.concat_tables(kept)
 
 
-def _print(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
+def _stars(pairs: DataFrame) -> bool:
+    """Whether each ``hi`` has one ``lo`` and none of these has one itself, so that another step would change nothing."""
+    ends = pairs.select(F.col("hi").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        pairs.select(F.col("lo").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    tied = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return tied.agg(F.coalesce(F.max((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)), F.lit(False))).first()[0] is False
 
 
 def components(edges: DataFrame, a: str, b: str, folder: str, name: str) -> DataFrame:
@@ -99,8 +103,8 @@ def components(edges: DataFrame, a: str, b: str, folder: str, name: str) -> Data
     """
     lo, hi = F.least(a, b), F.greatest(a, b)
     pairs = staged(edges.select(lo.alias("lo"), hi.alias("hi")).filter("lo < hi").distinct(), f"{name}-0", folder)
-    seen, step = _print(pairs), 0
-    while seen[0]:
+    step = 0
+    while not _stars(pairs):
         step += 1
         both = pairs.selectExpr("lo AS u", "hi AS v").unionByName(pairs.selectExpr("hi AS u", "lo AS v"))
         least = staged(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
@@ -113,9 +117,6 @@ def components(edges: DataFrame, a: str, b: str, folder: str, name: str) -> Data
         pairs = staged(
             tied.selectExpr("least AS lo", "v AS hi").unionByName(tied.selectExpr("least AS lo", "m AS hi"))
             .filter("lo < hi").distinct(), f"{name}-{step}", folder)
-        before, seen = seen, _print(pairs)
-        if seen == before:
-            break
     return pairs.selectExpr("hi AS node", "lo AS root").unionByName(pairs.selectExpr("lo AS node", "lo AS root").distinct())
 
 

@@ -139,6 +139,31 @@ def test_near_copies_are_not_split(make, monkeypatch):
     assert sum(split) <= 750
 
 
+def test_sets_beside_a_group_do_not_split_it(make, monkeypatch):
+    """A few sets that share much with a large group, but are not near, sent the group down every level."""
+    r = random.Random(8)
+    texts = near_copies(500)
+    for i in range(60):
+        w = texts[0].split()
+        for j in r.sample(range(len(w)), 9):
+            w[j] = f"far{i}x{j}"
+        texts.append(" ".join(w))
+    seen = []
+    write = jaccard.staged
+
+    def counting(df, name, folder=None):
+        out = write(df, name, folder)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counting)
+    p = JaccardParams(block=128)
+    found = {r.id: r for r in jaccard.jaccard_classes(make([(i, t, None, None, None) for i, t in enumerate(texts)]), p).collect()}
+    assert [(found[i].n_links, found[i].class_id) for i in range(len(texts))] == brute(texts)
+    assert dict(seen)["mixed"] > 0
+    assert sum(n for name, n in seen if name == "sets") <= len(texts)
+
+
 def test_many_repeated_rows(make, spark):
     a, b = near_copies(2)
     rows = [(1, a, None, None, None)] * 3000 + [(2, b, None, None, None)]
