@@ -81,6 +81,28 @@ def test_blocks_of_a_frequent_word_are_bounded(spark):
     assert sum(r.n for r in sizes if r.term == "the") == rows.count()
 
 
+def test_blocks_are_written_many_to_a_row(spark):
+    params = Params(part_rows=256, shard_rows=16, page_postings=64)
+    rows = IX.with_terms(passages(spark))
+    postings = build_postings(rows, 5.0, params)
+    many = rows.select(F.explode(F.array_distinct("terms"))).count()
+    assert spark.read.parquet(postings.path).count() <= many / 48 + 8 and postings.blocks(spark).count() >= many / 4
+    want = {(r.term, r.id) for r in rows.select(F.explode("terms").alias("term"), "id").collect()}
+    got = [(r.term, r.id) for r in postings.blocks(spark).select("term", F.explode("ids").alias("id")).collect()]
+    assert len(got) == len(want) == many and set(got) == want
+    for page in postings.pages(spark).collect():
+        assert (page.first, page.last) == (min(page.terms), max(page.terms)) and page.terms == sorted(set(page.terms))
+
+
+@pytest.mark.parametrize("more", [dict(run_terms=1, page_postings=1), dict(run_terms=40, page_postings=3), dict(pushed_terms=0)])
+def test_runs_and_pages_of_any_size_give_the_same_hits(spark, more):
+    params = Params(part_rows=128, shard_rows=16, seed_shards=2, **more)
+    index = IX.build_index(passages(spark), params, vectors=False, postings=True)
+    asked = questions(spark)
+    assert rows_of(retrieve(asked, index, 10, mode="keyword", params=params)) == \
+        rows_of(keyword_topk(index.rows, asked, index.stats, 10, params))
+
+
 @pytest.fixture(scope="module")
 def clustered():
     rng = np.random.default_rng(2)
