@@ -71,7 +71,8 @@ def build_postings(rows: DataFrame, avg_len: float, params: Params = Params(), p
             yield _paged(some, kernel, params.page_postings)
 
     (placed.mapInArrow(pages, PAGES).sortWithinPartitions("part", "first").write.mode("overwrite")
-        .option("parquet.block.size", params.posting_group_bytes).partitionBy("part").parquet(path))
+        .option("parquet.block.size", params.posting_group_bytes)
+        .option("parquet.page.row.count.limit", params.posting_skip_rows).partitionBy("part").parquet(path))
     return Postings(path, kernel, params)
 
 

@@ -153,6 +153,14 @@ def scan_rows(df):
     return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
 
 
+def test_a_rare_word_reads_few_rows_of_a_part(spark):
+    rows = IX.with_terms(passages(spark).coalesce(1))
+    pages = build_postings(rows, 5.0, Params(page_postings=1)).pages(spark)
+    some = pages.where("first <= 'w3x1' AND last >= 'w3x1'")
+    assert scan_rows(some.select("part", "terms", "blocks")) <= 0.5 * pages.count() and pages.count() >= 400
+    assert all(r.terms == ["w3x1"] for r in some.collect())
+
+
 def test_lookup_reads_the_row_groups_of_the_hits(spark):
     params = Params(lookup_group_bytes=2000)
     rows = spark.range(0, 40_000, 1, 4).selectExpr("id * 7 AS id", "'u' AS url", "repeat(md5(cast(id AS string)), 3) AS content")
