@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quaero.plans.index import SCHEMA, _log
+from quaero.plans.named import named
+from quaero.sources.workdir import staged
 
 IMAGE = ("url", "content", "content_hash")
 
@@ -36,11 +38,14 @@ def changes(spark: SparkSession, path: str, after: int | None = None, upto: int
 def apply_changes(state: DataFrame, feed: DataFrame) -> DataFrame:
     """The state ``id`` and image after the changes of a feed: the last change of each id counts."""
     columns = [c for c in state.columns if c != "id"]
+    feed = feed.where("change <> 'update_before'")
     last = Window.partitionBy("id").orderBy(F.desc("batch_id"))
-    final = (feed.where("change <> 'update_before'").withColumn("_n", F.row_number().over(last)).where("_n = 1")
-             .select("id", "change", *columns))
-    untouched = state.join(final.select("id"), "id", "left_anti")
-    return untouched.select("id", *columns).unionByName(final.where("change <> 'delete'").select("id", *columns))
+    final = staged(feed.select("id", "batch_id", "change").withColumn("_n", F.row_number().over(last)).where("_n = 1"), "last")
+    # A delete has no row after it, so only the others are read with their image.
+    shown = feed.where(F.col("change").isin("insert", "update_after"))
+    after = named(shown, ["id", "batch_id"], final.where("change <> 'delete'"))
+    untouched = named(state, ["id"], state.select("id").join(final.select("id"), "id", "left_anti"))
+    return untouched.select("id", *columns).unionByName(after.select("id", *columns))
 
 
 def change_stream(spark: SparkSession, path: str) -> DataFrame:
