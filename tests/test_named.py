@@ -3,7 +3,6 @@
 import glob
 
 import pytest
-from pyspark.sql import functions as F
 
 from quaero.plans import changes as CH
 from quaero.plans import index as IX
